@@ -5,11 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from gleaner.llm import decontaminate, simhash, tokens, topk
-from gleaner.llm.shared import table
+from gleaner.llm import decontaminate, langid, lines, shards, simhash, tokens, topk
+from gleaner.llm.shared import scratch, table
 
 END_OF_TEXT = 1
+ARRIVALS = 16
 
 
 def op1_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,20 +24,41 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents arrive in batches by source, are compacted, and are read back by the last manifest."""
+    docs = table(spark, sf_dir, "documents")
+    store = shards.ShardStore(spark, scratch(spark, "shards"), target_bytes=32 << 20)
+    store.append(docs, F.pmod(F.xxhash64("source"), F.lit(ARRIVALS)))
+    store.compact()
+    store.vacuum()
+    rows = store.read()
+    rows = docs.limit(0) if rows is None else rows
+    return rows.select("doc_id", "lang", "source", "n_chars", F.sha2("text", 256).alias("text_sha256"))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score")
+
+
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = lines.deduplicate_lines(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_kept", F.sha2("text", 256).alias("text_sha256"))
+
+
 def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_output, op2_decontamination, op4_simhash, op10_top_k)}
+    return {f.__name__: f for f in (op1_token_output, op2_decontamination, op3_sharding, op4_simhash, op6_language_id, op9_line_dedup, op10_top_k)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontamination": OP2, "op10_top_k": OP10}
+    return {"op2_decontamination": OP2, "op3_sharding": OP3, "op10_top_k": OP10}
 
 
 OP2 = r"""
@@ -69,3 +92,5 @@ s AS (SELECT query_id, v.vec_id, CAST(list_inner_product(CAST(q.v AS DOUBLE[]),
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
 """
+
+OP3 = "SELECT doc_id, lang, source, n_chars, sha256(text) AS text_sha256 FROM documents"
