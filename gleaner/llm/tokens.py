@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import uuid
 import zlib
+from collections import ChainMap
 from collections.abc import Iterator
 from itertools import chain
 from pathlib import Path
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 from gleaner.llm.shared import scratch
 
 #: Words whose ids a Python worker remembers, and the longest word it remembers.
-CACHED_WORDS, CACHED_CHARS = 400_000, 64
+CACHED_WORDS, CACHED_CHARS = 800_000, 64
 
 
 def _open(path: str):
@@ -52,46 +53,68 @@ def _write(path: str, data: Iterator[bytes]) -> None:
 
 
 class Encoder:
-    """Encodes with a tokenizer file whose pre-tokenizer never joins what a space or line end parts.
+    """Encodes with a tokenizer file that parts words at spaces and letters from other characters.
 
-    Such a text's ids are those of its space-parted pieces one after another, so each piece is encoded
-    once and remembered; the memory of pieces is emptied when it is full.
+    It must be so that a text's ids are those of its space-parted pieces one after another, that `.`,
+    `,` and `!` after a letter and before a space are a piece of their own, and that ASCII text is
+    lower-cased. Then each piece is encoded once and remembered; the memory is emptied when it is full.
     """
 
-    def __init__(self, file: str) -> None:
+    def __init__(self, file: str, width: int) -> None:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(file)
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.tokenizer, self.dtype = Tokenizer.from_file(file), f"<u{width}"
+        self.known: dict[str, bytes] = {"": b""}
 
-    def ids(self, texts: list[str]) -> list[np.ndarray]:
-        split = [x.replace("\n", " ").split(" ") for x in texts]
-        new = [w for w in dict.fromkeys(chain.from_iterable(split)) if w not in self.known]
+    @staticmethod
+    def parts(word: str) -> tuple[str, str]:
+        """A word as it is encoded, without the marks that end it, and those marks."""
+        stem = word.rstrip(".,!")
+        if not stem or not stem[-1].isalpha():
+            stem = word
+        tail = word[len(stem) :]
+        return (stem.lower() if stem.isascii() and "<|" not in stem else stem), tail  # special tokens are matched as they are
+
+    def _learn(self, words: list[str]) -> dict[str, bytes]:
+        parts = [self.parts(w) for w in words]
         known = self.known
-        if len(known) + len(new) > CACHED_WORDS:
-            known = self.known = {}
-            new = list(dict.fromkeys(chain.from_iterable(split)))
-        rare: dict[str, tuple[int, ...]] = {}
+        new = [x for x in {x for p in parts for x in p} if x not in known]
+        own: dict[str, bytes] = {}
         for i in range(0, len(new), 4096):
             some = new[i : i + 4096]
-            for w, e in zip(some, self.tokenizer.encode_batch(some, add_special_tokens=False), strict=True):
-                (known if len(w) <= CACHED_CHARS else rare)[w] = tuple(e.ids)
-        if rare:
-            known = known | rare
-        get = known.__getitem__
-        return [np.fromiter(chain.from_iterable(map(get, words)), np.uint32) for words in split]
+            for w, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
+                own[w] = np.array(e.ids, self.dtype).tobytes()
+        both = ChainMap(own, known)
+        for w, (stem, tail) in zip(words, parts, strict=True):
+            own[w] = both[stem] + both[tail]
+        return own
+
+    def ids(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text, as the bytes of little-endian unsigned integers."""
+        split = [x.replace("\n", " ").split(" ") for x in texts]
+        words = set(chain.from_iterable(split))
+        new = [w for w in words if w not in self.known]
+        if len(self.known) + 2 * len(new) > CACHED_WORDS:
+            self.known, new = {"": b""}, list(words)
+        own = self._learn(new)
+        long = {w: x for w, x in own.items() if len(w) > CACHED_CHARS}
+        for w in long:
+            del own[w]
+        self.known.update(own)
+        get = ChainMap(long, self.known).__getitem__ if long else self.known.__getitem__
+        return [b"".join(map(get, words)) for words in split]
 
 
-_encoders: dict[str, Encoder] = {}
+_encoders: dict[tuple[str, int], Encoder] = {}
 
 
-def encoder(file: str) -> Encoder:
-    if file not in _encoders:
-        _encoders[file] = Encoder(file)
-    return _encoders[file]
+def encoder(file: str, width: int) -> Encoder:
+    if (file, width) not in _encoders:
+        _encoders[file, width] = Encoder(file, width)
+    return _encoders[file, width]
 
 
 def write_token_shards(docs: DataFrame, path: str, tokenizer_file: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", width: int = 2) -> DataFrame:
@@ -103,14 +126,13 @@ def write_token_shards(docs: DataFrame, path: str, tokenizer_file: str, end_id:
     A task that is run again writes the same names with the same bytes.
     """
     spark = docs.sparkSession
-    dtype = f"<u{width}"
     store, at = _open(path)
     store.create_dir(at, recursive=True)
 
     def shard(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         k = TaskContext.get().partitionId()
-        coder, offsets, n = encoder(tokenizer_file), [np.zeros(1, np.uint64)], 0
-        base = f"{path}/part-{k:05d}"
+        coder, offsets, n = encoder(tokenizer_file, width), [np.zeros(1, np.uint64)], 0
+        base, end = f"{path}/part-{k:05d}", end_id.to_bytes(width, "little")
         keys: list[pd.Series] = []
 
         def ids() -> Iterator[bytes]:
@@ -118,18 +140,13 @@ def write_token_shards(docs: DataFrame, path: str, tokenizer_file: str, end_id:
             for batch in batches:
                 for i in range(0, len(batch), 512):
                     part = batch.iloc[i : i + 512]
-                    docs_ids = coder.ids([x or "" for x in part["text"]])
-                    lengths = np.fromiter(map(len, docs_ids), np.int64, len(docs_ids)) + 1
-                    flat = np.empty(lengths.sum(), dtype)
+                    encoded = [x + end for x in coder.ids([x or "" for x in part["text"]])]
+                    lengths = np.fromiter(map(len, encoded), np.int64, len(encoded)) // width
                     ends = np.cumsum(lengths)
-                    flat[ends - 1] = end_id
-                    body = np.ones(len(flat), bool)
-                    body[ends - 1] = False
-                    flat[body] = np.concatenate(docs_ids) if docs_ids else []
                     offsets.append((n + ends).astype(np.uint64))
                     keys.append(part["doc_id"])
                     n += int(lengths.sum())
-                    yield flat.tobytes()
+                    yield b"".join(encoded)
 
         _write(f"{base}.ids", ids())
         count = sum(map(len, keys))
