@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import uuid
 import zlib
-from collections import ChainMap
 from collections.abc import Iterator
 from itertools import chain
 from pathlib import Path
@@ -23,8 +22,8 @@ from pyspark.sql import functions as F
 
 from gleaner.llm.shared import scratch
 
-#: Words whose ids a Python worker remembers, and the longest word it remembers.
-CACHED_WORDS, CACHED_CHARS = 800_000, 64
+#: Words whose ids a Python worker remembers, the longest word it remembers, and the words encoded as one text.
+CACHED_WORDS, CACHED_CHARS, GROUP = 1_200_000, 64, 256
 
 
 def _open(path: str):
@@ -57,7 +56,7 @@ class Encoder:
 
     It must be so that a text's ids are those of its space-parted pieces one after another, that `.`,
     `,` and `!` after a letter and before a space are a piece of their own, and that ASCII text is
-    lower-cased. Then each piece is encoded once and remembered; the memory is emptied when it is full.
+    lower-cased; ids that end a word end with `</w>`. Then each piece is encoded once and remembered; the memory is emptied when it is full.
     """
 
     def __init__(self, file: str, width: int) -> None:
@@ -68,6 +67,8 @@ class Encoder:
 
         self.tokenizer, self.dtype = Tokenizer.from_file(file), f"<u{width}"
         self.known: dict[str, bytes] = {"": b""}
+        self.last = np.zeros(1 << 8 * min(width, 3), bool)  # of an id: whether it ends a word
+        self.last[[i for x, i in self.tokenizer.get_vocab().items() if x.endswith("</w>")]] = True
 
     @staticmethod
     def parts(word: str) -> tuple[str, str]:
@@ -78,34 +79,49 @@ class Encoder:
         tail = word[len(stem) :]
         return (stem.lower() if stem.isascii() and "<|" not in stem else stem), tail  # special tokens are matched as they are
 
-    def _learn(self, words: list[str]) -> dict[str, bytes]:
-        parts = [self.parts(w) for w in words]
-        known = self.known
-        new = [x for x in {x for p in parts for x in p} if x not in known]
-        own: dict[str, bytes] = {}
-        for i in range(0, len(new), 4096):
-            some = new[i : i + 4096]
+    def _encode(self, words: list[str]) -> None:
+        """Remember the ids of words that hold no space."""
+        plain = [w for w in words if w.isalpha()]  # one piece each, so each ends with the id of a word's end
+        other = [w for w in words if not w.isalpha()]
+        known, code = self.known, self.dtype
+        groups = [plain[i : i + GROUP] for i in range(0, len(plain), GROUP)]
+        for i in range(0, len(groups), 64):
+            some = groups[i : i + 64]
+            for group, e in zip(some, self.tokenizer.encode_batch_fast([" ".join(g) for g in some], add_special_tokens=False), strict=True):
+                ids = np.array(e.ids, code)
+                ends = (np.flatnonzero(self.last[ids]) + 1).tolist()
+                if len(ends) != len(group):
+                    other += group
+                    continue
+                data, width, a = ids.tobytes(), ids.itemsize, 0
+                for w, b in zip(group, ends, strict=True):
+                    known[w] = data[a * width : b * width]
+                    a = b
+        for i in range(0, len(other), 4096):
+            some = other[i : i + 4096]
             for w, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                own[w] = np.array(e.ids, self.dtype).tobytes()
-        both = ChainMap(own, known)
-        for w, (stem, tail) in zip(words, parts, strict=True):
-            own[w] = both[stem] + both[tail]
-        return own
+                known[w] = np.array(e.ids, code).tobytes()
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as the bytes of little-endian unsigned integers."""
         split = [x.replace("\n", " ").split(" ") for x in texts]
         words = set(chain.from_iterable(split))
-        new = [w for w in words if w not in self.known]
-        if len(self.known) + 2 * len(new) > CACHED_WORDS:
-            self.known, new = {"": b""}, list(words)
-        own = self._learn(new)
-        long = {w: x for w, x in own.items() if len(w) > CACHED_CHARS}
-        for w in long:
-            del own[w]
-        self.known.update(own)
-        get = ChainMap(long, self.known).__getitem__ if long else self.known.__getitem__
-        return [b"".join(map(get, words)) for words in split]
+        known = self.known
+        new = [w for w in words if w not in known]
+        if len(known) + 2 * len(new) > CACHED_WORDS:
+            known = self.known = {"": b""}
+            new = list(words)
+        parts = [self.parts(w) for w in new]
+        self._encode([x for x in {x for p in parts for x in p} if x not in known])
+        for w, (stem, tail) in zip(new, parts, strict=True):
+            known[w] = known[stem] + known[tail]
+        get = known.__getitem__
+        out = [b"".join(map(get, words)) for words in split]
+        for w, (stem, _) in zip(new, parts, strict=True):
+            if len(w) > CACHED_CHARS:
+                known.pop(w)
+                known.pop(stem, None)
+        return out
 
 
 _encoders: dict[tuple[str, int], Encoder] = {}
@@ -138,8 +154,8 @@ def write_token_shards(docs: DataFrame, path: str, tokenizer_file: str, end_id:
         def ids() -> Iterator[bytes]:
             nonlocal n
             for batch in batches:
-                for i in range(0, len(batch), 512):
-                    part = batch.iloc[i : i + 512]
+                for i in range(0, len(batch), 2048):
+                    part = batch.iloc[i : i + 2048]
                     encoded = [x + end for x in coder.ids([x or "" for x in part["text"]])]
                     lengths = np.fromiter(map(len, encoded), np.int64, len(encoded)) // width
                     ends = np.cumsum(lengths)
