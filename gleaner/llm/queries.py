@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm import decontaminate, langid, lines, lm, shards, simhash, tokens, topk
+from gleaner.llm import decontaminate, langid, lines, lm, passages, pieces, shards, simhash, tokens, topk
 from gleaner.llm.shared import scratch, table
 
 END_OF_TEXT = 1
@@ -40,6 +40,10 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.near_duplicate_passages(table(spark, sf_dir, "documents"))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score")
 
@@ -50,6 +54,12 @@ def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(table(spark, sf_dir, "documents"), held, ~held)
 
 
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return pieces.round_trip(spark, table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = lines.deduplicate_lines(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_lines", "n_kept", F.sha2("text", 256).alias("text_sha256"))
@@ -60,7 +70,7 @@ def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_output, op2_decontamination, op3_sharding, op4_simhash, op6_language_id, op7_lm_scoring, op9_line_dedup, op10_top_k)}
+    return {f.__name__: f for f in (op1_token_output, op2_decontamination, op3_sharding, op4_simhash, op5_substring_dedup, op6_language_id, op7_lm_scoring, op8_sentencepiece, op9_line_dedup, op10_top_k)}
 
 
 def oracle_sql() -> dict[str, str]:
