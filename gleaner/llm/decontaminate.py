@@ -116,8 +116,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     matched = None
     for n in lengths:
         k, reach = size_of[n]
-        own = winnowed(items.where(F.col("len") == n), reach, k).select(F.explode("f").alias("f")).distinct()
-        found = winnowed(docs.select("doc_id", "h", words(F.col("text")).alias("w")), reach, k).select("doc_id", "h", F.explode("f").alias("f"))
+        # explode_outer: explode's filter on the size of f would be pushed down and multiply its expressions
+        own = winnowed(items.where(F.col("len") == n), reach, k).select(F.explode_outer("f").alias("f")).distinct()
+        found = winnowed(docs.select("doc_id", "h", words(F.col("text")).alias("w")), reach, k).select("doc_id", "h", F.explode_outer("f").alias("f"))
         found = found.join(own, "f", "left_semi").select("doc_id", "h", F.lit(n).alias("len"), "f")
         matched = found if matched is None else matched.unionByName(found)
     matched = matched.groupBy("doc_id", "h").agg(F.collect_set(F.struct("len", "f")).alias("m"))
