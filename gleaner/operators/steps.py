@@ -60,20 +60,17 @@ def frame_times(steps: DataFrame, before: float, after: float, least: float) ->
     return steps.withColumns({"before_t": b, "after_t": F.when(a - b >= least, a)})
 
 
-def renumber(steps: DataFrame) -> DataFrame:
-    """step_number and total_steps anew, by start and old number."""
+def renumber(steps: DataFrame, ties: tuple[str, ...] = ()) -> DataFrame:
+    """step_number and total_steps anew, by start, old number and, where these repeat, the columns `ties`."""
     w = Window.partitionBy("video_id")
-    return steps.withColumns({"total_steps": F.count(F.lit(1)).over(w).cast("int"), "step_number": F.row_number().over(w.orderBy("timestamp_start", "step_number"))})
+    return steps.withColumns({"total_steps": F.count(F.lit(1)).over(w).cast("int"), "step_number": F.row_number().over(w.orderBy("timestamp_start", "step_number", *ties))})
 
 
 def sequence_issues(steps: DataFrame) -> DataFrame:
-    """Per video: gaps in the numbers, starts that go back, totals that differ."""
-    w = Window.partitionBy("video_id").orderBy("step_number")
+    """Per video: places out of the sequence of numbers, and starts that go back."""
+    w = Window.partitionBy("video_id").orderBy("step_number", "timestamp_start")
     x = steps.withColumns({"_n": F.row_number().over(w), "_p": F.lag("timestamp_start").over(w)})
-    return x.groupBy("video_id").agg(
-        F.count_if(F.col("_n") != F.col("step_number")).alias("not_contiguous"), F.count_if(F.col("timestamp_start") < F.col("_p")).alias("not_monotonic"),
-        F.count_if(F.col("total_steps") != F.col("_c")).alias("wrong_total") if "_c" in x.columns else F.lit(0).cast("bigint").alias("wrong_total"),
-    )
+    return x.groupBy("video_id").agg(F.count_if(F.col("_n") != F.col("step_number")).alias("not_contiguous"), F.count_if(F.col("timestamp_start") < F.col("_p")).alias("not_monotonic"))
 
 
 def risk(missing_asset: Column, invalid: Column, conflict: Column, uncertain: Column, status: Column) -> Column:

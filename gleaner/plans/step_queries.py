@@ -39,8 +39,8 @@ def tx31_step_risks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 AUDIT = f"""
 {STEPS},
-q AS (SELECT *, row_number() OVER w AS n, lag(timestamp_start) OVER w AS p FROM st WINDOW w AS (PARTITION BY video_id ORDER BY step_number)),
-i AS (SELECT video_id, CAST(count_if(n <> step_number) + count_if(timestamp_start < p) AS BIGINT) AS sequence_issues FROM q GROUP BY video_id),
+q AS (SELECT *, row_number() OVER w AS n, lag(timestamp_start) OVER w AS p FROM st WINDOW w AS (PARTITION BY video_id ORDER BY step_number, timestamp_start)),
+i AS (SELECT video_id, CAST(count_if(n <> step_number) + coalesce(count_if(timestamp_start < p), 0) AS BIGINT) AS sequence_issues FROM q GROUP BY video_id),
 a AS (SELECT video_id, count(*) AS steps, CAST(count_if(risk = 'critical') AS BIGINT) AS critical, CAST(count_if(risk = 'high') AS BIGINT) AS high, CAST(count_if(risk = 'medium') AS BIGINT) AS medium, CAST(count_if(risk = 'low') AS BIGINT) AS low, CAST(sum(missing_assets) AS BIGINT) AS missing_assets FROM f GROUP BY video_id),
 au AS (SELECT a.*, sequence_issues, CAST(100 * critical + 10 * high + 3 * medium + 20 * missing_assets + 25 * sequence_issues AS BIGINT) AS risk_score FROM a JOIN i USING (video_id))
 """
@@ -77,9 +77,9 @@ def tk7_stratified_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return steps.stratified_sample(_findings(spark, sf_dir).select("video_id", "step_number", "risk"), {"high": 20, "medium": 20, "low": 10}, "s1")
 
 
-@query(f"WITH {STEPS} SELECT video_id, CAST(row_number() OVER (PARTITION BY video_id ORDER BY timestamp_start, step_number) AS INTEGER) AS step_number, CAST(count(*) OVER (PARTITION BY video_id) AS INTEGER) AS total_steps, flag FROM st")
+@query(f"WITH {STEPS} SELECT video_id, CAST(row_number() OVER (PARTITION BY video_id ORDER BY timestamp_start, step_number, flag) AS INTEGER) AS step_number, CAST(count(*) OVER (PARTITION BY video_id) AS INTEGER) AS total_steps, flag FROM st")
 def wi4_renumber(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return steps.renumber(_steps(spark, sf_dir)).select("video_id", "step_number", "total_steps", "flag")
+    return steps.renumber(_steps(spark, sf_dir), ("flag",)).select("video_id", "step_number", "total_steps", "flag")
 
 
 @query(f"WITH {STEPS} SELECT flag || '/' || mode AS flag, count(*) AS n, CAST(row_number() OVER (ORDER BY count(*) DESC, flag || '/' || mode) AS INTEGER) AS rank FROM st GROUP BY 1")
