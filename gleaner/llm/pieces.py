@@ -16,13 +16,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Characters of a part of a giant document; documents up to this length are one part.
 PART = 1 << 16
-CACHED_WORDS, CACHED_CHARS = 800_000, 64
+CACHED_WORDS, CACHED_CHARS = 250_000, 64
 SPACE = "▁"
 #: A state: (text of the last piece, characters of it that lie beyond the boundary).
 State = tuple[str, int]
@@ -203,24 +203,33 @@ def encode(docs: DataFrame, model_file: str, text_col: str = "text", part: int =
     Null and empty texts have no pieces. Rows are returned one for one. Documents above `part`
     characters are cut into parts that any task can take; shorter ones are encoded where they are read.
     """
-    kept = [f for f in docs.schema.fields if f.name != text_col]
-    names = [f.name for f in kept]
-    ddl = docs.select(*names).schema.add("pieces", T.ArrayType(T.IntegerType()))
+    long = _is_long(text_col, part)
+    return _short(docs.where(~long), model_file, text_col).unionByName(_giant(docs.where(long), model_file, text_col, part))
+
+
+def _is_long(text_col: str, part: int) -> Column:
+    return F.coalesce(F.length(text_col), F.lit(0)) > part
+
+
+def _short(docs: DataFrame, model_file: str, text_col: str) -> DataFrame:
+    names = [c for c in docs.columns if c != text_col]
 
     def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         coder = pieces(model_file)
         for batch in batches:
-            for i in range(0, len(batch), 2048):
-                some = batch.iloc[i : i + 2048]
+            for i in range(0, len(batch), 512):
+                some = batch.iloc[i : i + 512]
                 ids = coder.encode_normal([coder.normal(x or "") for x in some[text_col]])
                 yield some[names].assign(pieces=pd.Series([np.frombuffer(x, "<i4") for x in ids], index=some.index, dtype=object))
 
-    long = F.coalesce(F.length(text_col), F.lit(0)) > part
-    out = docs.where(~long).mapInPandas(whole, ddl)
-    giants = docs.where(long).select(F.col(text_col).alias("text")).distinct()
-    scanned = _scan(giants, model_file, part)
-    giant_rows = docs.where(long).withColumn("_h", F.xxhash64(text_col)).withColumn("_n", F.length(text_col))
-    return out.unionByName(giant_rows.join(scanned, ["_h", "_n"], "left").select(*names, F.coalesce("pieces", F.array().cast("array<int>")).alias("pieces")))
+    return docs.mapInPandas(whole, docs.select(*names).schema.add("pieces", T.ArrayType(T.IntegerType())))
+
+
+def _giant(docs: DataFrame, model_file: str, text_col: str, part: int) -> DataFrame:
+    names = [c for c in docs.columns if c != text_col]
+    scanned = _scan(docs.select(F.col(text_col).alias("text")).distinct(), model_file, part)
+    rows = docs.withColumn("__h", F.xxhash64(text_col)).withColumn("__n", F.length(text_col))
+    return rows.join(scanned, ["__h", "__n"], "left").select(*names, F.coalesce("pieces", F.array().cast("array<int>")).alias("pieces"))
 
 
 def _scan(texts: DataFrame, model_file: str, part: int) -> DataFrame:
@@ -230,13 +239,13 @@ def _scan(texts: DataFrame, model_file: str, part: int) -> DataFrame:
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         coder = pieces(model_file)
         for batch in batches:
-            for h, n, text in zip(batch["_h"], batch["_n"], batch["text"], strict=True):
+            for h, n, text in zip(batch["__h"], batch["__n"], batch["text"], strict=True):
                 x, r = coder.normal(text), coder.reach
                 for k, i in enumerate(range(0, len(x), part)):
-                    yield pd.DataFrame({"_h": [h], "_n": [n], "k": [k], "before": [x[max(0, i - r) : i]], "own": [x[i : i + part]], "after": [x[i + part : i + part + r]]})
+                    yield pd.DataFrame({"__h": [h], "__n": [n], "k": [k], "before": [x[max(0, i - r) : i]], "own": [x[i : i + part]], "after": [x[i + part : i + part + r]]})
 
-    parts = texts.select(F.xxhash64("text").alias("_h"), F.length("text").alias("_n"), "text")
-    parts = parts.mapInPandas(cut, "_h long, _n int, k int, before string, own string, after string").repartition("_h", "k")
+    parts = texts.select(F.xxhash64("text").alias("__h"), F.length("text").alias("__n"), "text")
+    parts = parts.mapInPandas(cut, "__h long, __n int, k int, before string, own string, after string").repartition("__h", "k")
 
     def matrix(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         coder = pieces(model_file)
@@ -245,12 +254,12 @@ def _scan(texts: DataFrame, model_file: str, part: int) -> DataFrame:
             for before, own, after in zip(b["before"], b["own"], b["after"], strict=True):
                 m = coder.transfer(own + after, len(own), coder.lefts(before + own + after, len(before)))
                 found.append(json.dumps([[x, m[x]] for x in m]))
-            yield b[["_h", "_n", "k"]].assign(m=found)
+            yield b[["__h", "__n", "k"]].assign(m=found)
 
     def states(key: tuple, b: pd.DataFrame) -> pd.DataFrame:
         b = b.sort_values("k")
         path = _prefix_states([{tuple(x): [tuple(r) for r in rs] for x, rs in json.loads(m)} for m in b["m"]])
-        return b[["_h", "_n", "k"]].assign(left=[json.dumps(x) for x in path[:-1]], right=[json.dumps(x) for x in path[1:]])
+        return b[["__h", "__n", "k"]].assign(left=[json.dumps(x) for x in path[:-1]], right=[json.dumps(x) for x in path[1:]])
 
     def trace(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         coder = pieces(model_file)
@@ -259,11 +268,11 @@ def _scan(texts: DataFrame, model_file: str, part: int) -> DataFrame:
                 coder.backtrace(own + after, len(own), tuple(json.loads(a)), tuple(json.loads(z)))
                 for own, after, a, z in zip(b["own"], b["after"], b["left"], b["right"], strict=True)
             ]
-            yield b[["_h", "_n", "k"]].assign(ids=pd.Series([np.array(x, np.int32) for x in ids], index=b.index, dtype=object))
+            yield b[["__h", "__n", "k"]].assign(ids=pd.Series([np.array(x, np.int32) for x in ids], index=b.index, dtype=object))
 
-    known = parts.mapInPandas(matrix, "_h long, _n int, k int, m string").groupBy("_h", "_n").applyInPandas(states, "_h long, _n int, k int, left string, right string")
-    traced = parts.join(known, ["_h", "_n", "k"]).mapInPandas(trace, "_h long, _n int, k int, ids array<int>")
-    return traced.groupBy("_h", "_n").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("k", "ids"))), lambda x: x["ids"])).alias("pieces"))
+    known = parts.mapInPandas(matrix, "__h long, __n int, k int, m string").groupBy("__h", "__n").applyInPandas(states, "__h long, __n int, k int, left string, right string")
+    traced = parts.join(known, ["__h", "__n", "k"]).mapInPandas(trace, "__h long, __n int, k int, ids array<int>")
+    return traced.groupBy("__h", "__n").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("k", "ids"))), lambda x: x["ids"])).alias("pieces"))
 
 
 def decode(rows: DataFrame, model_file: str, pieces_col: str = "pieces", to: str = "text") -> DataFrame:
@@ -278,12 +287,35 @@ def decode(rows: DataFrame, model_file: str, pieces_col: str = "pieces", to: str
     return rows.withColumn(to, run(F.col(pieces_col)))
 
 
-def digest(ids: pd.Series) -> pd.Series:
-    return ids.map(lambda x: zlib.crc32(np.asarray(x, "<u4").tobytes()))
+def round_trip(spark: SparkSession, docs: DataFrame, model_file: str, part: int = PART) -> DataFrame:
+    """(doc_id, n_pieces, pieces_crc32, text_sha256) of every row of docs(doc_id, text).
+
+    The digest of the text is that of what the ids alone decode to. Encoding, decoding and digests of a
+    document are made in one pass over it, so that a task needs one Python worker.
+    """
+    import hashlib
 
+    kind = "doc_id long, n_pieces long, pieces_crc32 long, text_sha256 string"
+
+    def digests(coder: Pieces, doc_ids: pd.Series, ids: list[np.ndarray]) -> pd.DataFrame:
+        return pd.DataFrame({
+            "doc_id": doc_ids.to_numpy(), "n_pieces": [len(x) for x in ids], "pieces_crc32": [zlib.crc32(np.asarray(x, "<u4").tobytes()) for x in ids],
+            "text_sha256": pd.Series([hashlib.sha256(coder.decode(x.tolist()).encode()).hexdigest() for x in ids], dtype=object),
+        })
+
+    def short(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        coder = pieces(model_file)
+        for batch in batches:
+            for i in range(0, len(batch), 512):
+                some = batch.iloc[i : i + 512]
+                ids = coder.encode_normal([coder.normal(x or "") for x in some["text"]])
+                yield digests(coder, some["doc_id"], [np.frombuffer(x, "<u4") for x in ids])
+
+    def later(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        coder = pieces(model_file)
+        for batch in batches:
+            yield digests(coder, batch["doc_id"], [np.asarray(x) for x in batch["pieces"]])
 
-def round_trip(spark: SparkSession, docs: DataFrame, model_file: str) -> DataFrame:
-    """(doc_id, n_pieces, pieces_crc32, text_sha256): encoded, then decoded from the ids alone."""
-    crc = F.pandas_udf(digest, "long")
-    out = decode(encode(docs.select("doc_id", "text"), model_file), model_file)
-    return out.select("doc_id", F.size("pieces").cast("long").alias("n_pieces"), crc("pieces").alias("pieces_crc32"), F.sha2("text", 256).alias("text_sha256"))
+    docs, long = docs.select("doc_id", "text"), _is_long("text", part)
+    giants = _giant(docs.where(long), model_file, "text", part)
+    return docs.where(~long).mapInPandas(short, kind).unionByName(giants.mapInPandas(later, kind))
