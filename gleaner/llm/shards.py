@@ -68,7 +68,7 @@ class ShardStore:
     def append(self, arrivals: DataFrame, by: Column | None = None) -> int:
         """Add the rows of arrivals as small shards, one run for each value of `by`, in one version.
 
-        A table without rows adds none, and no version.
+        A table without rows adds shards without rows, which keep its schema, or none.
         """
         base, at = self.version(), f"{self.path}/shards/{uuid.uuid4().hex}"
         writer = arrivals.write if by is None else arrivals.withColumn("_arrival", by).write.partitionBy("_arrival")
