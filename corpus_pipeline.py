@@ -14,9 +14,13 @@ from gleaner.llm.shared import materialize, table
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without any letter, or whose most probable language has a score below a half, go."""
+    """Documents without any letter, or whose most probable language has a score below a half, go.
+
+    Where no labelled document can be learned from, all documents with a letter stay.
+    """
     out = langid.identify(docs)
-    return out.where((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") >= 0.5)).select(*docs.columns)
+    unsure = (F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") < 0.5)
+    return out.where(F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)) & ~unsure).select(*docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
