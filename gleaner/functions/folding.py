@@ -31,12 +31,17 @@ def _decompositions() -> tuple[str, str, tuple[tuple[str, str], ...]]:
 def drop_marks(c: Column) -> Column:
     """NFKD without combining marks, for the mapped blocks; other characters stay."""
     a, b, many = _decompositions()
-    out = F.regexp_replace(F.translate(c, a, b), r"\p{Mn}+", "")
     found = "[" + "".join(x for x, _ in many) + "]"
-    wide = out
-    for x, y in many:
-        wide = F.replace(wide, F.lit(x), F.lit(y))
-    return F.when(out.rlike(found), wide).otherwise(out)  # rare, so most rows skip the replacements
+
+    def expand(x: Column) -> Column:
+        wide = x
+        for y, z in many:
+            wide = F.replace(wide, F.lit(y), F.lit(z))
+        return F.when(x.rlike(found), wide).otherwise(x)  # rare, so most rows skip the replacements
+
+    out = F.regexp_replace(F.translate(c, a, b), r"\p{Mn}+", "")
+    out = F.transform(F.array(out), expand)[0]  # binds the replaced text to one evaluation
+    return F.when(F.octet_length(c) == F.length(c), c).otherwise(out)  # ASCII text has no marks
 
 
 def casefold(c: Column) -> Column:
