@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 
 BITS, ORDERS = 16, (1, 2, 3)
 #: Characters that are turned into n-grams at once; longer texts are summed over such pieces.
-PIECE = 1 << 20
+PIECE = 1 << 19
 #: Documents of each language that fit the weights, and that fit the temperature.
 FIT_DOCS, CALIBRATE_DOCS = 600, 200
 EPOCHS, ALPHA, BETA, L1, L2, SCALE = 4, 0.5, 1.0, 1e-4, 1e-3, 20.0

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -54,3 +55,15 @@ def discard(df: DataFrame) -> None:
     if path:
         p, fs = hadoop_path(df.sparkSession, path)
         fs.delete(p, True)
+
+
+def by_size(texts: Sequence[str | None], most: int = 1 << 20) -> Iterator[slice]:
+    """Slices of neighbouring texts of about `most` characters, so that what is made of one slice stays small."""
+    start, n = 0, 0
+    for i, text in enumerate(texts):
+        n += len(text or "") + 1
+        if n >= most:
+            yield slice(start, i + 1)
+            start, n = i + 1, 0
+    if start < len(texts):
+        yield slice(start, len(texts))
