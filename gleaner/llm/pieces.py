@@ -20,6 +20,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gleaner.llm.shared import by_size
+
 #: Characters of a part of a giant document; documents up to this length are one part.
 PART = 1 << 16
 CACHED_WORDS, CACHED_CHARS = 250_000, 64
@@ -217,8 +219,8 @@ def _short(docs: DataFrame, model_file: str, text_col: str) -> DataFrame:
     def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         coder = pieces(model_file)
         for batch in batches:
-            for i in range(0, len(batch), 512):
-                some = batch.iloc[i : i + 512]
+            for rows in by_size(batch[text_col].tolist()):
+                some = batch.iloc[rows]
                 ids = coder.encode_normal([coder.normal(x or "") for x in some[text_col]])
                 yield some[names].assign(pieces=pd.Series([np.frombuffer(x, "<i4") for x in ids], index=some.index, dtype=object))
 
@@ -306,8 +308,8 @@ def round_trip(spark: SparkSession, docs: DataFrame, model_file: str, part: int
     def short(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         coder = pieces(model_file)
         for batch in batches:
-            for i in range(0, len(batch), 512):
-                some = batch.iloc[i : i + 512]
+            for rows in by_size(batch["text"].tolist()):
+                some = batch.iloc[rows]
                 ids = coder.encode_normal([coder.normal(x or "") for x in some["text"]])
                 yield digests(coder, some["doc_id"], [np.frombuffer(x, "<u4") for x in ids])
 
