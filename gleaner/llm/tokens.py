@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gleaner.llm.shared import scratch
+from gleaner.llm.shared import by_size, scratch
 
 #: Words whose ids a Python worker remembers, the longest word it remembers, and the words encoded as one text.
 CACHED_WORDS, CACHED_CHARS, GROUP = 1_200_000, 64, 256
@@ -154,8 +154,8 @@ def write_token_shards(docs: DataFrame, path: str, tokenizer_file: str, end_id:
         def ids() -> Iterator[bytes]:
             nonlocal n
             for batch in batches:
-                for i in range(0, len(batch), 2048):
-                    part = batch.iloc[i : i + 2048]
+                for rows in by_size(batch["text"].tolist(), 1 << 22):
+                    part = batch.iloc[rows]
                     encoded = [x + end for x in coder.ids([x or "" for x in part["text"]])]
                     lengths = np.fromiter(map(len, encoded), np.int64, len(encoded)) // width
                     ends = np.cumsum(lengths)
