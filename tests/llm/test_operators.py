@@ -160,6 +160,26 @@ def test_passages(spark, docs, none):
     assert passages.near_duplicate_passages(none).count() == 0
 
 
+def _central(fresh) -> list[str]:
+    """50 words whose smallest shingle hashes of the first two bands are all near the middle."""
+    while True:
+        words = [next(fresh) for _ in range(50)]
+        s = passages.shingle_hashes(" ".join(words))
+        if all(19 <= int(passages.mixed(s, f).argmin()) <= 27 for f in range(4)):
+            return words
+
+
+def test_passages_unlike_heads(spark):
+    """Two documents that share a passage are linked, though those of smaller ids hold only its first or its last part."""
+    r = random.Random(11)
+    fresh = iter(f"w{i}x{r.getrandbits(20)}" for i in range(10_000_000))
+    shared = _central(fresh)
+    parts = [shared[:40]] * 12 + [shared[10:]] * 12 + [shared] * 2
+    texts = [(i, " ".join([next(fresh) for _ in range(60)] + w + [next(fresh) for _ in range(60)])) for i, w in enumerate(parts)]
+    got = {r["doc_id"]: (r["class_id"], r["end_word"] - r["start_word"]) for r in passages.near_duplicate_passages(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    assert 24 in got and 25 in got and got[24][0] == got[25][0] and got[24][1] >= 50
+
+
 def test_compact_windows():
     h = np.array([R.getrandbits(64) for _ in range(90)], np.uint64)
     windows = passages.compact_windows(h, 20)
