@@ -308,6 +308,22 @@ def test_fuzzy_lines(spark):
     assert kept == {group.index(g) for g in set(group)}
 
 
+def test_lines_same_words(spark):
+    """Lines of the same words are each compared with each, not only with one of them that has another order."""
+    words = [x + y for x in ("kalomi", "nepura", "sitobe", "dafigo") for y in ("hu", "xe", "wy")]
+    for seed in range(20):
+        r = random.Random(seed)
+        one = r.sample(words, 8)
+        other = sorted(one, key=lambda w: r.random())
+        texts = [" ".join(one), " ".join([*one, one[-1]]), " ".join(other)]
+        n, s = lines.line_hashes([lines.normal_words(x) for x in texts], {})
+        if n.argmin() == 2:
+            break
+    assert n.argmin() == 2 and len(set(s.tolist())) == 1
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r["doc_id"] for r in lines.deduplicate_lines(df).where("n_kept > 0").collect()} == {0, 2}
+
+
 def test_top_k(spark):
     r = np.random.default_rng(5)
     rows = [(i, [float(x) for x in r.integers(-3, 4, 6) / 4]) for i in range(-100, 420)]
