@@ -25,7 +25,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each repeated line stays once; documents that are left without a letter or digit go."""
-    out = lines.deduplicate_lines(docs)
+    out = lines.deduplicate_lines(docs, bands=lines.BANDS)
     out = out.where(F.col("text").rlike(r"[\p{L}\p{N}]"))
     return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 

@@ -61,7 +61,7 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = lines.deduplicate_lines(table(spark, sf_dir, "documents"))
+    out = lines.deduplicate_lines(table(spark, sf_dir, "documents"), bands=lines.BANDS)
     return out.select("doc_id", "n_lines", "n_kept", F.sha2("text", 256).alias("text_sha256"))
 
 

@@ -324,6 +324,20 @@ def test_lines_same_words(spark):
     assert {r["doc_id"] for r in lines.deduplicate_lines(df).where("n_kept > 0").collect()} == {0, 2}
 
 
+def test_lines_recall(spark):
+    """One word of 10 to 40 replaced, or one letter, beyond three bits of SimHash: against edit similarity alone."""
+    r = random.Random(21)
+    base = [[f"{r.choice(VOCABULARY)}{r.choice(VOCABULARY)}" for _ in range(n)] for n in (10, 15, 20, 30, 40) for _ in range(40)]
+    texts = [" ".join(w) for w in base]
+    for k, w in enumerate(base):
+        at = r.randrange(len(w))
+        new = r.choice(VOCABULARY) + "x" if k % 2 else w[at][:-1] + "x"
+        texts.append(" ".join([*w[:at], new, *w[at + 1 :]]))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    gone = lines.deduplicate_lines(df, bands=lines.BANDS).where("n_kept = 0").count()
+    assert gone >= 0.97 * len(base)
+
+
 def test_top_k(spark):
     r = np.random.default_rng(5)
     rows = [(i, [float(x) for x in r.integers(-3, 4, 6) / 4]) for i in range(-100, 420)]
