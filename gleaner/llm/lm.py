@@ -14,12 +14,13 @@ from gleaner.llm import recurrent
 from gleaner.llm.recurrent import Weights
 from gleaner.llm.shared import materialize
 
-#: Words that the network tells apart; every other word is its last token, refined by word counts.
-HEAD = 1023
+#: The network tells at least so many words apart, and one in so many of the counted ones beyond that; every other
+#: word is its last token, refined by word counts.
+HEAD, HEAD_SHARE = 1023, 16
 #: Words, the most frequent ones, whose counts every task holds; the counts of others are joined.
 COUNTED = 300_000
-#: One training document in so many is passed through the network, over so many rounds of averaging.
-SHARE, ROUNDS = 16, 2
+#: One training document in so many is passed through the network (1: all), over so many rounds of averaging.
+SHARE, ROUNDS = 1, 2
 END = "\n"  # no word holds a line feed
 LOG10 = float(np.log(10))
 
@@ -93,12 +94,13 @@ def _frequent(counts: DataFrame, most: int) -> dict[str, int]:
     return dict(zip(rows["word"], rows["c"].tolist(), strict=True))
 
 
-def score(docs: DataFrame, held: Column, train_on: Column, share: int = SHARE, rounds: int = ROUNDS, head: int = HEAD, counted: int = COUNTED) -> DataFrame:
+def score(docs: DataFrame, held: Column, train_on: Column, share: int = SHARE, rounds: int = ROUNDS, head: int | None = None, counted: int = COUNTED) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of docs(doc_id, text).
 
     Words are counted over all rows where train_on holds, and these counts give base_score and the
-    probabilities of words outside the network's head. The network is trained on every share-th of
-    those rows by a hash of the id, in all tasks at once with averaged weights. A null text is empty:
+    probabilities of words outside the network's head, which grows with the counted vocabulary where
+    `head` is not given. The network is trained on every share-th of those rows (all of them for 1), each
+    in one of the rounds by a hash of id and text, in all tasks at once with averaged weights. A null text is empty:
     its one token is the end. Without training rows all counts are zero and the network is untrained.
     """
     spark = docs.sparkSession
@@ -107,6 +109,8 @@ def score(docs: DataFrame, held: Column, train_on: Column, share: int = SHARE, r
     row = counts.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).first()
     n, v = int(row["n"] or 0), int(row["v"])
     known = _frequent(counts, counted)
+    if head is None:
+        head = max(HEAD, len(known) // HEAD_SHARE)
     if END not in known:
         end = counts.where(F.col("word") == END).first()
         known[END] = end["c"] if end else 0
@@ -116,7 +120,7 @@ def score(docs: DataFrame, held: Column, train_on: Column, share: int = SHARE, r
     weights = Weights.fresh(len(ids) + 1)
     weights.start_at(np.append(head_counts, other))
     for r in range(rounds):
-        picked = F.pmod(F.xxhash64("doc_id"), F.lit(share * rounds)) == r
+        picked = F.pmod(F.xxhash64("doc_id", "text"), F.lit(share * rounds)) == r
         weights = _averaged(docs.where(F.col("_train") & picked), weights, ids)
 
     spread, rest = n + 0.1 * (v + 1), other + 0.1 * max(1, v + 1 - len(ids))

@@ -242,6 +242,23 @@ def test_lm(spark, docs, none):
     assert lm.score(none, held, ~held).count() == 0
 
 
+def test_lm_learns_from_all(spark, docs, monkeypatch):
+    """Every training row reaches the network in exactly one round, and its head grows with the vocabulary."""
+    seen, sizes = [], []
+
+    def note(rows, weights, ids):
+        seen.extend(r["text"] for r in rows.select("text").collect())
+        sizes.append(len(ids))
+        return weights
+
+    monkeypatch.setattr(lm, "_averaged", note)
+    rows = [(i, f"word{i} other{i}") for i in range(12_000)] + [(None, "no id"), (None, "none either")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    lm.score(df, F.lit(False), F.lit(True)).count()
+    assert sorted(seen) == sorted(t for _, t in rows)
+    assert sizes[0] > 1023
+
+
 def test_recurrent_gradient():
     """Log-probabilities sum to one over the vocabulary, and training raises the likelihood."""
     w = recurrent.Weights.fresh(64)
