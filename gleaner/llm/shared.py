@@ -6,7 +6,10 @@ import tempfile
 import uuid
 from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,3 +70,44 @@ def by_size(texts: Sequence[str | None], most: int = 1 << 20) -> Iterator[slice]
             start, n = i + 1, 0
     if start < len(texts):
         yield slice(start, len(texts))
+
+
+def whole_groups(batches: Iterator[pd.DataFrame], by: list[str]) -> Iterator[tuple[pd.DataFrame, np.ndarray]]:
+    """Frames of whole groups, and the first row of each, from rows that come sorted by the columns `by`."""
+    kept: list[pd.DataFrame] = []  # the last group so far
+    last: tuple | None = None
+
+    def joined(parts: list[pd.DataFrame]) -> tuple[pd.DataFrame, np.ndarray]:
+        x = pd.concat(parts, ignore_index=True) if len(parts) > 1 else parts[0].reset_index(drop=True)
+        k = x[by].to_numpy()
+        return x, np.flatnonzero(np.concatenate(([True], (k[1:] != k[:-1]).any(1))))
+
+    for x in batches:
+        if not len(x):
+            continue
+        k = x[by].to_numpy()
+        new = np.concatenate(([tuple(k[0]) != last], (k[1:] != k[:-1]).any(1)))
+        last = tuple(k[-1])
+        at = np.flatnonzero(new)
+        if len(at):
+            done = [*kept, x.iloc[: at[-1]]]
+            if sum(map(len, done)):
+                yield joined([p for p in done if len(p)])
+            kept = [x.iloc[at[-1] :]]
+        else:
+            kept.append(x)
+    if kept:
+        yield joined(kept)
+
+
+def dealt(members: DataFrame, counted: DataFrame, row: str, hot: int) -> DataFrame:
+    """members(key, ...) with the parts p, i and j of their key: every two rows of a key meet in one group (key, i, j).
+
+    counted has the number of rows, `size`, of each key that counts; members of others go. A key of more
+    than `hot` rows is split by the hash of the column `row`; a row then meets those of its own part
+    where i = j, and those of the other part where they differ.
+    """
+    parts = counted.select("key", F.ceil(F.col("size") / F.lit(hot)).cast("int").alias("parts"))
+    x = members.join(parts, "key").withColumn("p", F.pmod(F.xxhash64(row), F.col("parts")).cast("int"))
+    x = x.withColumn("q", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    return x.withColumns({"i": F.least("p", "q"), "j": F.greatest("p", "q")}).drop("q", "parts")
