@@ -3,163 +3,212 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.llm import recurrent
-from gleaner.llm.recurrent import Weights
-from gleaner.llm.shared import materialize
+from gleaner.llm.hashing import spaced_words
+from gleaner.llm.recurrent import REST, Weights
+from gleaner.llm.shared import by_size, discard, materialize, whole_groups
 
 #: The network tells at least so many words apart, and one in so many of the counted ones beyond that; every other
-#: word is its last token, refined by word counts.
-HEAD, HEAD_SHARE = 1023, 16
+#: word is its token REST, refined by word counts.
+HEAD, HEAD_SHARE = 2046, 128
 #: Words, the most frequent ones, whose counts every task holds; the counts of others are joined.
 COUNTED = 300_000
-#: One training document in so many is passed through the network (1: all), over so many rounds of averaging.
-SHARE, ROUNDS = 1, 2
-END = "\n"  # no word holds a line feed
+#: Training tokens of a shard, which one task learns from in one pass, and rounds of averaging the shards' weights.
+SHARD, ROUNDS = 2_000_000, 2
+#: The key of the token that ends a document; a word's key is a hash of its bytes.
+END_KEY = np.uint64(1)
+#: Characters that are scored at once.
+SLICE = 1 << 22
 LOG10 = float(np.log(10))
 
 
-def words(text: str | None) -> list[str]:
-    """Runs of all but the six ASCII space characters, A-Z lower-cased, and the end token."""
-    return [w.decode("utf-8", "surrogateescape") for w in (text or "").encode("utf-8", "surrogatepass").lower().split()] + [END]
+def keys(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """(keys of the tokens of all texts, tokens of each): runs of all but the six ASCII space characters, A-Z lower-cased, and an end."""
+    h, n = spaced_words(texts)
+    out = np.full(len(h) + len(n), END_KEY)
+    out[np.arange(len(h)) + np.repeat(np.arange(len(n)), n)] = h
+    return out, n + 1
+
+
+class Table:
+    """The places of 64-bit keys in a list, looked up for many keys at once: open addressing by their highest bits."""
+
+    def __init__(self, listed: np.ndarray) -> None:
+        bits = max(8, int(4 * len(listed)).bit_length())
+        self.listed, self.shift, self.slots = listed, np.uint64(64 - bits), np.full(1 << bits, -1, np.int32)
+        left, at = np.arange(len(listed)), (listed >> self.shift).astype(np.int64)
+        while len(left):
+            free = self.slots[at[left]] < 0
+            self.slots[at[left[free]]] = left[free]
+            left = left[self.slots[at[left]] != left]
+            at[left] = (at[left] + 1) & (len(self.slots) - 1)
+
+    def find(self, wanted: np.ndarray) -> np.ndarray:
+        """The place of each key in the list, or -1."""
+        out, left, at = np.full(len(wanted), -1), np.arange(len(wanted)), (wanted >> self.shift).astype(np.int64)
+        while len(left):
+            place = self.slots[at]
+            some = place >= 0
+            left, at, place = left[some], at[some], place[some]
+            hit = self.listed[place] == wanted[left]
+            out[left[hit]] = place[hit]
+            left, at = left[~hit], (at[~hit] + 1) & (len(self.slots) - 1)
+        return out
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
-    """(word, c) over all rows of docs(text)."""
+    """(word, c) over all rows of docs(text); a word is named by its key."""
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from collections import Counter
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting, n = [], 0
 
-        some: Counter[str] = Counter()
-
-        def counted() -> pd.DataFrame:
-            return pd.DataFrame({"word": pd.Series(list(some), dtype=object), "c": pd.Series(list(some.values()), dtype="int64")})
+        def counted() -> pa.RecordBatch:
+            word, c = np.unique(np.concatenate(waiting), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(c)], ["word", "c"])
 
         for batch in batches:
-            for text in batch["text"]:
-                some.update(words(text))
-                if len(some) > 500_000:
+            texts = batch.column(0).to_pylist()
+            for some in by_size(texts):
+                k, _ = keys(texts[some])
+                waiting.append(k)
+                n += len(k)
+                if n > 2_000_000:
                     yield counted()
-                    some.clear()
-        yield counted()
+                    waiting, n = [], 0
+        if waiting:
+            yield counted()
+
+    return docs.select("text").mapInArrow(count, "word long, c long").groupBy("word").agg(F.sum("c").alias("c"))
+
 
-    return docs.select("text").mapInPandas(count, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
+def _sharded(docs: DataFrame, known: np.ndarray, ids: np.ndarray, shards: int) -> DataFrame:
+    """(shard, own, tokens): the network's tokens of each row of docs(doc_id, text), 16 bits each, in a shard by a hash of id and text."""
+    shared = docs.sparkSession.sparkContext.broadcast((known, ids))  # bounded by the counted words
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, ids = shared.value
+        table, ids = Table(known), np.append(ids, REST).astype(np.uint16)
+        for batch in batches:
+            own, texts = batch.column(0), batch.column(1).to_pylist()
+            for some in by_size(texts):
+                k, n = keys(texts[some])
+                t = ids[table.find(k)].tobytes()
+                ends = 2 * np.cumsum(n)
+                yield pa.RecordBatch.from_arrays([own.slice(some.start, len(n)), pa.array([t[e - 2 * m : e] for e, m in zip(ends.tolist(), n.tolist(), strict=True)], pa.binary())], ["own", "tokens"])
 
-def _tokens(text: str | None, ids: dict[str, int]) -> np.ndarray:
-    rest = len(ids)
-    return np.fromiter((ids.get(w, rest) for w in words(text)), np.int64)
+    own = F.xxhash64("doc_id", "text").alias("own")
+    return docs.select(own, "text").mapInArrow(run, "own long, tokens binary").select(F.pmod("own", F.lit(shards)).cast("int").alias("shard"), "own", "tokens")
 
 
-def _averaged(docs: DataFrame, weights: Weights, ids: dict[str, int]) -> Weights:
-    """Weights trained in every task on its rows of docs(text), averaged by the tokens they saw."""
+def _averaged(sharded: DataFrame, weights: Weights) -> Weights:
+    """Weights trained on each shard in one pass, in order of its hashes, and averaged by the tokens they saw."""
     size, piece = len(weights.flat()), 4096
-    shared = docs.sparkSession.sparkContext.broadcast((weights, ids))
+    shared = sharded.sparkSession.sparkContext.broadcast(weights)
 
     def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        start, ids = shared.value
-        w, n = start.load(start.flat()), 0
-        for batch in batches:
-            for i in range(0, len(batch), 256):
-                own = [_tokens(t, ids) for t in batch["text"].iloc[i : i + 256]]
-                n += sum(map(len, own))
-                recurrent.train(w, own)
+        start, total, n = shared.value, np.zeros(size), 0
+        for x, begins in whole_groups(batches, ["shard"]):
+            for a, b in zip(begins.tolist(), [*begins[1:].tolist(), len(x)], strict=True):
+                own = x["tokens"].iloc[a:b]
+                tokens, lengths = np.frombuffer(b"".join(own), np.uint16), np.array([len(t) // 2 for t in own])
+                total += recurrent.train(start.load(start.flat()), tokens, lengths).flat().astype(np.float64) * len(tokens)
+                n += len(tokens)
         if n:
-            flat = w.flat().astype(np.float64) * n
-            yield pd.DataFrame({"k": np.arange(-(-size // piece)), "n": n, "w": [flat[i : i + piece] for i in range(0, size, piece)]})
+            yield pd.DataFrame({"k": np.arange(-(-size // piece)), "n": n, "w": [total[i : i + piece] for i in range(0, size, piece)]})
 
-    # as many tasks as the cluster has cores, not as the input has blocks: each gives one set of weights
-    few = docs.select("text").coalesce(docs.sparkSession.sparkContext.defaultParallelism)
-    parts = few.mapInPandas(fit, "k int, n long, w array<double>")
-    total = parts.select("k", "n", F.posexplode("w").alias("i", "x")).groupBy("k", "i").agg((F.sum("x") / F.sum("n")).alias("x"))
+    parts = sharded.repartition("shard").sortWithinPartitions("shard", "own").mapInPandas(fit, "k int, n long, w array<double>")
+    summed = parts.select("k", "n", F.posexplode("w").alias("i", "x")).groupBy("k", "i").agg((F.sum("x") / F.sum("n")).alias("x"))
     flat = weights.flat().astype(np.float64)
-    for r in total.toLocalIterator():  # the weights of one network
-        flat[r["k"] * piece + r["i"]] = r["x"]
+    for r in summed.groupBy("k").agg(F.collect_list(F.struct("i", "x")).alias("w")).toLocalIterator():  # the weights of one network
+        flat[r["k"] * piece + np.array([x["i"] for x in r["w"]])] = [x["x"] for x in r["w"]]
     return weights.load(flat)
 
 
-def _frequent(counts: DataFrame, most: int) -> dict[str, int]:
-    """The words of the highest counts, `most` at most, with all words of the lowest count taken or none."""
+def _frequent(counts: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, counts) of the words of the highest counts, `most` at most, with all words of the lowest count taken or none."""
     by = counts.groupBy(F.least("c", F.lit(1_000_000)).alias("c")).agg(F.count(F.lit(1)).alias("n")).toPandas().sort_values("c", ascending=False)
     low = by["c"][by["n"].cumsum() <= most].min()
     if not low > 0:
-        return {}
-    rows = counts.where(F.col("c") >= int(low)).toPandas().sort_values(["c", "word"], ascending=[False, True])
-    return dict(zip(rows["word"], rows["c"].tolist(), strict=True))
+        return np.empty(0, np.uint64), np.empty(0, np.int64)
+    rows = counts.where((F.col("c") >= int(low)) & (F.col("word") != int(END_KEY))).toPandas().sort_values(["c", "word"], ascending=[False, True])
+    return rows["word"].to_numpy(np.int64).view(np.uint64), rows["c"].to_numpy(np.int64)
 
 
-def score(docs: DataFrame, held: Column, train_on: Column, share: int = SHARE, rounds: int = ROUNDS, head: int | None = None, counted: int = COUNTED) -> DataFrame:
+def score(docs: DataFrame, held: Column, train_on: Column, rounds: int = ROUNDS, head: int | None = None, counted: int = COUNTED, shard: int = SHARD) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of docs(doc_id, text).
 
     Words are counted over all rows where train_on holds, and these counts give base_score and the
     probabilities of words outside the network's head, which grows with the counted vocabulary where
-    `head` is not given. The network is trained on every share-th of those rows (all of them for 1), each
-    in one of the rounds by a hash of id and text, in all tasks at once with averaged weights. A null text is empty:
-    its one token is the end. Without training rows all counts are zero and the network is untrained.
+    `head` is not given. The network is trained on every one of those rows: a hash of id and text puts
+    each in a shard of about `shard` tokens, and each shard in one of the rounds; the shards of a round
+    are learned from at once, each from the weights of the round before, and their weights are averaged.
+    So the result depends on the rows only, not on files or cores, up to rounding. A null text is empty:
+    its one token is the end. Rows with a null id or a null in a column are scored like any other; whether
+    they are learned from is up to train_on (op7: they are held out). Rows that repeat are scored each and
+    learned from each. Without training rows all counts are zero and the network is untrained. Other
+    columns of docs are not returned.
     """
     spark = docs.sparkSession
-    docs = docs.select("doc_id", "text", held.alias("held_out"), train_on.alias("_train"))
-    counts = materialize(word_counts(docs.where("_train")), "words")
+    docs = docs.select("doc_id", "text", held.alias("held_out"), train_on.alias("train_on"))
+    learned = docs.where("train_on").select("doc_id", "text")
+    counts = materialize(word_counts(learned), "words")
     row = counts.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).first()
     n, v = int(row["n"] or 0), int(row["v"])
-    known = _frequent(counts, counted)
-    if head is None:
-        head = max(HEAD, len(known) // HEAD_SHARE)
-    if END not in known:
-        end = counts.where(F.col("word") == END).first()
-        known[END] = end["c"] if end else 0
-    ids = {w: i for i, w in enumerate([END, *[w for w in known if w != END][: head - 1]])}
-    head_counts = np.array([known.get(w, 0) for w in ids], np.int64)
-    other = n - int(head_counts.sum())
-    weights = Weights.fresh(len(ids) + 1)
-    weights.start_at(np.append(head_counts, other))
-    for r in range(rounds):
-        picked = F.pmod(F.xxhash64("doc_id", "text"), F.lit(share * rounds)) == r
-        weights = _averaged(docs.where(F.col("_train") & picked), weights, ids)
-
-    spread, rest = n + 0.1 * (v + 1), other + 0.1 * max(1, v + 1 - len(ids))
-    table = {w: (ids.get(w, len(ids)), i) for i, w in enumerate(known)}
-    c = np.array(list(known.values()), np.int64)
-    shared = spark.sparkContext.broadcast((weights, table, c, len(ids)))  # bounded by head and counted
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import xxhash
-
-        weights, table, c, size = shared.value
-        missing, log_c = (size, len(c)), np.append(np.log10(c + 0.1), 0.0)
+    known, c = _frequent(counts, counted)
+    end = counts.where(F.col("word") == int(END_KEY)).first()
+    known, c = np.append(END_KEY, known), np.append(end["c"] if end else 0, c)
+    in_head = min(len(known), 1 + (max(HEAD, len(known) // HEAD_SHARE) if head is None else head))
+    # token 0 is the end, 1 is REST, then the head's words by frequency
+    ids = np.where(np.arange(len(known)) < in_head, np.arange(len(known)) + 1, REST)
+    ids[0] = recurrent.END
+    other = n - int(c[:in_head].sum())
+    weights = Weights.fresh(np.concatenate((c[:1], [other], c[1:in_head])).astype(np.float64))
+    if n:
+        shards = max(rounds, -(-n // shard))
+        sharded = materialize(_sharded(learned, known, ids, shards), "shards")
+        for r in range(rounds):
+            weights = _averaged(sharded.where(F.col("shard") % rounds == r), weights)
+        discard(sharded)
+
+    spread, rest = n + 0.1 * (v + 1), other + 0.1 * max(1, v + 1 - in_head)
+    shared = spark.sparkContext.broadcast((weights, known, c, ids))  # bounded by head and counted
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights, known, c, ids = shared.value
+        table, tokens_of = Table(known), np.append(ids, REST)
+        log_c, seen = np.append(np.log10(c + 0.1), 0.0), np.append(c > 0, False)
         for batch in batches:
-            own, rows = [], []
-            for doc_id, held_out, h, text in zip(batch["doc_id"], batch["held_out"], batch["h"], batch["text"], strict=True):
-                ws = words(text)
-                pairs = np.fromiter(chain.from_iterable(table.get(w, missing) for w in ws), np.int64, 2 * len(ws)).reshape(-1, 2)
-                t, at = pairs[:, 0], pairs[:, 1]
-                gone = at == len(c)
-                own.append(t)
-                tail = [xxhash.xxh64_intdigest(ws[i].encode("utf-8", "surrogateescape"), 42) for i in np.flatnonzero(gone).tolist()]
-                logs = log_c[at]
-                rows.append((
-                    doc_id, held_out, h, len(ws), int((c[at[~gone]] > 0).sum()), float(logs.sum() - np.log10(spread) * (~gone).sum()),
-                    float((logs - np.log10(rest))[(t == size) & ~gone].sum()), np.array(tail, np.uint64).view(np.int64),
-                ))
-            out = pd.DataFrame(rows, columns=["doc_id", "held_out", "h", "n_tokens", "known", "base", "net", "tail"])
-            out["net"] += recurrent.score(weights, own) / LOG10
-            yield out.astype({"doc_id": "Int64", "h": "int64"})
-
-    kind = "doc_id long, held_out boolean, h long, n_tokens long, known long, base double, net double, tail array<long>"
-    scored = materialize(docs.select("doc_id", "held_out", "text", F.xxhash64("text").alias("h")).mapInPandas(run, kind), "scored")
+            texts = batch.column(2).to_pylist()
+            for some in by_size(texts, SLICE):
+                k, size = keys(texts[some])
+                at = table.find(k)
+                t, owner = tokens_of[at], np.repeat(np.arange(len(size)), size)
+                logs, gone = log_c[at], at < 0
+
+                def summed(x: np.ndarray, owner=owner, size=size) -> np.ndarray:
+                    return np.bincount(owner, weights=x, minlength=len(size))
+
+                net = recurrent.score(weights, t, size) / LOG10 + summed(np.where((t == REST) & ~gone, logs - np.log10(rest), 0))
+                tails = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(summed(gone)))).astype(np.int32)), pa.array(k[gone].view(np.int64)))
+                yield pa.RecordBatch.from_arrays([
+                    *(batch.column(i).slice(some.start, len(size)) for i in (0, 1)), pa.array(size.astype(np.int64)), pa.array(summed(seen[at]).astype(np.int64)),
+                    pa.array(summed(np.where(gone, 0, logs - np.log10(spread)))), pa.array(net), tails,
+                ], ["doc_id", "held_out", "n_tokens", "known", "base", "net", "tail"])
+
+    kind = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, held_out boolean, n_tokens long, known long, base double, net double, tail array<long>"
+    scored = docs.select("doc_id", "held_out", "text").mapInArrow(run, kind)
+    scored = materialize(scored.withColumn("row", F.monotonically_increasing_id()), "scored")
     # words that are not among the frequent ones: their counts are joined
-    tail = scored.where(F.size("tail") > 0).dropDuplicates(["doc_id", "h"]).select("doc_id", "h", F.explode("tail").alias("word"))
-    tail = tail.join(counts.select(F.xxhash64("word").alias("word"), "c"), "word", "left").select("doc_id", "h", F.coalesce("c", F.lit(0)).alias("c"))
-    tail = tail.groupBy(F.col("doc_id").alias("t_id"), F.col("h").alias("t_h")).agg(
-        F.count(F.lit(1)).alias("m"), F.count_if(F.col("c") > 0).alias("t_known"), F.sum(F.log10(F.col("c") + 0.1)).alias("logs"),
-    )
-    out = scored.drop("tail").join(tail, F.col("doc_id").eqNullSafe(F.col("t_id")) & (F.col("h") == F.col("t_h")), "left")
+    tail = scored.select("row", F.explode("tail").alias("word")).join(counts.hint("merge"), "word", "left").select("row", F.coalesce("c", F.lit(0)).alias("c"))
+    tail = tail.groupBy("row").agg(F.count(F.lit(1)).alias("m"), F.count_if(F.col("c") > 0).alias("t_known"), F.sum(F.log10(F.col("c") + 0.1)).alias("logs"))
+    out = scored.drop("tail").join(tail.hint("merge"), "row", "left")
     logs, m = F.coalesce("logs", F.lit(0.0)), F.coalesce("m", F.lit(0))
     return out.select(
         "doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("t_known", F.lit(0))).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),

@@ -2,55 +2,63 @@
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 
 HIDDEN, CLASSES = 16, 32
-#: Parallel streams of documents, and steps after which gradients are cut and outputs are scored.
-LANES, WINDOW = 256, 32
+#: Parallel streams of documents in scoring and in training, and steps after which gradients are cut.
+LANES, TRAIN_LANES, WINDOW = 256, 256, 32
+#: Steps of gradients that a pass over few tokens makes at least, their rate, and where their squares start.
+STEPS, RATE, FIRST = 200, 0.05, 1e-4
+END, REST = 0, 1
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+    with np.errstate(over="ignore"):
+        return 1 / (1 + np.exp(-x))
 
 
 @dataclass
 class Weights:
-    """Tokens 0..size-1; token t is of class t // width. The last token stands for every rarer word."""
+    """Tokens 0..size-1, the frequent ones first; class c holds the tokens cuts[c] to cuts[c + 1].
 
-    size: int
-    width: int
+    Token REST stands for every word outside the head. Classes have equal sums of the square roots of
+    counts, which makes frequent words cheap: few of them share a class.
+    """
+
+    cuts: np.ndarray
     p: dict[str, np.ndarray] = field(default_factory=dict)
 
+    @property
+    def size(self) -> int:
+        return int(self.cuts[-1])
+
     @classmethod
-    def fresh(cls, size: int) -> Weights:
-        width = -(-size // CLASSES)
-        full, h, r = width * CLASSES, HIDDEN, np.random.default_rng(0)
-        f = np.float32
-        w = cls(size, width)
+    def fresh(cls, counts: np.ndarray) -> Weights:
+        """Small random weights, and biases by which training starts at the distribution of the counts."""
+        mass = np.cumsum(np.sqrt(counts + 0.1))
+        inner = np.searchsorted(mass, mass[-1] * np.arange(1, CLASSES) / CLASSES) + 1
+        cuts = np.unique(np.concatenate(([0], np.minimum(inner, len(counts)), [len(counts)])))
+        n, h, r, f = len(counts), HIDDEN, np.random.default_rng(0), np.float32
+        share = (counts + 0.1) / (counts + 0.1).sum()
+        of_class = np.add.reduceat(share, cuts[:-1])
+        w = cls(cuts)
         w.p = {
-            "embed": r.normal(0, 0.3, (full + 1, 3 * h)).astype(f),  # the last row: before the first token
-            "u": r.normal(0, 0.2, (h, 3 * h)).astype(f),
-            "class_w": r.normal(0, 0.1, (h, CLASSES)).astype(f), "class_b": np.zeros(CLASSES, f),
-            "word_w": r.normal(0, 0.1, (CLASSES, h, width)).astype(f), "word_b": np.zeros((CLASSES, width), f),
+            "embed": r.normal(0, 0.2, (n + 1, 3 * h)).astype(f),  # the last row: before the first token
+            "u": r.normal(0, 0.15, (h, 3 * h)).astype(f),
+            "class_w": r.normal(0, 0.05, (h, len(of_class))).astype(f), "class_b": np.log(of_class).astype(f),
+            "word_w": r.normal(0, 0.05, (n, h)).astype(f), "word_b": np.log(share / np.repeat(of_class, np.diff(cuts))).astype(f),
         }
         return w
 
-    def start_at(self, counts: np.ndarray) -> None:
-        """Biases from token counts, so that training starts at the unigram distribution."""
-        full = np.full(self.width * CLASSES, 1e-9)
-        full[: self.size] = counts + 0.1
-        by_class = full.reshape(CLASSES, self.width)
-        self.p["class_b"] = np.log(by_class.sum(1) / full.sum()).astype(np.float32)
-        self.p["word_b"] = np.log(by_class / by_class.sum(1, keepdims=True)).astype(np.float32)
-
     def flat(self) -> np.ndarray:
         return np.concatenate([self.p[k].ravel() for k in sorted(self.p)])
 
     def load(self, flat: np.ndarray) -> Weights:
-        at, out = 0, Weights(self.size, self.width)
+        at, out = 0, Weights(self.cuts)
         for k in sorted(self.p):
             n = self.p[k].size
             out.p[k] = flat[at : at + n].reshape(self.p[k].shape).astype(np.float32)
@@ -59,139 +67,158 @@ class Weights:
 
     def step(self, inputs: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
         k = HIDDEN
-        x, u = self.p["embed"][inputs], self.p["u"]
-        rz = _sigmoid(x[:, : 2 * k] + h @ u[:, : 2 * k])
-        r, z = rz[:, :k], rz[:, k:]
-        hu = h @ u[:, 2 * k :]
+        x, g = self.p["embed"][inputs], h @ self.p["u"]
+        rz = _sigmoid(x[:, : 2 * k] + g[:, : 2 * k])
+        r, z, hu = rz[:, :k], rz[:, k:], g[:, 2 * k :]
         c = np.tanh(x[:, 2 * k :] + r * hu)
         return h + z * (c - h), r, z, c, hu
 
-    def log_probs(self, hs: np.ndarray, targets: np.ndarray, grads: dict[str, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray | None]:
-        """Natural log-probabilities of the targets, and the gradient at hs if grads is to be filled."""
-        p, n = self.p, np.arange(len(hs))
-        cls, word = targets // self.width, targets % self.width
+    def log_probs(self, hs: np.ndarray, targets: np.ndarray, learn=None) -> tuple[np.ndarray, np.ndarray | None]:
+        """Natural log-probabilities of the targets; with learn(name, rows, gradient), also the gradient at hs.
+
+        Biases are logarithms of shares to begin with and states lie between -1 and 1, so no exponential comes
+        near the range of 32 bits.
+        """
+        p, cuts = self.p, self.cuts
+        cls = np.searchsorted(cuts, targets, "right") - 1
         a = hs @ p["class_w"] + p["class_b"]
-        a -= a.max(1, keepdims=True)
-        e = np.exp(a)
+        out = a[np.arange(len(hs)), cls]
+        e = np.exp(a, out=a)
         s = e.sum(1)
-        out = a[n, cls] - np.log(s)
-        back = None
-        if grads is not None:
-            d = e / s[:, None]
-            d[n, cls] -= 1
-            grads["class_w"] += hs.T @ d
-            grads["class_b"] += d.sum(0)
-            back = d @ p["class_w"].T
+        out -= np.log(s)
+        back, later = None, []
+        if learn is not None:
+            e /= s[:, None]
+            e[np.arange(len(hs)), cls] -= 1
+            later += [("class_w", slice(None), hs.T @ e), ("class_b", slice(None), e.sum(0))]
+            back = e @ p["class_w"].T
         order = np.argsort(cls, kind="stable")
-        bounds = np.searchsorted(cls[order], np.arange(CLASSES + 1))
-        for c in range(CLASSES):
-            at = order[bounds[c] : bounds[c + 1]]
-            if not len(at):
-                continue
-            h = hs[at]
-            b = h @ p["word_w"][c] + p["word_b"][c]
-            b -= b.max(1, keepdims=True)
-            e = np.exp(b)
+        bounds = np.searchsorted(cls[order], np.arange(len(cuts)))
+        for c in np.flatnonzero(np.diff(bounds)).tolist():
+            at, own = order[bounds[c] : bounds[c + 1]], slice(cuts[c], cuts[c + 1])
+            if own.stop - own.start == 1:
+                continue  # the one word of a class is certain in it
+            h, w, m = hs[at], p["word_w"][own], np.arange(len(at))
+            b = h @ w.T
+            b += p["word_b"][own]
+            word = targets[at] - cuts[c]
+            mine = b[m, word]
+            e = np.exp(b, out=b)
             s = e.sum(1)
-            m = np.arange(len(at))
-            out[at] += b[m, word[at]] - np.log(s)
-            if grads is not None:
-                d = e / s[:, None]
-                d[m, word[at]] -= 1
-                grads["word_w"][c] += h.T @ d
-                grads["word_b"][c] += d.sum(0)
-                back[at] += d @ p["word_w"][c].T
+            out[at] += mine - np.log(s)
+            if learn is not None:
+                e /= s[:, None]
+                e[m, word] -= 1
+                back[at] += e @ w
+                later += [("word_w", own, e.T @ h), ("word_b", own, e.sum(0))]
+        for x in later:
+            learn(*x)
         return out, back
 
 
-def streams(lengths: np.ndarray, lanes: int = LANES) -> list[list[int]]:
+def streams(lengths: np.ndarray, lanes: int) -> list[list[int]]:
     """Documents dealt to lanes, the longest first, each to the lane with the fewest steps so far."""
-    import heapq
-
     heap = [(0, i) for i in range(min(lanes, max(1, len(lengths))))]
     out: list[list[int]] = [[] for _ in heap]
-    for d in np.argsort(-lengths, kind="stable"):
+    for d in np.argsort(-lengths, kind="stable").tolist():
         n, i = heap[0]
-        out[i].append(int(d))
+        out[i].append(d)
         heapq.heapreplace(heap, (n + int(lengths[d]), i))
     return out
 
 
-def windows(docs: list[np.ndarray], lanes: int = LANES) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(tokens, documents, first, active) of each window of the lanes' streams; rows are steps.
+def windows(tokens: np.ndarray, lengths: np.ndarray, lanes: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(tokens, documents, first) of each window of the lanes' streams; rows are steps, document -1 is none.
 
-    Lanes are ordered by length, so the active ones are a prefix; the state of a lane is carried from
-    one window to the next and reset where a document begins.
+    Lanes are ordered by length, so those of a window are the first ones; the state of a lane is carried
+    from one window to the next and reset where a document begins.
     """
-    lengths = np.array([len(x) for x in docs])
-    dealt = sorted(streams(lengths, lanes), key=lambda ds: -sum(lengths[d] for d in ds))
-    token = [np.concatenate([docs[d] for d in ds]) if ds else np.empty(0, np.int64) for ds in dealt]
-    owner = [np.repeat(ds, lengths[ds]) if ds else np.empty(0, np.int64) for ds in dealt]
-    total = np.array([len(x) for x in token])
-    for t in range(0, int(total.max(initial=0)), WINDOW):
-        k = int((total > t).sum())
+    dealt = sorted(streams(lengths, lanes), key=lambda ds: -int(lengths[ds].sum()))
+    begin = np.cumsum(lengths) - lengths
+    docs = np.array([d for ds in dealt for d in ds], np.int64)
+    total = np.array([int(lengths[ds].sum()) for ds in dealt])
+    n = lengths[docs]
+    place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    lane = np.repeat(np.arange(len(dealt)), total)
+    step = np.arange(len(lane)) - np.repeat(np.cumsum(total) - total, total)
+    flat, owner = np.repeat(begin[docs], n) + place, np.repeat(docs, n)
+    order = np.argsort(step // WINDOW, kind="stable")
+    bounds = np.searchsorted((step // WINDOW)[order], np.arange(-(-int(total.max(initial=0)) // WINDOW) + 1))
+    for w in range(len(bounds) - 1):
+        at = order[bounds[w] : bounds[w + 1]]
+        k = int((total > w * WINDOW).sum())
         x, d, f = np.zeros((WINDOW, k), np.int64), np.full((WINDOW, k), -1), np.zeros((WINDOW, k), bool)
-        for i in range(k):
-            part, own = token[i][t : t + WINDOW], owner[i][t : t + WINDOW]
-            x[: len(part), i], d[: len(part), i] = part, own
-            f[: len(own), i] = np.concatenate(([t == 0 or owner[i][t - 1] != own[0]], own[1:] != own[:-1]))
-        yield x, d, f, d >= 0
+        i = (step[at] - w * WINDOW, lane[at])
+        x[i], d[i], f[i] = tokens[flat[at]], owner[at], place[at] == 0
+        yield x, d, f
 
 
-def score(w: Weights, docs: list[np.ndarray]) -> np.ndarray:
+def score(w: Weights, tokens: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """The natural log-probability of each document's tokens, with the state carried through it whole."""
-    out = np.zeros(len(docs))
-    h, last = np.zeros((LANES, HIDDEN), np.float32), np.full(LANES, w.width * CLASSES)
-    for x, d, first, active in windows(docs):
+    out = np.zeros(len(lengths))
+    h, last = np.zeros((LANES, HIDDEN), np.float32), np.full(LANES, w.size)
+    for x, d, first in windows(tokens, lengths, LANES):
         k, hs = x.shape[1], np.empty((*x.shape, HIDDEN), np.float32)
-        state, before = h[:k], last[:k]
+        state, before, new = h[:k], last[:k], first.any(1)
         for t in range(len(x)):
-            if first[t].any():
+            if new[t]:
                 state = np.where(first[t][:, None], np.float32(0), state)
-                before = np.where(first[t], w.width * CLASSES, before)
+                before = np.where(first[t], w.size, before)
             state = w.step(before, state)[0]
             hs[t], before = state, x[t]
         h[:k], last[:k] = state, before
+        active = d >= 0
         lp, _ = w.log_probs(hs[active], x[active])
-        np.add.at(out, d[active], lp)
+        out += np.bincount(d[active], weights=lp, minlength=len(out))
     return out
 
 
-def train(w: Weights, docs: list[np.ndarray], rate: float = 0.05) -> Weights:
-    """One pass of truncated backpropagation through time over docs, by Adagrad."""
-    squares = {k: np.full_like(v, 1e-6) for k, v in w.p.items()}
-    h, last, k3 = np.zeros((LANES, HIDDEN), np.float32), np.full(LANES, w.width * CLASSES), HIDDEN
-    for x, _, first, active in windows(docs, 64):
-        k = x.shape[1]
-        grads = {name: np.zeros_like(v) for name, v in w.p.items()}
-        state, before, kept = h[:k], last[:k], []
-        for t in range(len(x)):
-            state = np.where(first[t][:, None], np.float32(0), state)
-            before = np.where(first[t], w.width * CLASSES, before)
-            new, r, z, c, hu = w.step(before, state)
-            kept.append((state, before, new, r, z, c, hu))
-            state, before = new, x[t]
+def train(w: Weights, tokens: np.ndarray, lengths: np.ndarray, rate: float = RATE) -> Weights:
+    """One pass of truncated backpropagation through time over the documents, by Adagrad, which changes w."""
+    squares = {k: np.full_like(v, FIRST) for k, v in w.p.items()}
+    lanes = min(TRAIN_LANES, max(8, len(tokens) // (WINDOW * STEPS)))
+    h, last = np.zeros((lanes, HIDDEN), np.float32), np.full(lanes, w.size)
+    k1 = HIDDEN
+    for x, d, first in windows(tokens, lengths, lanes):
+        steps, k = x.shape
+        active = d >= 0
+        scale = np.float32(1 / np.sqrt(max(1, active.sum())))
+
+        def learn(name: str, rows, g: np.ndarray, scale=scale) -> None:
+            g = g * scale
+            seen = squares[name][rows] + g * g
+            squares[name][rows] = seen
+            w.p[name][rows] -= rate * g / np.sqrt(seen)
+
+        inputs, prev, hs = np.empty_like(x), np.empty((steps, k, k1), np.float32), np.empty((steps, k, k1), np.float32)
+        gates = []
+        state, before, new = h[:k], last[:k], first.any(1)
+        for t in range(steps):
+            if new[t]:
+                state = np.where(first[t][:, None], np.float32(0), state)
+                before = np.where(first[t], w.size, before)
+            inputs[t], prev[t] = before, state
+            state, *rest = w.step(before, state)
+            gates.append(rest)
+            hs[t], before = state, x[t]
         h[:k], last[:k] = state, before
-        hs = np.stack([y[2] for y in kept])
-        _, at = w.log_probs(hs[active], x[active], grads)
         back = np.zeros_like(hs)
-        back[active] = at
-        dh, u = np.zeros((k, HIDDEN), np.float32), w.p["u"]
-        for t in range(len(x) - 1, -1, -1):
-            prev, token, _, r, z, c, hu = kept[t]
+        _, back[active] = w.log_probs(hs[active], x[active], learn)
+        dx, dg = np.empty((steps, k, 3 * k1), np.float32), np.empty((steps, k, 3 * k1), np.float32)
+        dh, u = np.zeros((k, k1), np.float32), np.ascontiguousarray(w.p["u"].T)
+        for t in range(steps - 1, -1, -1):
+            r, z, c, hu = gates[t]
             dh = dh + back[t]
-            dc, dz = dh * z * (1 - c * c), dh * (c - prev) * z * (1 - z)
-            dr = dc * hu * r * (1 - r)
-            dx = np.concatenate((dr, dz, dc), 1)
-            dg = np.concatenate((dr, dz, dc * r), 1)
-            grads["u"] += prev.T @ dg
-            np.add.at(grads["embed"], token, dx)
-            dh = dh * (1 - z) + dg @ u.T
-            dh = np.where(first[t][:, None], np.float32(0), dh)
-        scale = 1 / np.sqrt(max(1, active.sum()))
-        for name, g in grads.items():
-            g *= scale
-            squares[name] += g * g
-            w.p[name] -= rate * g / np.sqrt(squares[name])
-    del k3
+            dc, dz = dh * z * (1 - c * c), dh * (c - prev[t]) * z * (1 - z)
+            dx[t, :, :k1], dx[t, :, k1 : 2 * k1], dx[t, :, 2 * k1 :] = dc * hu * r * (1 - r), dz, dc
+            dg[t] = dx[t]
+            dg[t, :, 2 * k1 :] *= r
+            dh = dh * (1 - z) + dg[t] @ u
+            if new[t]:
+                dh = np.where(first[t][:, None], np.float32(0), dh)
+        learn("u", slice(None), prev.reshape(-1, k1).T @ dg.reshape(-1, 3 * k1))
+        flat = inputs.ravel()
+        order = np.argsort(flat, kind="stable")
+        at = np.flatnonzero(np.concatenate(([True], flat[order][1:] != flat[order][:-1])))
+        learn("embed", flat[order][at], np.add.reduceat(dx.reshape(-1, 3 * k1)[order], at, axis=0))
     return w
