@@ -16,6 +16,7 @@ BINS = 256
 BLOCK = 1024
 #: Once a query has at most this many times k candidates above its bound, it is refined no further.
 ENOUGH = 8
+LIMIT = (1 << 63) - 1
 
 
 def scaled(vectors: DataFrame, id_col: str, vector_col: str, scale: int) -> DataFrame:
@@ -32,25 +33,42 @@ def _matrix(rows: pd.Series, dim: int) -> np.ndarray:
 
 
 def _scores(queries: np.ndarray, vectors: np.ndarray) -> np.ndarray:
-    """Exact integer products; by floating point only where every partial sum stays below 2**53."""
-    most = np.abs(queries).max(initial=0).astype(float) * np.abs(vectors).max(initial=0) * queries.shape[1]
+    """Exact integer products; those that a 64-bit integer can't hold are the nearest one that it can.
+
+    By floating point where every partial sum stays below 2**53, by Python's integers above 2**62.
+    """
+    most = float(_reach(queries)) * _reach(vectors) * queries.shape[1]
     if most < 2**53:
         return (queries.astype(np.float64) @ vectors.astype(np.float64).T).astype(np.int64)
-    return queries @ vectors.T
+    if most < 2**62:
+        return queries @ vectors.T
+    exact = queries.astype(object) @ vectors.astype(object).T
+    return np.clip(exact, -LIMIT - 1, LIMIT).astype(np.int64)
+
+
+def _reach(x: np.ndarray) -> int:
+    return max(int(x.max(initial=0)), -int(x.min(initial=0)))
+
+
+def _ordered(s: np.ndarray) -> np.ndarray:
+    """64-bit integers as unsigned ones in the same order, whose differences never overflow."""
+    return s.astype(np.int64).view(np.uint64) ^ np.uint64(1 << 63)
 
 
 def _block(vectors: DataFrame, ids: np.ndarray, q: np.ndarray, k: int) -> DataFrame:
     """The k best candidates of each query of one block, with ties at the kth value still in."""
     spark, dim = vectors.sparkSession, q.shape[1]
-    reach = vectors.agg(F.max(F.aggregate("v", F.lit(0.0), lambda a, c: F.greatest(a, F.abs(c).cast("double")))).alias("m")).first()["m"] or 0.0
-    top = int(reach) * np.abs(q).sum(axis=1)  # no score of query i is beyond ±top[i]
-    low, width = -top, -(-(2 * top + 1) // BINS)
+    reach = vectors.agg(F.max(F.array_max("v")).alias("hi"), F.min(F.array_min("v")).alias("lo")).first()
+    reach = max(reach["hi"] or 0, -(reach["lo"] or 0))
+    # no score of query i is beyond ±top[i]; bounds are Python's integers
+    top = [min(LIMIT, reach * sum(abs(int(c)) for c in v)) for v in q]
+    low, width = [-t for t in top], [-(-(2 * t + 1) // BINS) for t in top]
     above = np.zeros(len(q), np.int64)  # candidates known to lie above the range under refinement
-    floor, open_ = low.copy(), np.ones(len(q), bool)
+    floor, open_ = [-LIMIT - 1] * len(q), np.ones(len(q), bool)
     query_block = spark.sparkContext.broadcast((ids, q))
     while open_.any():
         which = np.flatnonzero(open_)
-        state = (which, low[which], width[which])
+        state = (which, _ordered(np.array([low[i] for i in which], np.int64)), np.array([width[i] for i in which], np.uint64))
 
         def count(batches: Iterator[pd.DataFrame], state=state) -> Iterator[pd.DataFrame]:
             ids, q = query_block.value
@@ -60,11 +78,11 @@ def _block(vectors: DataFrame, ids: np.ndarray, q: np.ndarray, k: int) -> DataFr
                 for i in range(0, len(b), 2048):
                     part = b.iloc[i : i + 2048]
                     own = part["vec_id"].to_numpy()
-                    s = _scores(q[which], _matrix(part["v"], dim))
+                    s = _ordered(_scores(q[which], _matrix(part["v"], dim)))
                     at = (s - low[:, None]) // width[:, None]
-                    ok = (at >= 0) & (at < BINS) & (ids[which][:, None] != own[None, :])
+                    ok = (s >= low[:, None]) & (at < BINS) & (ids[which][:, None] != own[None, :])
                     row = np.broadcast_to(np.arange(len(which))[:, None], at.shape)[ok]
-                    total += np.bincount(row * BINS + at[ok], minlength=total.size).reshape(total.shape)
+                    total += np.bincount(row * BINS + at[ok].astype(np.int64), minlength=total.size).reshape(total.shape)
             yield pd.DataFrame({"i": which, "h": list(total)})
 
         parts = vectors.mapInPandas(count, "i int, h array<long>")
@@ -75,7 +93,7 @@ def _block(vectors: DataFrame, ids: np.ndarray, q: np.ndarray, k: int) -> DataFr
         for i in which:
             from_top = above[i] + np.cumsum(hist[i][::-1])
             if from_top[-1] < k:  # fewer than k candidates in all
-                floor[i], open_[i] = -top[i], False
+                floor[i], open_[i] = -LIMIT - 1, False
                 continue
             b = BINS - 1 - int(np.argmax(from_top >= k))
             floor[i] = low[i] + b * width[i]
@@ -84,6 +102,7 @@ def _block(vectors: DataFrame, ids: np.ndarray, q: np.ndarray, k: int) -> DataFr
                 continue
             above[i] = from_top[BINS - 1 - b] - hist[i][b]
             low[i], width[i] = floor[i], -(-width[i] // BINS)
+    floor = np.array([min(f, LIMIT) for f in floor], np.int64)
 
     def keep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ids, q = query_block.value
@@ -105,7 +124,9 @@ def top_k(vectors: DataFrame, k: int = 10, every: int = 100, scale: int = 1024,
     """(query_id, rank, vec_id, score): the k highest integer inner products of each query row.
 
     Queries are the rows whose id is divisible by `every`; candidates are all rows but those of the
-    query's own id. Equal scores go to the smaller id; repeated rows are separate candidates. Rows with
+    query's own id. Equal scores go to the smaller id; repeated rows are separate candidates. Rows of one
+    query id share one ranking, over the scores of each of their different vectors. Scaled components and
+    scores beyond 64-bit integers are the nearest such integer. Rows with
     a null id, a null vector, or one that holds nulls or non-finite components take no part; vectors
     of another length than the block of queries meet only queries of their length. Queries come in
     blocks of bounded size; each pass counts the scores of all vectors into per-query histograms,
@@ -117,29 +138,22 @@ def top_k(vectors: DataFrame, k: int = 10, every: int = 100, scale: int = 1024,
     for (dim,) in v.select(F.size("v").alias("d")).distinct().orderBy("d").collect():  # one row for each length
         same = v.where(F.size("v") == dim)
         queries = same.where(F.pmod("vec_id", F.lit(every)) == 0)
-        bounds = _cuts(queries)
-        for a, b in zip(bounds[:-1], bounds[1:], strict=True):
-            rows = queries.where((F.col("vec_id") >= a) & (F.col("vec_id") < b)).dropDuplicates().orderBy("vec_id").toPandas()
-            for ids, q in _query_rows(rows, dim):
-                found = _block(same, ids, q, k)
-                out = found if out is None else out.unionByName(found)
+        for ids, q in _query_blocks(queries, dim):
+            found = materialize(_block(same, ids, q, k), "top")
+            out = found if out is None else out.unionByName(found)
     if out is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def _cuts(queries: DataFrame) -> list[int]:
-    """Bounds of id ranges that hold about BLOCK queries each."""
-    n, lo, hi = queries.agg(F.count("vec_id"), F.min("vec_id"), F.max("vec_id")).first()
-    if not n:
-        return []
-    parts = -(-n // BLOCK)
-    inner = queries.approxQuantile("vec_id", [i / parts for i in range(1, parts)], 0.1 / parts) if parts > 1 else []
-    return sorted({int(lo), *map(int, inner), int(hi) + 1})
-
-
-def _query_rows(rows: pd.DataFrame, dim: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    for i in range(0, len(rows), BLOCK):
-        part = rows.iloc[i : i + BLOCK]
-        yield part["vec_id"].to_numpy(), _matrix(part["v"], dim)
+def _query_blocks(queries: DataFrame, dim: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(ids, vectors) of the different query rows, BLOCK at a time; the driver holds one partition of them."""
+    rows: list = []
+    for r in queries.dropDuplicates().orderBy("vec_id").toLocalIterator():
+        rows.append(r)
+        if len(rows) == BLOCK:
+            yield np.array([x["vec_id"] for x in rows], np.int64), _matrix(pd.Series([x["v"] for x in rows]), dim)
+            rows = []
+    if rows:
+        yield np.array([x["vec_id"] for x in rows], np.int64), _matrix(pd.Series([x["v"] for x in rows]), dim)
