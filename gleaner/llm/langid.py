@@ -7,6 +7,7 @@ of labelled documents; document frequencies are counted over all of them; a temp
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,6 +24,7 @@ PIECE = 1 << 19
 FIT_DOCS, CALIBRATE_DOCS = 600, 200
 EPOCHS, ALPHA, BETA, L1, L2, SCALE = 4, 0.5, 1.0, 1e-4, 1e-3, 20.0
 UNDETERMINED = "und"
+_OTHER = re.compile(r"[\W\d_]")  # never a letter
 
 _letters: np.ndarray | None = None
 
@@ -37,16 +39,20 @@ def letters() -> np.ndarray:
 def pieces(texts: list[str | None]) -> Iterator[tuple[np.ndarray, list[np.ndarray], np.ndarray]]:
     """(document positions, hashed n-grams by order, start of each in them) for runs of the texts.
 
-    Letters are lower-cased and each run of other characters is one space. A document without a letter
-    does not occur. A document longer than PIECE occurs once for each of its pieces.
+    Letters are lower-cased and each run of other characters is one space before the next word. An n-gram
+    ends with the word it began in, the rest being spaces, so it depends on nothing beyond its word. A
+    document without a letter does not occur. A document longer than PIECE occurs once for each of its
+    pieces, which are cut between words; their n-grams together are those of the whole.
     """
     own, some, n = [], [], 0
     for d, text in enumerate(texts):
-        text = (text or "").lower()
-        for i in range(0, len(text), PIECE):
+        text, i = (text or "").lower(), 0
+        while i < len(text):
+            found = _OTHER.search(text, i + PIECE)
+            j = found.end() if found else len(text)
             own.append(d)
-            some.append(text[i : i + PIECE])
-            n += len(some[-1])
+            some.append(text[i:j])
+            n, i = n + j - i, j
             if n >= PIECE:
                 yield from _grams(own, some)
                 own, some, n = [], [], 0
@@ -56,23 +62,24 @@ def pieces(texts: list[str | None]) -> Iterator[tuple[np.ndarray, list[np.ndarra
 def _grams(own: list[int], texts: list[str]) -> Iterator[tuple[np.ndarray, list[np.ndarray], np.ndarray]]:
     if not own:
         return
-    code = np.frombuffer("".join(f" {x}  " for x in texts).encode("utf-32-le", "surrogatepass"), np.uint32)
-    ends = np.cumsum([len(x) + 3 for x in texts])
+    code = np.frombuffer("".join(f" {x}" for x in texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    ends = np.cumsum([len(x) + 1 for x in texts])
     letter = letters()[code]
     keep = letter.copy()
-    keep[1:] |= letter[:-1]  # the first of a run of other characters
-    keep[:-1] |= letter[1:] & ~letter[:-1] & np.concatenate(([True], ~letter[:-2]))  # or, at its start, the last
+    keep[:-1] |= letter[1:]  # the character before a word
     code = np.where(letter, code, 32)[keep].astype(np.uint64)
     kept = np.concatenate(([0], np.cumsum(keep)))[ends]
     starts = np.concatenate(([0], kept[:-1]))
     some = kept > starts
     if not some.any():
         return
-    code = np.concatenate((code, np.full(2, 32, np.uint64)))
-    n = len(code) - 2
-    hashed, h = [], np.zeros(n, np.uint64)
+    n, space = len(code), np.uint64(32)
+    code = np.concatenate((code, np.full(max(ORDERS), space)))
+    hashed, h, over = [], np.zeros(n, np.uint64), np.zeros(n, bool)
     for k in range(max(ORDERS)):
-        h = (h + code[k : n + k] + np.uint64(k + 1)) * np.uint64(0x9E3779B97F4A7C15)
+        at = code[k : n + k]
+        over |= (at == space) & (k > 0)
+        h = (h + np.where(over, space, at) + np.uint64(k + 1)) * np.uint64(0x9E3779B97F4A7C15)
         h ^= h >> np.uint64(29)
         if k + 1 in ORDERS:
             hashed.append(((h * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(64 - BITS)).astype(np.int64))
@@ -172,9 +179,10 @@ def _document_frequencies(docs: DataFrame, text_col: str) -> tuple[np.ndarray, i
 
 
 def _sample(docs: DataFrame, counts: dict[str, int], most: int, salt: int) -> DataFrame:
-    """About `most` documents of each language at most, picked by a hash of the id."""
+    """About `most` documents of each language at most, picked by a hash of id and text; repeated rows count once."""
     share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, most / n))])
-    return docs.where(F.pmod(F.xxhash64("doc_id", F.lit(salt)), F.lit(1_000_003)) < share[F.col("lang")] * 1_000_003)
+    own = F.xxhash64("doc_id", "text", F.lit(salt))
+    return docs.where(F.pmod(own, F.lit(1_000_003)) < share[F.col("lang")] * 1_000_003).withColumn("own", own).dropDuplicates(["own", "lang"]).drop("own")
 
 
 def _features(docs: DataFrame) -> list[tuple[str, np.ndarray, np.ndarray]]:
@@ -241,7 +249,7 @@ def _temperature(z: np.ndarray, y: np.ndarray) -> float:
 def predict(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
     """docs with lang_pred and score (0 to 1); `und` and 0 for null texts and texts without a letter.
 
-    Without a model, every row is `und`.
+    Without a model, every row is `und`. Columns of docs of these two names are replaced, others are kept.
     """
     if model is None:
         return docs.withColumns({"lang_pred": F.lit(UNDETERMINED), "score": F.lit(0.0)})
@@ -253,7 +261,9 @@ def predict(docs: DataFrame, model: Model | None, text_col: str = "text") -> Dat
         for texts in batches:
             yield pd.concat([shared.value.predict(texts.iloc[i : i + 512].tolist()) for i in range(0, len(texts), 512)], ignore_index=True) if len(texts) else pd.DataFrame({"lang_pred": [], "score": []})
 
-    return docs.withColumn("_p", run(F.col(text_col))).withColumns({"lang_pred": F.col("_p.lang_pred"), "score": F.col("_p.score")}).drop("_p")
+    made = docs.select(F.struct(*docs.columns).alias("row"), run(F.col(text_col)).alias("made"))
+    kept = [F.col("row")[c].alias(c) for c in docs.columns if c not in ("lang_pred", "score")]
+    return made.select(*kept, F.col("made.lang_pred").alias("lang_pred"), F.col("made.score").alias("score"))
 
 
 def fold(id_col: str, of: int) -> Column:
@@ -264,7 +274,10 @@ def identify(docs: DataFrame) -> DataFrame:
     """docs with held_out, lang_pred and score; docs has the columns doc_id, text and lang.
 
     Rows of fold 2 of 4 (crc32 of the id), and rows with a null id, are held out from all learning;
-    folds 0 and 1 fit the weights and fold 3 the temperature. Only the text enters a prediction.
+    folds 0 and 1 fit the weights and fold 3 the temperature. Only the text enters a prediction. Every row
+    is returned, repeated ids too, each with the prediction of its own text; rows that repeat id, text and
+    lang are learned from once. Columns held_out, lang_pred and score of docs are replaced, all others kept.
+    Texts of any length are summed over pieces, to the same n-grams.
     """
     f = fold("doc_id", 4)
     held = F.coalesce(f == 2, F.lit(True))
