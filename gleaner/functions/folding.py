@@ -6,42 +6,88 @@ has a function of its own.
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from functools import cache
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Python's white space, as a Java character class.
 SPACE = r"[\s\x1c-\x1f\x85   -     　]"
 
 
 @cache
-def _decompositions() -> tuple[str, str, tuple[tuple[str, str], ...]]:
-    """One-to-one NFKD maps without marks (from, to), and those to several characters."""
-    one, many = [], []
-    for i in (*range(0xA0, 0x250), *range(0x1E00, 0x1F00), *range(0x2000, 0x2100), *range(0xFB00, 0xFB07), *range(0xFF01, 0xFF5F)):
-        c = chr(i)
-        d = "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x))
-        if d and d != c:
-            (one if len(d) == 1 else many).append((c, d))
-    return "".join(a for a, _ in one), "".join(b for _, b in one), tuple(many)
+def _marks() -> re.Pattern:
+    """The combining characters, as a pattern."""
+    runs, last = [], None
+    for i in range(0x110000):
+        if unicodedata.combining(chr(i)):
+            if last is not None and i == last + 1:
+                runs[-1][1] = i
+            else:
+                runs.append([i, i])
+            last = i
+    return re.compile("[" + "".join(f"{re.escape(chr(a))}-{re.escape(chr(b))}" for a, b in runs) + "]+")
+
+
+def _unmarked(text: str | None) -> str | None:
+    if text is None or text.isascii():
+        return text
+    return _marks().sub("", unicodedata.normalize("NFKD", text))
+
+
+def ascii_key_of(text: str | None) -> str | None:
+    """ascii_key() of a Python string."""
+    if text is None:
+        return None
+    text = text if text.isascii() else unicodedata.normalize("NFKD", text).encode("ascii", "ignore").decode()
+    return re.sub("[^a-z0-9]+", " ", text.lower()).strip()
+
+
+def phrase_key_of(text: str | None) -> str | None:
+    """phrase_key() of a Python string."""
+    return None if text is None else re.sub("[^a-z0-9]+", " ", _unmarked(text.casefold())).strip()
+
+
+def clean_lines_of(text: str | None) -> str | None:
+    """clean_lines() of a Python string."""
+    if text is None:
+        return None
+    text = text if text.isascii() else unicodedata.normalize("NFKC", text)
+    text = text.replace("\ufeff", "").replace("\r\n", "\n").replace("\r", "\n").replace("\x00", "")
+    lines = [x for x in (re.sub(r"[ \t\f\v]+", " ", x).strip() for x in text.split("\n")) if not _BRAND.fullmatch(x)]
+    return re.sub(r"\n{3,}", "\n\n", "\n".join(lines)).strip("\n")
+
+
+_BRAND = re.compile(r"Powered by TCPDF(?: \(www\.tcpdf\.org\))?", re.IGNORECASE)
+
+
+def _text_function(f):
+    """A column function that applies f to each text in Arrow batches, none to a null."""
+
+    @F.pandas_udf(T.StringType())
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(f, na_action="ignore")
+
+    return run
+
+
+_drop_marks, _ascii_key, _phrase_key, _clean_lines = map(_text_function, (_unmarked, ascii_key_of, phrase_key_of, clean_lines_of))
+_folded = _text_function(lambda t: _unmarked(t.casefold()))
+_nfkc = _text_function(lambda t: t if t.isascii() else unicodedata.normalize("NFKC", t))
 
 
 def drop_marks(c: Column) -> Column:
-    """NFKD without combining marks, for the mapped blocks; other characters stay."""
-    a, b, many = _decompositions()
-    found = "[" + "".join(x for x, _ in many) + "]"
+    """NFKD without combining marks. No built-in function decomposes; a use of one text is evaluated once."""
+    return _drop_marks(c)
 
-    def expand(x: Column) -> Column:
-        wide = x
-        for y, z in many:
-            wide = F.replace(wide, F.lit(y), F.lit(z))
-        return F.when(x.rlike(found), wide).otherwise(x)  # rare, so most rows skip the replacements
 
-    out = F.regexp_replace(F.translate(c, a, b), r"\p{Mn}+", "")
-    out = F.transform(F.array(out), expand)[0]  # binds the replaced text to one evaluation
-    return F.when(F.octet_length(c) == F.length(c), c).otherwise(out)  # ASCII text has no marks
+def nfkc(c: Column) -> Column:
+    """The compatibility composition: ligatures, full-width letters and the like in their plain form."""
+    return _nfkc(c)
 
 
 def casefold(c: Column) -> Column:
@@ -58,8 +104,7 @@ def squeeze(c: Column) -> Column:
 
 def ascii_key(c: Column) -> Column:
     """Letters and digits of the ASCII form, lower-cased, one space between; ß and œ vanish."""
-    ascii_ = F.regexp_replace(drop_marks(c), r"[^\x00-\x7F]+", "")
-    return F.trim(F.regexp_replace(F.lower(ascii_), "[^a-z0-9]+", " "))
+    return _ascii_key(c)
 
 
 def topic_key(c: Column) -> Column:
@@ -75,7 +120,7 @@ def question_fold(c: Column) -> Column:
 
 def phrase_key(c: Column) -> Column:
     """Case-folded (ß is ss), marks dropped, all but letters and digits to one space."""
-    return F.trim(F.regexp_replace(drop_marks(casefold(c)), "[^a-z0-9]+", " "))
+    return _phrase_key(c)
 
 
 def keyframe_key(c: Column) -> Column:
@@ -85,13 +130,31 @@ def keyframe_key(c: Column) -> Column:
 
 def tokens(c: Column, pattern: str = "[a-z0-9]+", least: int = 2, stop: tuple[str, ...] = ()) -> Column:
     """The set of folded tokens of at least `least` characters, without stop words."""
-    found = F.regexp_extract_all(drop_marks(casefold(F.coalesce(c, F.lit("")))), F.lit(f"({pattern})"), F.lit(1))
+    found = F.regexp_extract_all(_folded(F.coalesce(c, F.lit(""))), F.lit(f"({pattern})"), F.lit(1))
     found = F.filter(found, lambda t: F.length(t) >= least)
     if stop:
         found = F.filter(found, lambda t: ~t.isin(*stop))
     return F.array_distinct(found)
 
 
+#: Stop words of titles, of calibration texts and of screen labels.
+TITLE_STOP = ("a", "au", "aux", "avec", "comment", "dans", "de", "des", "du", "et", "faire", "la", "le", "les", "pour", "un", "une")
+CALIBRATION_STOP = ("avec", "cette", "dans", "depuis", "ensuite", "etape", "faire", "pour", "sous", "vous")
+LABEL_STOP = ("avec", "dans", "pour", "sous", "texte", "bouton", "champ", "selectionnes")
+
+
+def title_tokens(c: Column) -> Column:
+    return tokens(c, "[a-z0-9]+", 2, TITLE_STOP)
+
+
+def calibration_tokens(c: Column) -> Column:
+    return tokens(c, "[a-z0-9]+", 3, CALIBRATION_STOP)
+
+
+def label_tokens(c: Column) -> Column:
+    return tokens(c, "[a-z]+", 4, LABEL_STOP)
+
+
 def slug(c: Column, default: str = "video", most: int = 64) -> Column:
     ascii_ = F.regexp_replace(drop_marks(c), r"[^\x00-\x7F]+", "")
     made = F.substring(F.lower(F.regexp_replace(F.regexp_replace(ascii_, "[^a-zA-Z0-9]+", "-"), "^-+|-+$", "")), 1, most)
@@ -99,21 +162,21 @@ def slug(c: Column, default: str = "video", most: int = 64) -> Column:
 
 
 def clean_lines(c: Column) -> Column:
-    """Typographic noise out, lines and paragraphs kept: blanks squeezed in lines, blank runs to one."""
-    text = F.regexp_replace(F.regexp_replace(c, "﻿", ""), "\r\n|\r", "\n")
-    text = F.regexp_replace(text, "\x00", "")
-    lines = F.transform(F.split(text, "\n"), lambda x: strip(F.regexp_replace(x, r"[ \t\f\x0B ]+", " ")))
-    lines = F.filter(lines, lambda x: ~x.rlike(r"(?i)^Powered by TCPDF(?: \(www\.tcpdf\.org\))?$"))
-    return F.regexp_replace(F.regexp_replace(F.array_join(lines, "\n"), "\n{3,}", "\n\n"), r"^\n+|\n+$", "")
+    """NFKC, typographic noise out, lines and paragraphs kept: blanks squeezed in lines, blank runs to one."""
+    return _clean_lines(c)
 
 
 def chunk_hash(c: Column) -> Column:
-    return F.sha2(strip(casefold(c)), 256)
+    return F.sha2(strip(casefold(nfkc(c))), 256)
 
 
 def spatial_terms(c: Column) -> Column:
     """The directions that a text names, in English or French, as a sorted set."""
-    names = {"left": "left", "gauche": "left", "right": "right", "droite": "right", "top": "top", "haut": "top", "bottom": "bottom", "bas": "bottom", "center": "center", "centre": "center"}
+    # fixed values: the words of each direction
+    names = {
+        "gauche": "left", "left": "left", "droite": "right", "right": "right", "haut": "top", "superieur": "top", "superieure": "top", "top": "top",
+        "bas": "bottom", "inferieur": "bottom", "inferieure": "bottom", "bottom": "bottom", "centre": "center", "milieu": "center", "center": "center",
+    }
     found = tokens(c, "[a-z]+", 1)
     table = F.create_map(*[F.lit(x) for kv in names.items() for x in kv])
     return F.array_sort(F.array_distinct(F.filter(F.transform(found, lambda t: table[t]), lambda t: t.isNotNull())))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from gleaner.functions.folding import ascii_key, slug
+from gleaner.functions.folding import ascii_key_of, slug
 
 URL_NAMESPACE = "6ba7b8119dad11d180b400c04fd430c8"
 
@@ -33,7 +33,7 @@ def clock(seconds: Column) -> Column:
 
 
 def pixel_budget(frames: Column, total: int, least: int, most: int) -> Column:
-    return F.greatest(F.lit(least), F.least(F.lit(most), F.floor(F.lit(total) / frames).cast("int")))
+    return F.greatest(F.lit(least), F.least(F.lit(most), F.floor(F.lit(total) / F.greatest(frames, F.lit(1))).cast("int")))
 
 
 def token_f1(a: Column, b: Column) -> Column:
@@ -45,14 +45,9 @@ def token_f1(a: Column, b: Column) -> Column:
     )
 
 
-def title_bonus(question: Column, title: Column, weight: float = 0.06) -> Column:
-    """weight times the share of the title's tokens that the question has."""
-    return F.when(F.size(title) == 0, 0.0).otherwise(weight * F.size(F.array_intersect(question, title)) / F.size(title))
-
-
 def same_prefix(a: Column, b: Column, n: int = 5) -> Column:
-    """Whether any two tokens of n characters or more begin alike."""
-    heads = lambda x: F.transform(F.filter(x, lambda t: F.length(t) >= n), lambda t: F.substring(t, 1, n))
+    """Whether any two tokens have the same first n characters, or are the same if they are shorter."""
+    heads = lambda x: F.transform(x, lambda t: F.substring(t, 1, n))
     return F.arrays_overlap(heads(a), heads(b))
 
 
@@ -68,10 +63,7 @@ def _quoted(term: str) -> str:
 
 def has_phrase(key: Column, phrases: tuple[str, ...]) -> Column:
     """Substrings of an ascii_key, not bounded by words."""
-    out = F.lit(False)
-    for p in phrases:
-        out = out | F.contains(key, ascii_key(F.lit(p)))
-    return out
+    return key.rlike("|".join(ascii_key_of(p) for p in phrases))  # letters, digits and spaces only
 
 
 def first_match(rules: list[tuple[Column, Column]], default: Column) -> Column:
@@ -82,8 +74,8 @@ def first_match(rules: list[tuple[Column, Column]], default: Column) -> Column:
 
 
 def cited(answer: Column) -> Column:
-    """The numbers n of all [n], in order."""
-    return F.transform(F.regexp_extract_all(answer, F.lit(r"\[(\d+)\]"), F.lit(1)), lambda x: x.cast("int"))
+    """The numbers n of all [n], in order; -1 for one that no integer holds."""
+    return F.transform(F.regexp_extract_all(answer, F.lit(r"\[(\d+)\]"), F.lit(1)), lambda x: F.coalesce(x.try_cast("int"), F.lit(-1)))
 
 
 def uncited_steps(answer: Column) -> Column:
@@ -125,3 +117,21 @@ def late_checkout_fee(minutes: Column) -> Column:
 
 def portable_path(c: Column, root: str) -> Column:
     return F.regexp_replace(F.regexp_replace(c, r"\\", "/"), "^" + _quoted(root.rstrip("/")) + "/", "")
+
+
+def portal_url(base: Column, query: Column) -> Column:
+    """The address of a search for a text."""
+    return F.concat(base, F.lit("?search="), F.url_encode(query))
+
+
+def iso_date(c: Column) -> Column:
+    """The ISO form of a date or timestamp; a time of midnight is a date alone."""
+    t = c.cast("timestamp")
+    return F.when(F.date_trunc("day", t) == t, F.date_format(t, "yyyy-MM-dd")).otherwise(F.date_format(t, "yyyy-MM-dd'T'HH:mm:ss"))
+
+
+def source_identity(source_id: Column) -> Column:
+    """One name for a source that was renamed: its question's number, or what follows the mark of the lexicon."""
+    faq = F.regexp_extract(source_id, r"^(?:generic_software|software)-faq-(\d+)$", 1)
+    at = F.locate("lexique-hotelier-", source_id)  # fixed value
+    return F.when(faq != "", F.concat(F.lit("faq-"), faq)).when(at > 0, F.substr(source_id, at)).otherwise(source_id)

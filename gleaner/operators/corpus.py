@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from gleaner.functions.folding import ascii_key, chunk_hash, clean_lines
-from gleaner.functions.text import first_match, has_phrase, stable_id
+from gleaner.functions.folding import ascii_key, ascii_key_of, chunk_hash, clean_lines, clean_lines_of
+from gleaner.functions.text import first_match, has_phrase, portable_path, stable_id
 from gleaner.operators.taxonomy import HOTEL_SUBTOPICS, SOFTWARE_RULES, TAXONOMY
 
 #: Ranks of authorities and of states.
@@ -35,14 +37,15 @@ def in_taxonomy(domain: Column, topic: Column, subtopic: Column | None = None) -
 def software_rules(key: Column) -> Column:
     """struct(topic, subtopic) of the first rule one of whose phrases is in the key; null for none."""
     made = lambda t, s: F.struct(F.lit(t).alias("topic"), F.lit(s).cast("string").alias("subtopic"))
-    rules = lambda k: first_match([(has_phrase(k, phrases), made(t, s)) for t, s, phrases in SOFTWARE_RULES], F.lit(None))
-    return F.transform(F.array(key), rules)[0]  # binds the key, which is costly, to one evaluation
+    return first_match([(has_phrase(key, phrases), made(t, s)) for t, s, phrases in SOFTWARE_RULES], F.lit(None))
 
 
 def classify(df: DataFrame) -> DataFrame:
-    """topic and subtopic set by the taxonomy rules of the domain; unknown hotel topics become null."""
-    absent = [c for c in ("breadcrumb", "source_category") if c not in df.columns]
-    df = df.withColumns({c: F.lit(None).cast("string") for c in absent})
+    """topic and subtopic set by the taxonomy rules of the domain; unknown hotel topics become null.
+
+    Rules are tried on a software document's names first, then on its text, unless a topic of the
+    taxonomy is given.
+    """
     identity = ascii_key(F.concat_ws(" ", *[F.nullif(F.col(c), F.lit("")) for c in ("title", "breadcrumb", "source_id", "source_category", "topic", "subtopic")]))
     known, fine = in_taxonomy(F.col("domain"), F.col("topic")), in_taxonomy(F.col("domain"), F.col("topic"), F.col("subtopic"))
     own = F.struct(F.col("topic"), F.when(fine, F.col("subtopic")).alias("subtopic"))
@@ -51,41 +54,99 @@ def classify(df: DataFrame) -> DataFrame:
     keep = known & ((F.col("source_type") != "video") | (F.col("topic") != "general"))
     software = F.coalesce(software_rules(identity), F.when(keep, own), software_rules(ascii_key(F.col("content"))), general)
     hotel = F.coalesce(table[F.col("subtopic")], F.when(known, own))
-    out = df.withColumn("_t", F.when(F.col("domain") == "software", software).otherwise(hotel))
-    return out.withColumns({"topic": F.col("_t.topic"), "subtopic": F.col("_t.subtopic")}).drop("_t", *absent)
+    made = df.select(F.struct("*").alias("row"), F.when(F.col("domain") == "software", software).otherwise(hotel).alias("made"))
+    return made.select("row.*", "made").withColumns({"topic": F.col("made.topic"), "subtopic": F.col("made.subtopic")}).drop("made")
+
+
+@F.pandas_udf(T.StringType())
+def _trail(values: pd.Series) -> pd.Series:
+    def one(parts) -> str:
+        kept: dict[str, str] = {}
+        for v in parts:
+            if text := clean_lines_of(v or ""):
+                kept.setdefault(ascii_key_of(text), text)
+        return " > ".join(kept.values())
+
+    return values.map(one)
+
+
+def breadcrumb(*values: Column, trail: Column | None = None) -> Column:
+    """The values joined by ` > `, without blanks and without repeats of an ascii_key; trail is a joined one before the last value."""
+    parts = F.array(*values)
+    if trail is not None:
+        steps = F.when(F.coalesce(trail, F.lit("")) != "", F.split(trail, r"\s*>\s*")).otherwise(F.array().cast("array<string>"))
+        parts = F.concat(F.array(*values[:-1]), steps, F.array(values[-1]))
+    return _trail(parts)
+
+
+def source_category(df: DataFrame) -> Column:
+    """What the source calls a document's subject, from its own topics before they are set anew."""
+    blank = lambda c: F.nullif(F.col(c), F.lit(""))
+    both = F.concat_ws("/", blank("topic"), blank("subtopic"))
+    rest = F.when(F.col("domain") == "hotel", both).otherwise(F.nullif(both, F.lit("")))
+    return F.when(blank("source_category").isNotNull(), F.col("source_category")).when((F.col("domain") == "software") & (F.col("source_type") == "video"), F.col("topic")).when(
+        (F.col("source_type") == "qa") & blank("subtopic").isNotNull(), F.col("subtopic")).otherwise(rest)
 
 
-def breadcrumb(*values: Column) -> Column:
-    """The values joined by ` > `, without blanks and without repeats of an ascii_key."""
-    cleaned = F.transform(F.array(*values), lambda v: clean_lines(v))
-    parts = F.filter(F.transform(cleaned, lambda v: F.struct(v.alias("v"), ascii_key(v).alias("k"))), lambda p: F.coalesce(p["v"], F.lit("")) != "")
-    seen = F.struct(F.array().cast("array<string>").alias("v"), F.array().cast("array<string>").alias("k"))
-    add = lambda acc, p: F.when(F.array_contains(acc["k"], p["k"]), acc).otherwise(F.struct(F.array_append(acc["v"], p["v"]).alias("v"), F.array_append(acc["k"], p["k"]).alias("k")))
-    return F.aggregate(parts, seen, add, lambda acc: F.array_join(acc["v"], " > "))
+def normalization_errors(df: DataFrame) -> DataFrame:
+    """(id, error) of the documents that can't be normalised: empty, with a replacement character, of unknown hotel topic."""
+    df = _with_fields(df)
+    content = clean_lines(F.col("content"))
+    topic = classify(df.withColumn("content", content)).select("id", "content", "domain", "topic")
+    error = F.when(F.coalesce("content", F.lit("")) == "", "empty").when(F.contains("content", F.lit("\ufffd")), "replacement_character").when((F.col("domain") != "software") & F.col("topic").isNull(), "taxonomy")
+    return topic.select("id", error.alias("error")).where("error IS NOT NULL")
 
 
-def normalize(df: DataFrame, root: str = "hotel software", hotel: str = "hotel") -> DataFrame:
-    """Cleaned content and title, taxonomy, breadcrumb, content hash; empty or damaged contents are dropped."""
-    df = df.withColumns({"content": clean_lines(F.col("content")), "title": clean_lines(F.coalesce(F.nullif(F.col("title"), F.lit("")), F.col("source_id")))})
-    df = classify(df.where((F.col("content") != "") & ~F.contains(F.col("content"), F.lit("�"))))
-    top = F.when(F.col("domain") == "software", root).otherwise(hotel)
-    return df.withColumns({"breadcrumb": breadcrumb(top, F.col("topic"), F.col("subtopic"), F.col("title")), "content_hash": content_hash(F.col("content"))})
+def _with_fields(df: DataFrame) -> DataFrame:
+    absent = {c: F.lit(None).cast("string") for c in ("breadcrumb", "source_category", "source_path", "software", "hotel_id", "screenshot") if c not in df.columns}
+    if "screenshots" not in df.columns:
+        absent["screenshots"] = F.array().cast("array<string>")
+    return df.withColumns(absent)
 
 
-def deduplicate(df: DataFrame, hash_col: str = "content_hash") -> tuple[DataFrame, DataFrame]:
-    """(kept documents, (dropped_id, kept_id, content_hash)): one document of each domain and hash stays.
+def normalize(df: DataFrame, root: str = "hotel software", hotel: str = "hotel", folder: str = "/data", software: str = "pms") -> DataFrame:
+    """Cleaned content and title, taxonomy, breadcrumb, source category, portable paths, software, hotel and content hash.
 
-    The highest authority wins, then status, source type and id. Only ids and ranks are shuffled to find
-    the winner of a group, by an aggregate with map-side combining, so a hash that very many documents
-    share needs no task of its own.
+    Documents with an error, as normalization_errors() lists them, are left out.
     """
-    rank = F.struct(ranked("authority", AUTHORITY).alias("a"), ranked("status", STATUS).alias("s"), F.col("source_type").alias("t"), F.col("id").alias("i"))
-    best = df.groupBy(F.col("domain").alias("_d"), F.col(hash_col).alias("_h")).agg(F.max(rank)["i"].alias("kept_id"))
-    on = (F.col("domain") == F.col("_d")) & (F.col(hash_col) == F.col("_h"))
-    joined = df.join(best, on).drop("_d", "_h")
-    kept = joined.where(F.col("id") == F.col("kept_id")).drop("kept_id")
-    trace = joined.where(F.col("id") != F.col("kept_id")).select(F.col("id").alias("dropped_id"), "kept_id", F.col(hash_col).alias("content_hash"))
-    return kept, trace
+    df = _with_fields(df)
+    df = df.withColumns({"source_category": source_category(df), "content": clean_lines(F.col("content")), "title": clean_lines(F.coalesce(F.nullif(F.col("title"), F.lit("")), F.col("source_id")))})
+    df = df.where((F.col("content") != "") & ~F.contains(F.col("content"), F.lit("\ufffd")))
+    df = classify(df).where((F.col("domain") == "software") | F.col("topic").isNotNull())
+    top = F.when(F.col("domain") == "software", F.coalesce("software", F.lit(root))).otherwise(F.coalesce("hotel_id", F.lit(hotel)))
+    path = lambda c: F.nullif(portable_path(c, folder), F.lit(""))
+    shots = F.concat(F.array(path(F.col("screenshot"))), F.transform(F.coalesce("screenshots", F.array().cast("array<string>")), lambda x: path(x)))
+    return df.withColumns({
+        "breadcrumb": breadcrumb(top, F.col("topic"), F.col("subtopic"), F.col("title"), trail=F.col("breadcrumb")), "content_hash": content_hash(F.col("content")),
+        "source_path": path(F.col("source_path")), "screenshot": path(F.col("screenshot")), "screenshots": F.array_distinct(F.array_compact(shots)),
+        "software": F.when(F.col("domain") == "software", F.coalesce("software", F.lit(software))).otherwise(F.col("software")),
+        "hotel_id": F.when(F.col("domain") == "hotel", F.coalesce("hotel_id", F.lit(hotel))).otherwise(F.col("hotel_id")),
+    })
+
+
+def deduplicate(df: DataFrame, hash_col: str = "content_hash", on_conflict: str = "raise") -> tuple[DataFrame, DataFrame]:
+    """(kept documents, (dropped_id, kept_id, content_hash)): one document of each id, then of each domain and hash.
+
+    The highest authority wins, then status, source type and id. One id with two hashes is an error when
+    the result is read; with on_conflict="list" such ids are left out, and id_conflicts() names them.
+    Hashes are computed once; only ids, hashes and ranks are shuffled to find the winners, by aggregates
+    with map-side combining, so a hash that very many documents share needs no task of its own. Texts are
+    joined last, by id.
+    """
+    rank = F.struct(ranked("authority", AUTHORITY).alias("a"), ranked("status", STATUS).alias("s"), F.col("source_type").alias("t"), F.col("domain").alias("d"))
+    slim = df.select(F.col("id").alias("kept_id"), F.col(hash_col).alias("h"), rank.alias("r"))
+    by_id = slim.groupBy("kept_id").agg(F.max("r").alias("r"), F.min("h").alias("h"), F.max("h").alias("other"))
+    clash = F.col("h") != F.col("other")
+    if on_conflict == "raise":
+        by_id = by_id.withColumn("h", F.when(clash, F.raise_error(F.concat(F.lit("one id with two contents: "), "kept_id")).cast("string")).otherwise(F.col("h")))
+    else:
+        by_id = by_id.where(F.coalesce(~clash, F.lit(True)))
+    best = by_id.groupBy(F.col("r.d").alias("d"), "h").agg(F.max(F.struct("r.a", "r.s", "r.t", F.col("kept_id").alias("i"))).alias("best"))
+    ranked_ids = by_id.join(best.select(F.col("d").alias("b_d"), F.col("h").alias("b_h"), F.col("best.i").alias("best")), F.col("r.d").eqNullSafe(F.col("b_d")) & F.col("h").eqNullSafe(F.col("b_h")))
+    trace = ranked_ids.where("kept_id <> best").select(F.col("kept_id").alias("dropped_id"), F.col("best").alias("kept_id"), F.col("h").alias("content_hash"))
+    winners = ranked_ids.where("kept_id = best").select("kept_id", F.col("h").alias(hash_col), F.col("r").alias("_r"))
+    kept = df.drop(hash_col).join(winners, (F.col("id") == F.col("kept_id")) & rank.eqNullSafe(F.col("_r"))).drop("kept_id", "_r").dropDuplicates(["id"])
+    return kept.select(*df.columns), trace
 
 
 def id_conflicts(df: DataFrame, hash_col: str = "content_hash") -> DataFrame:
@@ -158,8 +219,49 @@ def authority_errors(df: DataFrame) -> DataFrame:
     return df.where(~fine).select("id", "source_type", "authority")
 
 
-def missing_metadata(df: DataFrame, fields: tuple[str, ...]) -> DataFrame:
-    """(id, missing): the fields that are null or empty, in order."""
-    gone = F.array_compact(F.array(*[F.when(F.col(c).isNull() | (F.col(c).cast("string") == ""), F.lit(c)) for c in fields]))
+#: Fields that every document, one of a domain, and a video must have.
+BASE_FIELDS = ("id", "content", "title", "breadcrumb", "domain", "topic", "source_type", "source_id", "authority", "status", "language", "source_path", "content_hash")
+SOFTWARE_FIELDS, HOTEL_FIELDS, VIDEO_FIELDS = ("software",), ("hotel_id", "last_reviewed"), ("timestamp_start", "timestamp_end", "screenshot")
+
+
+def missing_metadata(df: DataFrame, fields: tuple[str, ...] = BASE_FIELDS, by_kind: bool = True) -> DataFrame:
+    """(id, missing): the fields that are null or empty, in order; by_kind adds those of the domain and of videos."""
+    blank = lambda c: (F.col(c).isNull() | (F.col(c).cast("string") == "")) if c in df.columns else F.lit(True)
+    tests = [(c, F.lit(True)) for c in fields]
+    if by_kind:
+        software = F.col("domain") == "software"
+        tests += [(c, software) for c in SOFTWARE_FIELDS] + [(c, ~software) for c in HOTEL_FIELDS] + [(c, F.col("source_type") == "video") for c in VIDEO_FIELDS]
+    gone = F.array_compact(F.array(*[F.when(needed & blank(c), F.lit(c)) for c, needed in tests]))
     return df.select("id", F.array_join(gone, ",").alias("missing")).where("missing <> ''")
 
+
+def normalization_report(inputs: DataFrame, outputs: DataFrame, duplicates: DataFrame) -> DataFrame:
+    """One row: inputs, outputs, duplicates, texts that cleaning changed, violations of each kind, and whether chunking may start."""
+    changed = inputs.agg(F.count(F.lit(1)).alias("inputs"), F.count_if(F.col("content") != clean_lines(F.col("content"))).alias("texts_changed"))
+    taxonomy = ~in_taxonomy(F.col("domain"), F.col("topic")) | (F.col("subtopic").isNotNull() & ~in_taxonomy(F.col("domain"), F.col("topic"), F.col("subtopic")))
+    made = outputs.agg(F.count(F.lit(1)).alias("outputs"), F.count_if(F.col("content") == "").alias("empty_content"), F.count_if(taxonomy).alias("taxonomy_errors"))
+    parts = [changed, made, duplicates.agg(F.count(F.lit(1)).alias("duplicates_removed")), missing_metadata(outputs).agg(F.count(F.lit(1)).alias("missing_metadata")), authority_errors(outputs).agg(F.count(F.lit(1)).alias("authority_errors"))]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.crossJoin(F.broadcast(p))  # one row each
+    return out.withColumn("ready_for_chunking", F.col("empty_content") + F.col("missing_metadata") + F.col("taxonomy_errors") + F.col("authority_errors") == 0)
+
+
+def chunk_report(documents: DataFrame, chunks: DataFrame, limits: dict[str, int] = LIMITS) -> DataFrame:
+    """(source_type, documents, chunks, split_documents, long_chunks, broken_qa, lost): per type, long ones being over its limit.
+
+    A question's chunk must be whole, with both its labels; a type is lost where it has fewer chunks than
+    documents. Order statistics of sizes are nearest_rank()'s.
+    """
+    most = F.coalesce(F.create_map(*[F.lit(x) for kv in limits.items() for x in kv])[F.col("source_type")], F.lit(1 << 30))
+    whole = (F.col("chunk_count") == 1) & F.contains("content", F.lit("Question :")) & F.contains("content", F.lit("Reponse :"))
+    c = chunks.groupBy("source_type").agg(
+        F.count(F.lit(1)).alias("chunks"), F.count_distinct(F.when(F.col("chunk_count") > 1, F.col("parent_document_id"))).alias("split_documents"),
+        F.count_if(F.length("content") > most).alias("long_chunks"), F.count_if((F.col("source_type") == "qa") & ~whole).alias("broken_qa"))
+    d = documents.groupBy("source_type").agg(F.count(F.lit(1)).alias("documents"))
+    x = d.join(c, "source_type", "full").na.fill(0)
+    return x.select("source_type", "documents", "chunks", "split_documents", "long_chunks", "broken_qa", (F.col("chunks") < F.col("documents")).alias("lost"))
+
+
+def duplicate_ids(df: DataFrame) -> DataFrame:
+    return df.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")

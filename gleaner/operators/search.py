@@ -26,8 +26,9 @@ def nearest(points: DataFrame, questions: DataFrame, k: int, key: str = "vec_id"
     """(query_id, key, score): the k points of highest cosine for each question(query_id, vector).
 
     Questions come in blocks; each task scores its points against a block and keeps k of each question,
-    so what is shuffled does not grow with the points times the questions.
+    so what is shuffled does not grow with the points times the questions. Null vectors take no part.
     """
+    points, questions = points.where(F.col(vector).isNotNull()), questions.where(F.col(vector).isNotNull())
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), key)
     n = questions.count()
     parts = questions.select("query_id", vector).withColumn("_b", F.pmod(F.xxhash64("query_id"), F.lit(-(-n // BLOCK) or 1)))
@@ -81,11 +82,17 @@ def diversify(hits: DataFrame, k: int = TOP_K, per_source: int = PER_SOURCE, sou
     return ranked.where(F.col("rank") <= k).drop("_s", "_before")
 
 
-def search(points: DataFrame, questions: DataFrame, k: int = TOP_K, threshold: float | None = THRESHOLD, per_source: int = PER_SOURCE, titles: bool = True) -> DataFrame:
-    """The whole search: top 4k, threshold on the raw score, title bonus, diversification.
+def search(
+    points: DataFrame, questions: DataFrame, k: int | None = TOP_K, threshold: float | None = THRESHOLD, per_source: int = PER_SOURCE, titles: bool = True,
+    domain: str | None = None, topic: str | None = None, exclude_subtopics: tuple[str, ...] = (),
+) -> DataFrame:
+    """The whole search: verified points of the domain and topic, top 4k, threshold on the raw score, title bonus, diversification.
 
-    points(vec_id, embedding, source_id, title_tokens), questions(query_id, embedding, question_tokens).
+    points(vec_id, embedding, source_id, status, title_tokens), with domain, topic and subtopic where these
+    are asked for; questions(query_id, embedding, question_tokens). A k of 0 or None is the default.
     """
+    k = k or TOP_K
+    points = eligible(points, domain, topic, exclude_subtopics)
     hits = nearest(points, questions, k * MULTIPLIER)
     hits = hits if threshold is None else hits.where(F.col("score") >= threshold)
     hits = hits.join(points.drop("embedding"), "vec_id")
@@ -114,13 +121,18 @@ def fuse(rankings: list[DataFrame], k: int, rrf_k: int = 60, key: str = "vec_id"
     return fused.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def sparse_scores(documents: DataFrame, questions: DataFrame, key: str = "vec_id") -> DataFrame:
-    """Dot products of sparse vectors: documents(key, term, weight), questions(query_id, term, weight).
+def sparse_scores(documents: DataFrame, questions: DataFrame, k: int, key: str = "vec_id", others_only: bool = True) -> DataFrame:
+    """(query_id, key, score, rank): the k highest dot products of sparse vectors for each question.
 
-    Join rows are summed before they leave the task; AQE splits the terms that many documents hold.
+    documents(key, term, weight), questions(query_id, term, weight). Join rows are summed before they
+    leave the task, AQE splits the terms that many documents hold, and each task keeps k of a question.
     """
     q = questions.select("query_id", "term", F.col("weight").alias("_w"))
-    return documents.join(q, "term").groupBy("query_id", key).agg(F.sum(F.col("weight") * F.col("_w")).alias("score"))
+    pairs = documents.join(q, "term")
+    pairs = pairs.where(F.col("query_id") != F.col(key)) if others_only else pairs
+    scores = pairs.groupBy("query_id", key).agg(F.sum(F.col("weight") * F.col("_w")).alias("score"))
+    w = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), key)
+    return scores.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
 def evaluate(hits: DataFrame, cases: DataFrame) -> DataFrame:

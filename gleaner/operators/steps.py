@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gleaner.functions.folding import phrase_key
+
 KEY = ("video_id", "step_number")
 RISKS = {"critical": 100, "high": 10, "medium": 3, "low": 0}
 
@@ -12,18 +18,28 @@ RISKS = {"critical": 100, "high": 10, "medium": 3, "low": 0}
 def thin(frames: DataFrame, gap: float, by: str = "segment", t: str = "t", tie: str = "frame_id") -> DataFrame:
     """Frames that lie at least `gap` after the last kept frame of their segment, in time order.
 
-    The fold keeps one number, so a segment costs one sorted array of its times and ids.
+    A task reads its segments sorted and remembers the last kept time alone, however long a segment is.
     """
-    rows = F.array_sort(F.collect_list(F.struct(F.col(t).alias("t"), F.col(tie).alias("i"))))
-    first = F.struct(F.lit(None).cast("double").alias("last"), F.array().cast("array<bigint>").alias("kept"))
-    far = lambda acc, x: acc["last"].isNull() | (x["t"] - acc["last"] >= gap - 1e-9)
-    fold = F.aggregate(
-        "x", first,
-        lambda acc, x: F.struct(F.when(far(acc, x), x["t"]).otherwise(acc["last"]).alias("last"), F.when(far(acc, x), F.array_append(acc["kept"], x["i"])).otherwise(acc["kept"]).alias("kept")),
-        lambda acc: acc["kept"],
-    )
-    kept = frames.select(by, F.col(t).cast("double").alias(t), F.col(tie).cast("bigint").alias(tie)).groupBy(by).agg(rows.alias("x"))
-    return kept.select(by, F.explode(fold).alias(tie))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        segment, last = None, 0.0
+        for b in batches:
+            at, kept = b["t"].to_numpy(), []
+            ends = np.append(np.flatnonzero(np.diff(pd.factorize(b["by"])[0])) + 1, len(b)) if len(b) else []
+            start = 0
+            for end in ends:
+                own = b["by"].iloc[start]
+                i = start if own != segment else start + int(np.searchsorted(at[start:end], last + gap - 1e-9))
+                while i < end:
+                    kept.append(i)
+                    last = at[i]
+                    i = i + 1 + int(np.searchsorted(at[i + 1 : end], last + gap - 1e-9))
+                segment, start = own, end
+            yield b.iloc[kept][["by", "tie"]]
+
+    rows = frames.select(F.col(by).alias("by"), F.col(t).cast("double").alias("t"), F.col(tie).cast("bigint").alias("tie"))
+    kind = f"by {frames.schema[by].dataType.simpleString()}, tie long"
+    return rows.repartition("by").sortWithinPartitions("by", "t", "tie").mapInPandas(run, kind).select(F.col("by").alias(by), F.col("tie").alias(tie))
 
 
 def nearest_segment(cuts: DataFrame, segments: DataFrame, by: str = "video_id") -> DataFrame:
@@ -46,10 +62,11 @@ def nearest_segment(cuts: DataFrame, segments: DataFrame, by: str = "video_id")
 
 
 def frame_groups(frames: DataFrame) -> DataFrame:
-    """Per segment the last `before` and `after` frame and the number of others; segments with neither are dropped."""
+    """Per segment the last `before` and `after` frame and the list of others in order; segments with neither are dropped."""
     at = F.struct("t", "frame_id")
     last = lambda m: F.max(F.when(F.col("moment") == m, at))["frame_id"]
-    g = frames.groupBy("segment").agg(last("before").alias("before"), last("after").alias("after"), F.count_if(F.col("moment").isin("scene", "detail")).alias("supporting"))
+    others = F.transform(F.array_sort(F.collect_list(F.when(F.col("moment").isin("scene", "detail"), at))), lambda x: x["frame_id"])
+    g = frames.groupBy("segment").agg(last("before").alias("before"), last("after").alias("after"), others.alias("scenes"))
     return g.where("before IS NOT NULL OR after IS NOT NULL")
 
 
@@ -79,31 +96,101 @@ def risk(missing_asset: Column, invalid: Column, conflict: Column, uncertain: Co
     )
 
 
+def findings(steps: DataFrame, assets: DataFrame | None = None) -> DataFrame:
+    """steps with issues (sorted), missing_assets, flag_categories (sorted) and risk.
+
+    steps has frames (array), instruction, action_type, action_target, timestamp_end, duration, status,
+    confident and quality_flags (array); assets(path) are the files that exist, all of them if it is None.
+    """
+    rows = steps
+    if assets is not None:
+        known = assets.select(F.col("path").alias("_f")).distinct()
+        there = steps.select(*KEY, F.explode("frames").alias("_f")).join(known, "_f", "left_anti").groupBy(*KEY).agg(F.array_sort(F.collect_set("_f")).alias("_gone"))
+        rows = steps.join(there, list(KEY), "left")
+    else:
+        rows = steps.withColumn("_gone", F.lit(None).cast("array<string>"))
+    gone = F.coalesce("_gone", F.array().cast("array<string>"))
+    flags = F.coalesce("quality_flags", F.array().cast("array<string>"))
+    blank = lambda c: F.coalesce(F.trim(F.col(c)), F.lit("")) == ""
+    broken = F.contains(F.coalesce("instruction", F.lit("")), F.lit("\ufffd"))
+    none, target, late = F.size("frames") == 0, F.col("action_type").isin(*TARGET_ACTIONS) & blank("action_target"), F.coalesce(F.col("timestamp_end") > F.col("duration") + 1.0, F.lit(False))
+    issues = F.concat(
+        F.transform(gone, lambda x: F.concat(F.lit("missing_asset:"), x)), F.transform(flags, lambda x: F.concat(F.lit("quality_flag:"), x)),
+        F.array_compact(F.array(F.when(none, "no_screenshot"), F.when(target, "missing_action_target"), F.when(blank("instruction"), "empty_instruction"), F.when(broken, "invalid_replacement_character"), F.when(late, "timestamp_outside_video"))),
+    )
+    # flags are categorised by themselves: a fold of each different one, not of each step's
+    kinds = rows.select(F.explode(flags).alias("flag")).distinct().withColumn("kind", flag_category(F.col("flag")))
+    own = rows.select(*KEY, F.explode(flags).alias("flag")).join(kinds, "flag").groupBy(*KEY).agg(F.array_sort(F.collect_set("kind")).alias("flag_categories"))
+    x = rows.join(own, list(KEY), "left").withColumns({"flag_categories": F.coalesce("flag_categories", F.array().cast("array<string>")), "issues": F.array_sort(F.array_distinct(issues)), "missing_assets": F.size(gone), "invalid": broken.cast("int")})
+    conflict = none | target | late | F.arrays_overlap("flag_categories", F.array(F.lit("audio_visual_conflict"), F.lit("unsupported_action_target")))
+    unsure = ~F.col("confident") | (F.size(F.array_except("flag_categories", F.array(F.lit("no_issue")))) > 0) | (F.size("issues") > 0)
+    return x.withColumn("risk", risk(F.col("missing_assets") > 0, broken, conflict, unsure, F.col("status"))).drop("_gone")
+
+
+#: Actions that need a target, and the words of each class of flags, in order of precedence.
+TARGET_ACTIONS = ("click", "type", "select", "hover")
+NO_ISSUE = ("aucune information contradictoire ou manquante", "aucune information manquante ou contradictoire")
+FLAG_CLASSES = (
+    ("audio_visual_conflict", ("conflict", "contradic", "discrepancy", "ne correspond pas", "aucune correspondance", "sans correspondance")),
+    ("unsupported_action_target", ("unsupported action target",)),
+    ("unsupported_action_type", ("unsupported action type",)),
+    ("missing_ui_label", ("missing exact ui label", "libelle exact", "libelle visible", "action target inconnu", "unclear action target", "information manquante action target")),
+    ("missing_visual_evidence", ("capture", "screenshot", "preuve visuelle", "description visuelle", "visual description", "ecran", "frame", "image")),
+    ("visual_uncertainty", ("uncertain", "incertain", "incertitude", "confident false", "hypothese", "deduit", "inferred")),
+    ("missing_information", ("aucun", "aucune", "absence", "missing", "manquant", "incomplet", "non specifie", "non visible")),
+)
+LACK = ("aucun", "aucune", "absence", "missing", "manquant", "non fourni", "pas visible", "inexist", "null")
+
+
+def flag_category(flag: Column) -> Column:
+    """The first class of FLAG_CLASSES of which a flag holds a word; evidence is missing only if the flag says so too."""
+    key = phrase_key(flag)
+    out = F.when(key.isin(*NO_ISSUE), "no_issue")
+    for name, words in FLAG_CLASSES:
+        test = key.rlike("|".join(words))
+        out = out.when(test & key.rlike("|".join(LACK)) if name == "missing_visual_evidence" else test, name)
+    return out.otherwise("other_quality_warning")
+
+
+def path_category(path: Column, default: str = "sans_categorie") -> Column:
+    """The first part of a relative path."""
+    return F.coalesce(F.nullif(F.split_part(F.coalesce(path, F.lit("")), F.lit("/"), F.lit(1)), F.lit("")), F.lit(default))
+
+
 def audit(findings: DataFrame, issues: DataFrame) -> DataFrame:
-    """Per video the steps of each risk, and the risk score."""
-    counts = findings.groupBy("video_id").agg(F.count(F.lit(1)).alias("steps"), *[F.count_if(F.col("risk") == r).alias(r) for r in RISKS], F.sum("missing_assets").alias("missing_assets"))
+    """Per video the steps of each risk, and the risk score; an `invalid` column of findings weighs in, if there is one."""
+    invalid = F.sum("invalid") if "invalid" in findings.columns else F.lit(0)
+    counts = findings.groupBy("video_id").agg(F.count(F.lit(1)).alias("steps"), *[F.count_if(F.col("risk") == r).alias(r) for r in RISKS], F.sum("missing_assets").alias("missing_assets"), invalid.cast("bigint").alias("invalid"))
     x = counts.join(issues, "video_id", "left").withColumn("sequence_issues", F.coalesce(F.col("not_contiguous") + F.col("not_monotonic"), F.lit(0)))
-    score = sum((F.col(r) * n for r, n in RISKS.items()), F.lit(0)) + 20 * F.col("missing_assets") + 25 * F.col("sequence_issues")
-    return x.select("video_id", "steps", *RISKS, "missing_assets", "sequence_issues", score.cast("bigint").alias("risk_score"))
+    score = sum((F.col(r) * n for r, n in RISKS.items()), F.lit(0)) + 20 * F.col("missing_assets") + 100 * F.col("invalid") + 25 * F.col("sequence_issues")
+    return x.select("video_id", "steps", *RISKS, "missing_assets", "invalid", "sequence_issues", score.cast("bigint").alias("risk_score"))
+
 
+def status_counts(steps: DataFrame) -> DataFrame:
+    """Per video the steps of each status, and those with flags."""
+    known = ("draft", "review_required", "verified", "deprecated")
+    return steps.groupBy("video_id").agg(*[F.count_if(F.col("status") == k).alias(k) for k in known], F.count_if(F.size("quality_flags") > 0).alias("flagged"))
 
-def flag_frequencies(flags: DataFrame) -> DataFrame:
-    """(flag, n, rank), the most frequent first, ties by name."""
-    n = flags.groupBy("flag").agg(F.count(F.lit(1)).alias("n"))
-    return n.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n"), "flag")))  # a row for each flag
+
+def flag_frequencies(flags: DataFrame, order: str | None = None) -> DataFrame:
+    """(flag, n, rank), the most frequent first; ties by first appearance in the column `order`, or by name."""
+    seen = F.min(order) if order else F.min("flag")
+    n = flags.groupBy("flag").agg(F.count(F.lit(1)).alias("n"), seen.alias("_o"))
+    return n.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n"), "_o", "flag"))).drop("_o")  # a row for each flag
 
 
 def stratified_sample(findings: DataFrame, quotas: dict[str, int], seed: str) -> DataFrame:
     """Per risk its quota of steps, one of each video in turn; the same seed gives the same sample.
 
-    Videos and steps are ordered by an MD5 of the seed and their key.
+    Videos and steps are ordered by an MD5 of the seed and their key. Each task keeps the largest quota of
+    a risk before anything of it is shuffled.
     """
     key = F.md5(F.concat_ws(":", F.lit(seed), "risk", F.col("video_id").cast("string")))
     step = F.md5(F.concat_ws(":", F.lit(seed), F.col("video_id").cast("string"), F.col("step_number").cast("string")))
     turn = F.row_number().over(Window.partitionBy("risk", "video_id").orderBy("_s"))
-    x = findings.withColumns({"_v": key, "_s": step}).withColumn("_turn", turn)
-    x = x.withColumn("rank", F.row_number().over(Window.partitionBy("risk").orderBy("_turn", "_v", "_s")))
     most = F.create_map(*[F.lit(y) for kv in quotas.items() for y in kv])[F.col("risk")]
+    x = findings.where(F.col("risk").isin(*quotas)).withColumns({"_v": key, "_s": step}).withColumn("_turn", turn)
+    x = x.withColumn("rank", F.row_number().over(Window.partitionBy("risk").orderBy("_turn", "_v", "_s"))).where(F.col("rank") <= max(quotas.values()))
     return x.where(F.col("rank") <= most).drop("_v", "_s", "_turn")
 
 
@@ -148,17 +235,32 @@ def check_results(manifest: DataFrame, results: DataFrame, key: tuple[str, ...]
     return x.select(*key, F.explode(problem).alias("problem"))
 
 
-def proposal_hash(*fields: Column) -> Column:
-    return F.sha2(F.to_json(F.struct(*fields)), 256)
+def proposal_hash(fields: list[str]) -> Column:
+    """SHA-256 of the fields as JSON with sorted keys, no blanks, and nulls, other letters than ASCII as they are."""
+    # to_json leaves nulls out, so each value is written by itself
+    parts = [F.concat(F.lit(f'"{f}":'), F.coalesce(F.regexp_extract(F.to_json(F.struct(F.col(f).alias("v"))), r'(?s)^\{"v":(.*)\}$', 1), F.lit("")), F.when(F.col(f).isNull(), "null").otherwise("")) for f in sorted(fields)]
+    return F.sha2(F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}")), 256)
 
 
 def changed_fields(before: dict[str, Column], after: dict[str, Column]) -> Column:
     return F.array_compact(F.array(*[F.when(~before[f].eqNullSafe(after[f]), F.lit(f)) for f in before]))
 
 
-def lots(rows: DataFrame, size: int, key: tuple[str, ...] = KEY, by: str = "risk") -> DataFrame:
-    n = F.row_number().over(Window.partitionBy(by).orderBy(*key))
-    return rows.withColumn("lot", F.floor((n - 1) / size).cast("int") + 1)
+def lots(rows: DataFrame, size: int, key: tuple[str, ...] = KEY, by: str = "risk", ranges: int = 256) -> DataFrame:
+    """rows with the number of their lot of `size` rows, by the order of the key inside each value of `by`.
+
+    The first column of the key, a number, is cut into ranges of about equal numbers of rows; rows are
+    numbered inside their range and the sums of the ranges before are added, so no value of `by` needs a
+    task of its own.
+    """
+    cuts = sorted(set(rows.approxQuantile(key[0], [i / ranges for i in range(1, ranges)], 0.5 / ranges)))
+    at = F.lit(0) if not cuts else F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= F.col(key[0])))
+    x = rows.withColumn("_range", at)
+    n = x.groupBy(by, "_range").agg(F.count(F.lit(1)).alias("_n"))  # `ranges` rows a value
+    before = n.withColumn("_before", F.sum("_n").over(Window.partitionBy(by).orderBy("_range")) - F.col("_n")).select(F.col(by).alias("_by"), F.col("_range").alias("_r"), "_before")
+    x = x.join(before, F.col(by).eqNullSafe(F.col("_by")) & (F.col("_range") == F.col("_r")))
+    place = F.row_number().over(Window.partitionBy(by, "_range").orderBy(*key)) + F.col("_before")
+    return x.withColumn("lot", F.floor((place - 1) / size).cast("int") + 1).drop("_by", "_r", "_before", "_range")
 
 
 def calibration_summary(metrics: DataFrame) -> DataFrame:

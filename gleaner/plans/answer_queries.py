@@ -70,24 +70,24 @@ def qp1_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-RECORDED = "SELECT doc_id, doc_id % 4 AS n_hits, CASE doc_id % 5 WHEN 0 THEN 'Réponse : ' || t || ' [1]' WHEN 1 THEN '1. ' || t || ' [2]' || chr(10) || '2. ' || t WHEN 2 THEN 'Je ne trouve pas.' WHEN 3 THEN t ELSE t || ' [3] [1].' END AS answer FROM (SELECT doc_id, substring(regexp_replace(text, '\\s+', ' ', 'g'), 1, 80) AS t FROM documents)"
+RECORDED = "SELECT doc_id, doc_id % 4 AS n_hits, CASE doc_id % 5 WHEN 0 THEN 'Réponse : ' || text || ' [1]' WHEN 1 THEN '1. ' || text || ' [2]' || chr(10) || '2. ' || text WHEN 2 THEN 'Je ne trouve pas.' WHEN 3 THEN text ELSE text || ' [3] [1].' END AS answer FROM documents"
 
 
 def _recorded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").withColumn("t", F.substring(F.regexp_replace("text", r"\s+", " "), 1, 80))
-    t, k = F.col("t"), F.col("doc_id") % 5
+    """Whole documents as recorded answers, with citations and abstentions."""
+    t, k = F.col("text"), F.col("doc_id") % 5
     a = (
         F.when(k == 0, F.concat(F.lit("Réponse : "), t, F.lit(" [1]"))).when(k == 1, F.concat(F.lit("1. "), t, F.lit(" [2]\n2. "), t)).when(k == 2, "Je ne trouve pas.")
         .when(k == 3, t).otherwise(F.concat(t, F.lit(" [3] [1].")))
     )
-    return d.select("doc_id", (F.col("doc_id") % 4).alias("n_hits"), a.alias("answer"))
+    return table(spark, sf_dir, "documents").select("doc_id", (F.col("doc_id") % 4).alias("n_hits"), a.alias("answer"))
 
 
 @query(f"""
 WITH a AS ({RECORDED}),
 c AS (SELECT *, regexp_replace(ltrim(answer), '^(?i)(answer|réponse|reponse)\\s*:\\s*', '') AS raw FROM a),
 t AS (SELECT *, CASE WHEN n_hits = 1 AND NOT contains(lower(raw), 'je ne trouve pas') THEN CASE WHEN regexp_matches(one, '\\[1\\]\\s*[.!?]?\\s*$') THEN one ELSE rtrim(one) || ' [1]' END ELSE raw END AS text FROM (SELECT *, regexp_replace(raw, '\\[\\d+\\]', '[1]', 'g') AS one FROM c)),
-n AS (SELECT *, list_transform(regexp_extract_all(text, '\\[(\\d+)\\]', 1), lambda x: CAST(x AS INTEGER)) AS cs, contains(lower(text), 'je ne trouve pas') AS abst,
+n AS (SELECT *, list_transform(regexp_extract_all(text, '\\[(\\d+)\\]', 1), lambda x: coalesce(TRY_CAST(x AS INTEGER), -1)) AS cs, contains(lower(text), 'je ne trouve pas') AS abst,
   len(list_filter(string_split(text, chr(10)), lambda l: regexp_matches(l, '^\\s*\\d+[.)]\\s+\\S') AND NOT regexp_matches(l, '\\[\\d+\\]'))) > 0 AS bare FROM t)
 SELECT doc_id, text, bare AS steps_without_source, array_to_string(list_sort(list_distinct(cs)), ',') AS cited,
   CASE WHEN n_hits = 0 THEN 'no_hits' WHEN abst THEN 'abstain' WHEN NOT (len(cs) > 0 AND len(list_filter(cs, lambda i: i < 1 OR i > n_hits)) = 0 AND NOT bare) THEN 'invalid_citation' ELSE 'supported' END AS decision
@@ -104,33 +104,144 @@ def tx35_json_object(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH q AS (SELECT doc_id, (doc_id % 24) * 60 + (doc_id * 7) % 60 AS minutes FROM documents)
-SELECT doc_id, CAST(minutes AS INTEGER) AS minutes, CAST(CASE WHEN minutes > 660 AND minutes <= 780 THEN ceil((minutes - 660) / 60.0) * 15 WHEN minutes > 780 AND minutes <= 1020 THEN 30 + ceil((minutes - 780) / 60.0) * 20 END AS BIGINT) AS fee FROM q""")
+WITH q AS (SELECT event_id, hour(ts) * 60 + minute(ts) AS minutes FROM events)
+SELECT event_id, CAST(minutes AS INTEGER) AS minutes, CAST(CASE WHEN minutes > 660 AND minutes <= 780 THEN ceil((minutes - 660) / 60.0) * 15 WHEN minutes > 780 AND minutes <= 1020 THEN 30 + ceil((minutes - 780) / 60.0) * 20 END AS BIGINT) AS fee FROM q""")
 def f8_late_checkout_fee(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents")
-    q = F.format_string("Un départ à %dh%02d est-il possible ?", F.col("doc_id") % 24, F.col("doc_id") * 7 % 60)
-    return answers.fee(d.select("doc_id", q.alias("question"))).select("doc_id", "minutes", "fee")
+    """F8: questions about leaving at the time of an event."""
+    e = table(spark, sf_dir, "events")
+    q = F.format_string("Un départ à %dh%02d est-il possible ?", F.hour("ts"), F.minute("ts"))
+    return answers.fee(e.select("event_id", q.alias("question"))).select("event_id", "minutes", "fee")
+
+
+ASKED = ("Quelle est la différence ?", "Comment traiter un no-show ?", "La clim est en panne, comment changer le client de chambre ?", "Comment facturer ?", "Un petit-déjeuner à 6h30 ?")
+_ASKED = "[" + ", ".join("'" + q.replace("'", "''") + "'" for q in ASKED) + "]"
+HITS = f"""
+{CANON}, hits AS (
+  SELECT doc_id // 8 AS query_id, row_number() OVER (PARTITION BY doc_id // 8 ORDER BY doc_id) AS rank, doc_id, source_id, source_type, domain, content,
+    CASE WHEN doc_id % 3 = 0 THEN 'Le no-show : ' || title WHEN doc_id % 5 = 0 THEN 'Déplacer ' || title ELSE title END AS title,
+    ({_ASKED})[(doc_id // 8) % {len(ASKED)} + 1] AS question, (['software', 'both', 'hotel'])[(doc_id // 8) % 3 + 1] AS route, (doc_id // 8) % 4 <> 0 AS procedural FROM canon)
+"""
 
 
 @query(f"""
-WITH {CANON}, h AS (SELECT doc_id // 8 AS query_id, row_number() OVER (PARTITION BY doc_id // 8 ORDER BY doc_id) AS rank, source_id, source_type, (doc_id // 8) % 3 = 0 AS difference, (doc_id // 8) % 2 = 0 AS procedural, doc_id FROM canon),
-w AS (SELECT *, first_value(source_id) OVER (PARTITION BY query_id ORDER BY rank) AS f, max(CASE WHEN source_type = 'qa' THEN 1 ELSE 0 END) OVER (PARTITION BY query_id) AS qa FROM h)
-SELECT query_id, doc_id, source_id FROM w WHERE CASE WHEN difference AND qa = 1 THEN source_type = 'qa' WHEN procedural THEN source_id = f ELSE true END""")
+WITH {HITS},
+w AS (SELECT *, first_value(source_id) OVER r AS f, first_value(source_type) OVER r AS ft, arg_min(source_id, rank) FILTER (domain = 'software') OVER g AS s,
+  arg_max(source_id, {{'q': (source_type = 'qa')::INTEGER, 'n': len(content), 'r': -rank}}) FILTER (domain = 'software' AND regexp_matches(title || chr(1) || content, '(?i)no[ -]?show')) OVER g AS n,
+  arg_max(source_id, {{'n': len(content), 'r': -rank}}) FILTER (domain = 'software' AND regexp_matches(title, '(?i)(^|[^\\p{{L}}])d[ée]plac')) OVER g AS m
+  FROM hits WINDOW g AS (PARTITION BY query_id), r AS (PARTITION BY query_id ORDER BY rank)),
+c AS (SELECT *, coalesce(CASE WHEN regexp_matches(question, '(?i)clim|changer le client de chambre') THEN m END, CASE WHEN regexp_matches(question, '(?i)no[ -]?show') THEN n END, s) AS chosen FROM w)
+SELECT query_id, doc_id, source_id FROM c WHERE CASE WHEN route = 'software' AND (procedural OR question LIKE '%différence%' AND ft = 'qa') THEN source_id = f
+  WHEN route = 'both' AND procedural AND s IS NOT NULL THEN domain = 'hotel' OR source_id = chosen ELSE true END""")
 def qp9_focus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return answers.focus(_hits(spark, sf_dir)).select("query_id", "doc_id", "source_id")
 
 
 def _hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eight documents to a question, some with titles that the rules of focus look for."""
     from pyspark.sql import Window
 
     q = F.floor(F.col("doc_id") / 8)
-    c = canonical(spark, sf_dir).withColumn("query_id", q)
-    return c.withColumns({"rank": F.row_number().over(Window.partitionBy("query_id").orderBy("doc_id")), "difference": F.col("query_id") % 3 == 0, "procedural": F.col("query_id") % 2 == 0})
+    pick = lambda xs: F.element_at(F.array(*map(F.lit, xs)), (F.col("query_id") % len(xs) + 1).cast("int"))
+    title = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("Le no-show : "), "title")).when(F.col("doc_id") % 5 == 0, F.concat(F.lit("Déplacer "), "title")).otherwise(F.col("title"))
+    c = canonical(spark, sf_dir).withColumns({"query_id": q, "title": title})
+    return c.withColumns({"rank": F.row_number().over(Window.partitionBy("query_id").orderBy("doc_id")), "question": pick(ASKED), "route": pick(("software", "both", "hotel")), "procedural": F.col("query_id") % 4 != 0})
 
 
-@query(f"WITH {CANON} SELECT doc_id // 8 AS query_id, string_agg('[' || rank || '] ' || title || chr(10) || content, chr(10) || '---' || chr(10) ORDER BY rank) AS context FROM (SELECT *, row_number() OVER (PARTITION BY doc_id // 8 ORDER BY doc_id) AS rank FROM canon) GROUP BY 1")
+CONTEXTS = "SELECT query_id, string_agg('[' || rank || '] ' || title || chr(10) || CASE WHEN topic <> 'general' THEN topic || chr(10) ELSE '' END || content, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank) AS context FROM hits JOIN (SELECT doc_id, topic FROM canon) USING (doc_id) GROUP BY query_id"
+
+
+@query(f"WITH {HITS} {CONTEXTS}")
 def pr10_context(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return answers.context(_hits(spark, sf_dir))
+    return answers.context(_hits(spark, sf_dir).withColumns({"citation": F.col("title"), "breadcrumb": F.when(F.col("topic") != "general", F.col("topic"))}))
+
+
+_TEXTS = {
+    "route": "Route : ", "sensitive": "Sensitive", "explicit": "Explicit", "procedural": "One procedure", "both": "Both sides", "short": "Short", "constraints": "CONSTRAINTS", "excerpts": "EXCERPTS",
+    "question": "Question : ", "reminders": "REMINDERS", "nothing": "Nothing found.", "yes": "yes", "no": "no", "guardrail": "Must hold: ", "last": "Keep what is proved.", "draft": "DRAFT", "checks": "CHECKS",
+    "fee": "fee of {fee}", "room_move": "hotel [{hotel}], software [{software}]", "no_show": "hotel [{hotel}] and software [{software}]",
+}
+
+
+def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A question with its context, plan and guardrail."""
+    h = _hits(spark, sf_dir).withColumns({"citation": F.col("title"), "breadcrumb": F.when(F.col("topic") != "general", F.col("topic"))})
+    per = h.groupBy("query_id").agg(F.first("question").alias("question"), F.first("route").alias("route"), F.first("procedural").alias("procedural"), F.transform(F.array_sort(F.collect_list(F.struct("rank", "source_id", "domain", "content"))), lambda x: F.struct(x["source_id"], x["domain"], x["content"])).alias("hits"))
+    x = per.join(answers.context(h), "query_id").withColumns({"sensitive": F.col("query_id") % 2 == 0, "explicit": F.col("query_id") % 5 == 0})
+    return x.withColumn("guardrail", answers.guardrails(F.col("question"), F.col("hits"), _TEXTS))
+
+
+MESSAGES = f"""
+{HITS}, cx AS ({CONTEXTS}),
+q AS (SELECT query_id, any_value(question) AS question, any_value(route) AS route, any_value(procedural) AS procedural, min(rank) FILTER (domain = 'hotel') AS ho, min(rank) FILTER (domain = 'software') AS so FROM hits GROUP BY query_id),
+m AS (SELECT q.*, context, query_id % 2 = 0 AS sensitive, query_id % 5 = 0 AS explicit, CASE WHEN question LIKE '%no-show%' AND ho IS NOT NULL AND so IS NOT NULL THEN 'hotel [' || ho || '] and software [' || so || ']' END AS guardrail FROM q JOIN cx USING (query_id))
+"""
+
+
+@query(f"""
+WITH {MESSAGES}
+SELECT query_id, guardrail, 'CONSTRAINTS' || chr(10) || '- ' || concat_ws(chr(10) || '- ', 'Route : ' || route, CASE WHEN sensitive THEN 'Sensitive' END, CASE WHEN explicit THEN 'Explicit' END) || chr(10) || chr(10) || 'EXCERPTS' || chr(10) || chr(10) || context ||
+  chr(10) || chr(10) || '---' || chr(10) || chr(10) || 'Question : ' || question || chr(10) || chr(10) || 'REMINDERS' || chr(10) || '- ' || concat_ws(chr(10) || '- ', CASE WHEN procedural THEN 'One procedure' END, CASE WHEN route = 'both' THEN 'Both sides' END, guardrail, CASE WHEN NOT procedural THEN 'Short' END) AS message FROM m""")
+def pr11_user_message(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """PR11, F9: the message of each question; the words of it are a parameter."""
+    x = _asked(spark, sf_dir)
+    plan = {k: F.col(k) for k in ("route", "sensitive", "explicit", "procedural")}
+    return x.select("query_id", "guardrail", answers.user_message(F.col("question"), F.col("context"), plan, _TEXTS, F.col("guardrail")).alias("message"))
+
+
+@query(f"""
+WITH {MESSAGES}
+SELECT query_id, 'Sensitive' || CASE WHEN sensitive THEN 'yes' ELSE 'no' END || chr(10) || 'Explicit' || CASE WHEN explicit THEN 'yes' ELSE 'no' END || chr(10) || chr(10) || 'EXCERPTS' || chr(10) || chr(10) || context || chr(10) || chr(10) || '---' || chr(10) || chr(10) ||
+  'Question : ' || chr(10) || question || chr(10) || chr(10) || '---' || chr(10) || chr(10) || 'DRAFT' || chr(10) || upper(question) || chr(10) || chr(10) || 'CHECKS' || chr(10) || '- ' ||
+  concat_ws(chr(10) || '- ', CASE WHEN procedural THEN 'One procedure' END, CASE WHEN route = 'both' THEN 'Both sides' END, 'Must hold: ' || guardrail, 'Keep what is proved.') AS message FROM m""")
+def pr12_verification_message(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = _asked(spark, sf_dir)
+    plan = {k: F.col(k) for k in ("route", "sensitive", "explicit", "procedural")}
+    return x.select("query_id", answers.verification_message(F.col("question"), F.col("context"), F.upper("question"), plan, _TEXTS, F.col("guardrail")).alias("message"))
+
+
+# a question's hits under other names, so that both conflicts are met
+@query(f"""
+WITH {HITS}, h AS (SELECT query_id, CASE WHEN query_id % 4 = 1 THEN 'Liste des départs' ELSE question END AS question, CASE WHEN rank = 1 THEN (['hotel-services-001', 'software-faq-118'])[query_id % 2 + 1] ELSE source_id END AS source_id, CASE WHEN rank = 1 AND query_id % 3 = 0 THEN 'La liste des arrivées' ELSE content END AS content FROM hits)
+SELECT query_id, CASE WHEN any_value(question) = 'Liste des départs' AND count_if(source_id = 'software-faq-118' AND regexp_matches(content, '(?i)liste des arriv[ée]es')) > 0 THEN 'document_conflict' WHEN any_value(question) LIKE '%6h30%' AND count_if(source_id = 'hotel-services-001') > 0 THEN 'unsupported_time' END AS reason FROM h GROUP BY query_id""")
+def fi25_conflict_reason(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """FI25, QP10: early abstentions."""
+    first, q = F.col("rank") == 1, F.col("query_id")
+    h = _hits(spark, sf_dir).withColumns({
+        "question": F.when(q % 4 == 1, "Liste des départs").otherwise(F.col("question")), "source_id": F.when(first, F.when(q % 2 == 0, "hotel-services-001").otherwise("software-faq-118")).otherwise(F.col("source_id")),
+        "content": F.when(first & (q % 3 == 0), "La liste des arrivées").otherwise(F.col("content")),
+    })
+    per = h.groupBy("query_id").agg(F.first("question").alias("question"), F.collect_list(F.struct("source_id", "content")).alias("hits"))
+    return per.select("query_id", answers.conflict_reason(F.col("question"), F.col("hits")).alias("reason"))
+
+
+# recorded outputs of a verifier: tags, JSON, and such as have no form
+_RAW = {
+    "first": "CASE doc_id % 6 WHEN 0 THEN '<decision>SUPPORTED</decision><answer>' || line || ' [1]</answer><sources>1, 2</sources>' WHEN 1 THEN '<decision>abstain</decision>' WHEN 2 THEN 'no form: ' || line WHEN 3 THEN '<decision>supported</decision><answer>' || line || '</answer><sources>2</sources>' WHEN 4 THEN '<decision>supported</decision><answer>' || line || ' [9]</answer>' ELSE 'x {\"decision\": \"supported\", \"answer\": \"all fine\", \"sources\": [1, \"2\"]} y' END",
+    "review": "CASE WHEN doc_id % 4 = 1 THEN '<decision>supported</decision><answer>' || line || ' [1]</answer>' ELSE 'none' END",
+    "retry": "CASE WHEN doc_id % 5 < 3 THEN 'none' ELSE '<decision>abstain</decision>' END",
+    "decide": "CASE WHEN doc_id % 3 = 2 THEN '<decision>supported</decision><sources>1</sources>' ELSE 'none' END",
+}
+
+
+@query(f"""
+WITH l AS (SELECT doc_id, doc_id % 3 + 1 AS n_hits, replace(split_part(text, chr(10), 1), '"', '') AS line FROM documents),
+r AS (SELECT *, {', '.join(f'{v} AS {k}' for k, v in _RAW.items())}, line || ' [1]' AS draft FROM l),
+p AS (SELECT *, doc_id % 6 AS k,
+  CASE doc_id % 6 WHEN 0 THEN CASE WHEN n_hits >= 2 THEN 'supported' ELSE 'invalid_format' END WHEN 1 THEN 'abstain' WHEN 2 THEN 'invalid_format' WHEN 3 THEN CASE WHEN n_hits >= 2 AND trim(line) <> '' THEN 'supported' ELSE 'invalid_format' END WHEN 4 THEN 'invalid_format' ELSE CASE WHEN n_hits >= 2 THEN 'supported' ELSE 'invalid_format' END END AS d1,
+  CASE WHEN doc_id % 4 = 1 THEN 'supported' ELSE 'invalid_format' END AS d2, CASE WHEN doc_id % 5 < 3 THEN 'invalid_format' ELSE 'abstain' END AS d3, CASE WHEN doc_id % 3 = 2 THEN 'supported_decision_only' ELSE 'invalid_format' END AS d4 FROM r)
+SELECT doc_id, CASE WHEN d1 = 'abstain' AND n_hits > 1 AND d2 <> 'invalid_format' THEN d2 WHEN d1 <> 'invalid_format' THEN d1 WHEN d3 <> 'invalid_format' THEN d3 ELSE d4 END AS decision,
+  CAST(CASE WHEN d1 = 'abstain' AND n_hits > 1 THEN 2 WHEN d1 <> 'invalid_format' THEN 1 WHEN d3 <> 'invalid_format' THEN 2 ELSE 3 END AS INTEGER) AS calls FROM p""")
+def qp11_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """QP11, TX36, TX37: a verifier's recorded outputs, in the order in which they would be asked for."""
+    d = table(spark, sf_dir, "documents").select("doc_id", (F.col("doc_id") % 3 + 1).alias("n_hits"), F.replace(F.split_part("text", F.lit("\n"), F.lit(1)), F.lit('"'), F.lit("")).alias("line"))
+    r = d.withColumns({k: F.expr(v.replace('\\"', '"')) for k, v in _RAW.items()}).withColumn("draft", F.concat("line", F.lit(" [1]")))
+    return answers.verify(r).select("doc_id", "decision", "calls")
+
+
+@query("SELECT conv_id, turn, CASE WHEN regexp_matches(s, '^(generic_software|software)-faq-\\d+$') THEN 'faq-' || regexp_extract(s, '(\\d+)$', 1) WHEN contains(s, 'lexique-hotelier-') THEN substring(s, strpos(s, 'lexique-hotelier-')) ELSE s END AS identity FROM (SELECT conv_id, turn, (['software-faq-', 'generic_software-faq-', 'old/lexique-hotelier-', 'other-'])[turn % 4 + 1] || conv_id AS s FROM conversations)")
+def tx34_source_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = F.element_at(F.array(*map(F.lit, ("software-faq-", "generic_software-faq-", "old/lexique-hotelier-", "other-"))), (F.col("turn") % 4 + 1).cast("int"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", text.source_identity(F.concat(names, "conv_id")).alias("identity"))
 
 
 @query("SELECT count_if(NOT a AND b)::BIGINT AS improved, count_if(a AND NOT b)::BIGINT AS regressed, count_if(a = b)::BIGINT AS unchanged FROM (SELECT quality = 1 AS a, toxic = 0 AS b FROM labels)")

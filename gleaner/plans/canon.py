@@ -20,7 +20,7 @@ def canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = d.join(marks, d["doc_id"] == marks["l_id"], "left").withColumns({"n": n, "source_type": kind})
     return out.select(
         stable_id(F.col("source"), F.col("doc_id")).alias("id"), "doc_id", F.col("text").alias("content"),
-        F.substring(F.split_part(F.col("text"), F.lit("\n"), F.lit(1)), 1, 60).alias("title"),
+        F.split_part(F.col("text"), F.lit("\n"), F.lit(1)).alias("title"),
         F.when(F.col("n") % 2 == 0, "software").otherwise("hotel").alias("domain"),
         F.element_at(F.array(*map(F.lit, ("general", "reservations", "payments", "billing", "guest_journey"))), F.col("n") % 5 + 1).alias("topic"),
         F.when(F.col("n") % 3 == 0, "refund").otherwise(F.lit(None)).alias("subtopic"), "source_type", F.col("source").alias("source_id"),
@@ -38,7 +38,7 @@ numbered AS (
   FROM documents d LEFT JOIN marks m ON d.doc_id = m.l_id),
 canon AS (
   SELECT substring(sha1(source || '::' || CAST(doc_id AS VARCHAR)), 1, 16) AS id, doc_id, text AS content,
-    substring(split_part(text, chr(10), 1), 1, 60) AS title,
+    split_part(text, chr(10), 1) AS title,
     CASE WHEN n % 2 = 0 THEN 'software' ELSE 'hotel' END AS domain,
     (['general', 'reservations', 'payments', 'billing', 'guest_journey'])[n % 5 + 1] AS topic,
     CASE WHEN n % 3 = 0 THEN 'refund' END AS subtopic, source_type, source AS source_id,

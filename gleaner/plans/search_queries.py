@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gleaner.functions.folding import tokens
+from gleaner.functions.folding import TITLE_STOP, title_tokens
 from gleaner.operators import search
 from gleaner.plans.registry import query, table
 
@@ -13,9 +13,15 @@ EVERY = 50
 
 
 def _points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Embeddings as points; the document of the same number gives the first line as title, and the labels a status."""
     e = table(spark, sf_dir, "embeddings")
-    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("vec_id"), tokens(F.substring("text", 1, 60)).alias("title_tokens")).dropDuplicates(["vec_id"])
-    return e.join(d, "vec_id", "left").select("vec_id", "embedding", F.col("label").cast("string").alias("source_id"), F.coalesce("title_tokens", F.array().cast("array<string>")).alias("title_tokens"), F.when(F.col("label") % 2 == 0, "software").otherwise("hotel").alias("domain"))
+    d = table(spark, sf_dir, "documents").groupBy(F.col("doc_id").alias("vec_id")).agg(F.min(F.split_part("text", F.lit("\n"), F.lit(1))).alias("title"))
+    d = d.select("vec_id", title_tokens(F.col("title")).alias("title_tokens"))
+    marks = table(spark, sf_dir, "labels").groupBy(F.col("doc_id").alias("vec_id")).agg(F.max("quality").alias("quality"))
+    status = F.when((F.col("quality") == 0) | (F.col("vec_id") % 7 == 0), "review_required").otherwise("verified")
+    return e.join(d, "vec_id", "left").join(marks, "vec_id", "left").select(
+        "vec_id", "embedding", F.col("label").cast("string").alias("source_id"), F.coalesce("title_tokens", F.array().cast("array<string>")).alias("title_tokens"),
+        F.when(F.col("label") % 2 == 0, "software").otherwise("hotel").alias("domain"), F.concat(F.lit("t"), F.col("label") % 3).alias("topic"), F.when(F.col("label") != 4, F.concat(F.lit("s"), "label")).alias("subtopic"), status.alias("status"))
 
 
 def _questions(points: DataFrame) -> DataFrame:
@@ -38,17 +44,30 @@ def tk1_dense_top(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.select("query_id", F.row_number().over(w).alias("rank"), "vec_id", F.round("score", 6).alias("score"))
 
 
-@query(f"""
-WITH {SCORES},
-t AS (SELECT doc_id, list_distinct(list_filter(regexp_extract_all(strip_accents(replace(lower(substring(text, 1, 60)), 'ß', 'ss')), '[a-z0-9]+'), lambda x: len(x) >= 2)) AS w FROM (SELECT doc_id, min(text) AS text FROM documents GROUP BY doc_id)),
-x AS (SELECT top.*, least(1.0, score + CASE WHEN len(coalesce(b.w, [])) > 0 THEN 0.06 * (len(list_intersect(coalesce(a.w, []), b.w)) / len(b.w)) ELSE 0 END) AS s2 FROM top LEFT JOIN t a ON a.doc_id = top.query_id LEFT JOIN t b ON b.doc_id = top.vec_id WHERE score >= 0.1),
+STOPS = "[" + ", ".join(f"'{x}'" for x in TITLE_STOP) + "]"
+FOUND = """
+marks AS (SELECT doc_id, max(quality) AS quality FROM labels GROUP BY doc_id),
+ok AS (SELECT vec_id FROM embeddings LEFT JOIN marks ON doc_id = vec_id WHERE NOT coalesce(quality = 0, false) AND vec_id % 7 <> 0 {0}),
+vtop AS (SELECT * FROM (SELECT s.*, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS r FROM s JOIN ok USING (vec_id)) WHERE r <= 20),
+t AS (SELECT doc_id, list_distinct(list_filter(regexp_extract_all(strip_accents(replace(lower(text), 'ß', 'ss')), '[a-z0-9]+'), lambda x: len(x) >= 2 AND NOT list_contains({1}, x))) AS w FROM (SELECT doc_id, min(split_part(text, chr(10), 1)) AS text FROM documents GROUP BY doc_id)),
+x AS (SELECT vtop.*, least(1.0, score + CASE WHEN len(coalesce(b.w, [])) > 0 THEN 0.06 * (len(list_intersect(coalesce(a.w, []), b.w)) / len(b.w)) ELSE 0 END) AS s2 FROM vtop LEFT JOIN t a ON a.doc_id = vtop.query_id LEFT JOIN t b ON b.doc_id = vtop.vec_id WHERE score >= 0.1),
 y AS (SELECT *, row_number() OVER (PARTITION BY query_id, source_id ORDER BY s2 DESC, score DESC, vec_id) AS o FROM x),
 z AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s2 DESC, score DESC, vec_id) AS rank FROM y WHERE o <= 2)
-SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, source_id, round(s2, 6) AS score FROM z WHERE rank <= 5""")
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, source_id, round(s2, 6) AS score FROM z WHERE rank <= 5"""
+
+
+@query(f"WITH {SCORES}, {FOUND.format('', STOPS)}")
 def tk3_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """TK2, TK3, WI1, FI3: threshold on the raw score, title bonus, at most two of a source, five hits."""
+    """TK2, TK3, TK4, WI1, FI1, FI3, TX9, TX17: verified points, threshold on the raw score, title bonus, at most two of a source, five hits."""
     p = _points(spark, sf_dir)
-    return search.search(p, _questions(p), threshold=0.1, per_source=2).select("query_id", "rank", "vec_id", "source_id", F.round("score", 6).alias("score"))
+    return search.search(p, _questions(p), k=0, threshold=0.1, per_source=2).select("query_id", "rank", "vec_id", "source_id", F.round("score", 6).alias("score"))
+
+
+@query(f"WITH {SCORES}, {FOUND.format('AND label % 2 = 0 AND label % 3 = 0 AND label <> 6', STOPS)}")
+def fi2_filtered_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """FI2: one domain and topic, without one subtopic; a null subtopic stays."""
+    p = _points(spark, sf_dir)
+    return search.search(p, _questions(p), threshold=0.1, per_source=2, domain="software", topic="t0", exclude_subtopics=("s6",)).select("query_id", "rank", "vec_id", "source_id", F.round("score", 6).alias("score"))
 
 
 @query(f"""
@@ -64,13 +83,13 @@ def wi2_balanced(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""
 WITH {SCORES},
-terms AS (SELECT vec_id, i AS term, v[i] AS weight FROM (SELECT vec_id, v, unnest(generate_series(1, len(v))) AS i FROM e) WHERE abs(v[i]) > 0.25)
-SELECT a.vec_id AS query_id, b.vec_id, round(sum(a.weight * b.weight), 6) AS score FROM terms a JOIN terms b ON a.term = b.term AND a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id GROUP BY ALL""")
+terms AS (SELECT vec_id, i AS term, v[i] AS weight FROM (SELECT vec_id, v, unnest(generate_series(1, len(v))) AS i FROM e) WHERE abs(v[i]) > 0.25),
+sp AS (SELECT a.vec_id AS query_id, b.vec_id, sum(a.weight * b.weight) AS score FROM terms a JOIN terms b ON a.term = b.term AND a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id GROUP BY ALL),
+sr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, vec_id) AS r FROM sp)
+SELECT query_id, vec_id, round(score, 6) AS score, CAST(r AS INTEGER) AS rank FROM sr WHERE r <= 20""")
 def jo8_sparse_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """JO8: components above 0.25 as the terms of a sparse vector."""
-    t = _terms(spark, sf_dir)
-    q = t.where(F.pmod("vec_id", F.lit(EVERY)) == 0).withColumnRenamed("vec_id", "query_id")
-    return search.sparse_scores(t, q).where("query_id <> vec_id").withColumn("score", F.round("score", 6))
+    """JO8: components above 0.25 as the terms of a sparse vector; the 20 best of each question."""
+    return _sparse(spark, sf_dir).withColumn("score", F.round("score", 6))
 
 
 def _terms(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,15 +107,13 @@ z AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 1
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, round(score, 9) AS score FROM z WHERE rank <= 5""")
 def jo7_rank_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JO7: dense and sparse rankings fused by reciprocal ranks."""
-    w = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "vec_id")
-    sparse = jo8_scores(spark, sf_dir).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= 20)
-    return search.fuse([tk1_dense_top(spark, sf_dir), sparse], 5).select("query_id", "rank", "vec_id", F.round("score", 9).alias("score"))
+    return search.fuse([tk1_dense_top(spark, sf_dir), _sparse(spark, sf_dir)], 5).select("query_id", "rank", "vec_id", F.round("score", 9).alias("score"))
 
 
-def jo8_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = _terms(spark, sf_dir)
     q = t.where(F.pmod("vec_id", F.lit(EVERY)) == 0).withColumnRenamed("vec_id", "query_id")
-    return search.sparse_scores(t, q).where("query_id <> vec_id")
+    return search.sparse_scores(t, q, 20)
 
 
 EVAL = f"""

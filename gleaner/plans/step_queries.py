@@ -11,7 +11,7 @@ from gleaner.plans.registry import query, table
 STEPS = """
 st AS (SELECT l_orderkey AS video_id, l_linenumber AS step_number, epoch(l_shipdate) / 86400.0 AS timestamp_start, l_returnflag AS flag, l_shipmode AS mode, l_quantity AS quantity, l_discount AS discount, l_tax AS tax, l_linestatus AS linestatus
   FROM (SELECT *, CASE WHEN l_partkey % 3 = 0 THEN 'left' ELSE 'right' END AS l_shipmode FROM lineitem)),
-f AS (SELECT video_id, step_number, flag, timestamp_start, mode, CASE WHEN quantity > 49 THEN 1 ELSE 0 END AS missing_assets,
+f AS (SELECT video_id, step_number, flag, timestamp_start, mode, tax, CASE WHEN quantity > 49 THEN 1 ELSE 0 END AS missing_assets,
   CASE WHEN quantity > 49 OR tax > 0.079 AND discount > 0.09 THEN 'critical' WHEN linestatus = 'F' AND flag = 'N' THEN 'low' WHEN flag = 'R' THEN 'high' WHEN flag = 'A' THEN 'medium' ELSE 'low' END AS risk FROM st)
 """
 
@@ -28,7 +28,7 @@ def _findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = _steps(spark, sf_dir)
     status = F.when((F.col("linestatus") == "F") & (F.col("flag") == "N"), "verified").otherwise("draft")
     gone = F.col("quantity") > 49
-    return s.withColumns({"missing_assets": gone.cast("int"), "risk": steps.risk(gone, (F.col("tax") > 0.079) & (F.col("discount") > 0.09), F.col("flag") == "R", F.col("flag") == "A", status)})
+    return s.withColumns({"missing_assets": gone.cast("int"), "invalid": (F.col("tax") > 0.079).cast("int"), "risk": steps.risk(gone, (F.col("tax") > 0.079) & (F.col("discount") > 0.09), F.col("flag") == "R", F.col("flag") == "A", status)})
 
 
 @query(f"WITH {STEPS} SELECT video_id, step_number, risk, missing_assets FROM f")
@@ -41,8 +41,8 @@ AUDIT = f"""
 {STEPS},
 q AS (SELECT *, row_number() OVER w AS n, lag(timestamp_start) OVER w AS p FROM st WINDOW w AS (PARTITION BY video_id ORDER BY step_number, timestamp_start)),
 i AS (SELECT video_id, CAST(count_if(n <> step_number) + coalesce(count_if(timestamp_start < p), 0) AS BIGINT) AS sequence_issues FROM q GROUP BY video_id),
-a AS (SELECT video_id, count(*) AS steps, CAST(count_if(risk = 'critical') AS BIGINT) AS critical, CAST(count_if(risk = 'high') AS BIGINT) AS high, CAST(count_if(risk = 'medium') AS BIGINT) AS medium, CAST(count_if(risk = 'low') AS BIGINT) AS low, CAST(sum(missing_assets) AS BIGINT) AS missing_assets FROM f GROUP BY video_id),
-au AS (SELECT a.*, sequence_issues, CAST(100 * critical + 10 * high + 3 * medium + 20 * missing_assets + 25 * sequence_issues AS BIGINT) AS risk_score FROM a JOIN i USING (video_id))
+a AS (SELECT video_id, count(*) AS steps, CAST(count_if(risk = 'critical') AS BIGINT) AS critical, CAST(count_if(risk = 'high') AS BIGINT) AS high, CAST(count_if(risk = 'medium') AS BIGINT) AS medium, CAST(count_if(risk = 'low') AS BIGINT) AS low, CAST(sum(missing_assets) AS BIGINT) AS missing_assets, CAST(count_if(tax > 0.079) AS BIGINT) AS invalid FROM f GROUP BY video_id),
+au AS (SELECT a.*, sequence_issues, CAST(100 * critical + 10 * high + 3 * medium + 20 * missing_assets + 100 * invalid + 25 * sequence_issues AS BIGINT) AS risk_score FROM a JOIN i USING (video_id))
 """
 
 
@@ -52,7 +52,7 @@ def _audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {AUDIT} SELECT * FROM au")
 def ag13_video_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """AG13, AG14, AG16, WI8, JO22."""
+    """AG13, AG14, WI8."""
     return _audit(spark, sf_dir)
 
 
@@ -82,9 +82,10 @@ def wi4_renumber(spark: SparkSession, sf_dir: str) -> DataFrame:
     return steps.renumber(_steps(spark, sf_dir), ("flag",)).select("video_id", "step_number", "total_steps", "flag")
 
 
-@query(f"WITH {STEPS} SELECT flag || '/' || mode AS flag, count(*) AS n, CAST(row_number() OVER (ORDER BY count(*) DESC, flag || '/' || mode) AS INTEGER) AS rank FROM st GROUP BY 1")
+@query(f"WITH {STEPS} SELECT flag || '/' || mode AS flag, count(*) AS n, CAST(row_number() OVER (ORDER BY count(*) DESC, min(video_id * 10 + step_number), flag || '/' || mode) AS INTEGER) AS rank FROM st GROUP BY 1")
 def ag15_flag_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return steps.flag_frequencies(_steps(spark, sf_dir).select(F.concat("flag", F.lit("/"), "mode").alias("flag")))
+    """AG15: ties by first appearance."""
+    return steps.flag_frequencies(_steps(spark, sf_dir).select(F.concat("flag", F.lit("/"), "mode").alias("flag"), (F.col("video_id") * 10 + F.col("step_number")).alias("at")), "at")
 
 
 @query(f"WITH {STEPS}, r AS (SELECT *, row_number() OVER (PARTITION BY risk ORDER BY video_id, step_number) AS n FROM f WHERE risk = 'critical') SELECT video_id, step_number, risk, CAST((n - 1) // 10 + 1 AS INTEGER) AS lot FROM r")
@@ -113,9 +114,9 @@ def ag12_thin_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return steps.thin(_frames(spark, sf_dir), 36000.0)
 
 
-@query(f"WITH {FRAMES} SELECT segment, arg_max(frame_id, {{'t': t, 'f': frame_id}}) FILTER (moment = 'before') AS before, arg_max(frame_id, {{'t': t, 'f': frame_id}}) FILTER (moment = 'after') AS after, CAST(count_if(moment = 'scene') AS BIGINT) AS supporting FROM fr GROUP BY segment HAVING count_if(moment <> 'scene') > 0")
+@query(f"WITH {FRAMES} SELECT segment, arg_max(frame_id, {{'t': t, 'f': frame_id}}) FILTER (moment = 'before') AS before, arg_max(frame_id, {{'t': t, 'f': frame_id}}) FILTER (moment = 'after') AS after, coalesce(string_agg(CAST(frame_id AS VARCHAR), ',' ORDER BY t, frame_id) FILTER (moment = 'scene'), '') AS scenes FROM fr GROUP BY segment HAVING count_if(moment <> 'scene') > 0")
 def ag10_frame_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return steps.frame_groups(_frames(spark, sf_dir))
+    return steps.frame_groups(_frames(spark, sf_dir)).withColumn("scenes", F.array_join(F.transform("scenes", lambda x: x.cast("string")), ","))
 
 
 @query(f"""
@@ -128,9 +129,10 @@ def jo9_nearest_segment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return steps.nearest_segment(cuts, f.where("moment = 'before'").select(F.col("segment").alias("video_id"), F.col("frame_id").alias("segment"), F.col("t").alias("center")))
 
 
-@query("SELECT event_id, greatest(0, least(greatest(0, value - 2), greatest(0, 90 - 0.05))) AS before_t, CASE WHEN least(greatest(0, value + 3), greatest(0, 90 - 0.05)) - least(greatest(0, value - 2), greatest(0, 90 - 0.05)) >= 4 THEN least(greatest(0, value + 3), greatest(0, 90 - 0.05)) END AS after_t FROM (SELECT event_id, CAST(event_id % 100 AS DOUBLE) AS value FROM events)")
+@query("SELECT event_id, greatest(0, least(greatest(0, t - 2), greatest(0, d - 0.05))) AS before_t, CASE WHEN least(greatest(0, t + 3), greatest(0, d - 0.05)) - least(greatest(0, t - 2), greatest(0, d - 0.05)) >= 4 THEN least(greatest(0, t + 3), greatest(0, d - 0.05)) END AS after_t FROM (SELECT event_id, value AS t, hour(ts) * 10.0::DOUBLE + minute(ts) AS d FROM events)")
 def wi11_frame_times(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events").select("event_id", (F.col("event_id") % 100).cast("double").alias("t"), F.lit(90.0).alias("duration"))
+    """WI11: the value of an event as a step's time, its hour and minute as a duration."""
+    e = table(spark, sf_dir, "events").select("event_id", F.col("value").alias("t"), (F.hour("ts") * 10.0 + F.minute("ts")).alias("duration"))
     return steps.frame_times(e, 2.0, 3.0, 4.0).select("event_id", "before_t", "after_t")
 
 
@@ -169,6 +171,6 @@ def fi20_review_integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {STEPS}, m AS (SELECT flag || mode AS metric, CAST(quantity AS DOUBLE) AS baseline, CAST(quantity + 1000 * discount AS DOUBLE) AS proposal FROM st) SELECT metric, round(avg(baseline), 4) AS baseline, round(avg(proposal), 4) AS proposal, round(avg(proposal) - avg(baseline), 4) AS delta, count(*) AS n FROM m GROUP BY metric")
 def ag23_calibration_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """AG22, AG23, JO19."""
+    """AG23."""
     s = _steps(spark, sf_dir)
     return steps.calibration_summary(s.select(F.concat("flag", "mode").alias("metric"), F.col("quantity").alias("baseline"), (F.col("quantity") + 1000 * F.col("discount")).alias("proposal")))
