@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gleaner.llm.components import connected_components
-from gleaner.llm.shared import materialize
+from gleaner.llm.shared import discard, materialize, whole_groups
 
 SEED = 42
 #: A group of fingerprints that agree on the exact blocks is split into parts once it is larger than this.
@@ -171,7 +171,6 @@ def hamming_links(words: DataFrame, bits: int = 3, hot: int = HOT_GROUP, n: int
     n = words.count() if n is None else n
     tables = block_tables(n, bits)
     _, exact = _layout(n, bits)
-    depth = 64 - sum(width for _, width in tables[0][:exact])
     depths = [64 - sum(width for _, width in t[:exact]) for t in tables]
     rows = words.select(
         "w",
@@ -188,23 +187,18 @@ def hamming_links(words: DataFrame, bits: int = 3, hot: int = HOT_GROUP, n: int
         rows = rows.withColumn("i", F.least("p", "q")).withColumn("j", F.greatest("p", "q"))
 
     def link(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        parts = [x for x in batches if len(x)]
-        if not parts:
-            return
-        x = pd.concat(parts, ignore_index=True)
-        for t, of_table in x.groupby("t", sort=False):
-            group = pd.factorize(pd.MultiIndex.from_frame(of_table[["g", "i", "j"]]))[0]
-            key, w = of_table["k"].to_numpy().view(np.uint64), of_table["w"].to_numpy()
-            order = np.lexsort((key, group))
-            group, key, w = group[order], key[order], w[order]
-            roots = np.concatenate(([0], np.flatnonzero(np.diff(group)) + 1, [len(group)]))
-            label = trie_links(key, roots, depths[int(t)], bits)
-            joined = label != np.arange(len(label))
-            if joined.any():
-                yield pd.DataFrame({"a": w[joined], "b": w[label[joined]]})
-
-    del depth
-    return rows.repartition("t", "g", "i", "j").select("t", "g", "i", "j", "k", "w").mapInPandas(link, "a long, b long")
+        for x, starts in whole_groups(batches, ["t", "g", "i", "j"]):
+            t, key, w = x["t"].to_numpy(), x["k"].to_numpy().view(np.uint64), x["w"].to_numpy()
+            for table in np.unique(t).tolist():  # rows come sorted by table
+                a, b = int(np.searchsorted(t, table)), int(np.searchsorted(t, table, "right"))
+                roots = np.append(starts[(starts >= a) & (starts < b)], b) - a
+                label = trie_links(key[a:b], roots, depths[table], bits)
+                joined = label != np.arange(len(label))
+                if joined.any():
+                    yield pd.DataFrame({"a": w[a:b][joined], "b": w[a:b][label[joined]]})
+
+    dealt = rows.repartition("t", "g", "i", "j").sortWithinPartitions("t", "g", "i", "j", "k")
+    return dealt.select("t", "g", "i", "j", "k", "w").mapInPandas(link, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, bits: int = 3) -> DataFrame:
@@ -220,6 +214,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     labels = connected_components(hamming_links(own.select("w"), bits), "simhash")
     labels = own.join(labels, own["w"] == labels["node"], "left").select("w", "least", F.coalesce("component", "w").alias("c"))
     labels = materialize(labels, "labels")
+    discard(own)
     smallest = labels.groupBy("c").agg(F.min("least").alias("component_id"))
     classes = labels.join(smallest, "c").select("w", "component_id")
     return fps.join(classes, "w").select(
