@@ -10,6 +10,7 @@ its ends and is backtraced by itself.
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from collections.abc import Iterator
@@ -20,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gleaner.llm.shared import by_size
+from gleaner.llm.shared import by_size, materialize, whole_groups
 
 #: Characters of a part of a giant document; documents up to this length are one part.
 PART = 1 << 16
@@ -175,35 +176,30 @@ def pieces(file: str) -> Pieces:
     return _models[file]
 
 
-def _prefix_states(matrices: list[dict[State, list[State]]]) -> list[State]:
-    """The state at every boundary on the one path from the start to the end, by a scan both ways.
+def product(a: dict[State, list[State]], b: dict[State, list[State]]) -> dict[State, list[State]]:
+    """The transfer matrix of two neighbouring parts: the max-plus product, with sets of reachable states as rows."""
+    return {x: sorted({r for m in ms for r in b.get(m, ())}) for x, ms in a.items()}
 
-    Sets of reachable states are rows of the max-plus products of the matrices; a state is kept if the
-    products before and after it both reach it.
-    """
-    ahead = [{START}]
-    for m in matrices:
-        ahead.append({r for x in ahead[-1] for r in m.get(x, ())})
-    behind = {x for x in ahead[-1] if x[1] == 0}
-    out = [behind]
-    for m, before in zip(reversed(matrices), reversed(ahead[:-1]), strict=True):
-        behind = {x for x in before if any(r in behind for r in m.get(x, ()))}
-        out.append(behind)
-    path = [sorted(x) for x in reversed(out)]
-    assert all(len(x) == 1 for x in path), "the path through a text is unique"
-    return [x[0] for x in path]
 
+def between(a: dict[State, list[State]], b: dict[State, list[State]], left: State, right: State) -> list[State]:
+    """The states between two neighbouring parts on the paths from left to right; one, as the path is unique."""
+    return [m for m in a.get(left, ()) if right in b.get(m, ())]
 
-def product(a: dict[State, list[State]], b: dict[State, list[State]]) -> dict[State, list[State]]:
-    """The transfer matrix of two neighbouring parts."""
-    return {x: sorted({r for m in ms for r in b.get(m, ())}) for x, ms in a.items()}
+
+def _written(m: dict[State, list[State]]) -> str:
+    return json.dumps([[x, m[x]] for x in m])
+
+
+def _read(m: str) -> dict[State, list[State]]:
+    return {tuple(x): [tuple(r) for r in rs] for x, rs in json.loads(m)}
 
 
 def encode(docs: DataFrame, model_file: str, text_col: str = "text", part: int = PART) -> DataFrame:
     """docs without text_col, with `pieces`: the ids as array<int>, equal to SentencePiece's own.
 
-    Null and empty texts have no pieces. Rows are returned one for one. Documents above `part`
-    characters are cut into parts that any task can take; shorter ones are encoded where they are read.
+    Null and empty texts have no pieces. Rows are returned one for one, repeated ones too; a column
+    `pieces` of docs is replaced, all others are kept. Documents above `part` characters are cut into parts
+    that any task can take; shorter ones are encoded where they are read.
     """
     long = _is_long(text_col, part)
     return _short(docs.where(~long), model_file, text_col).unionByName(_giant(docs.where(long), model_file, text_col, part))
@@ -214,7 +210,7 @@ def _is_long(text_col: str, part: int) -> Column:
 
 
 def _short(docs: DataFrame, model_file: str, text_col: str) -> DataFrame:
-    names = [c for c in docs.columns if c != text_col]
+    names = [c for c in docs.columns if c not in (text_col, "pieces")]
 
     def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         coder = pieces(model_file)
@@ -228,40 +224,59 @@ def _short(docs: DataFrame, model_file: str, text_col: str) -> DataFrame:
 
 
 def _giant(docs: DataFrame, model_file: str, text_col: str, part: int) -> DataFrame:
-    names = [c for c in docs.columns if c != text_col]
+    names = [c for c in docs.columns if c not in (text_col, "pieces")]
     scanned = _scan(docs.select(F.col(text_col).alias("text")).distinct(), model_file, part)
-    rows = docs.withColumn("__h", F.xxhash64(text_col)).withColumn("__n", F.length(text_col))
-    return rows.join(scanned, ["__h", "__n"], "left").select(*names, F.coalesce("pieces", F.array().cast("array<int>")).alias("pieces"))
+    rows = docs.select(F.struct(*names).alias("row"), F.xxhash64(text_col).alias("h"), F.length(text_col).alias("n"))
+    return rows.join(scanned, ["h", "n"], "left").select("row.*", F.coalesce("pieces", F.array().cast("array<int>")).alias("pieces"))
 
 
 def _scan(texts: DataFrame, model_file: str, part: int) -> DataFrame:
-    """(_h, _n, pieces) of long texts: parts, their transfer matrices, the scan, and the backtraces."""
-    import json
+    """(h, n, pieces) of long texts: parts and their transfer matrices, products up a tree, states down it, backtraces.
+
+    A level of the tree joins each two neighbouring nodes, so a text of p parts takes about log2(p) levels,
+    in each of which its nodes are spread over tasks. Should the state between two parts not be the only
+    one, the text is encoded whole.
+    """
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         coder = pieces(model_file)
         for batch in batches:
-            for h, n, text in zip(batch["__h"], batch["__n"], batch["text"], strict=True):
+            for h, n, text in zip(batch["h"], batch["n"], batch["text"], strict=True):
                 x, r = coder.normal(text), coder.reach
                 for k, i in enumerate(range(0, len(x), part)):
-                    yield pd.DataFrame({"__h": [h], "__n": [n], "k": [k], "before": [x[max(0, i - r) : i]], "own": [x[i : i + part]], "after": [x[i + part : i + part + r]]})
+                    yield pd.DataFrame({"h": [h], "n": [n], "k": [k], "before": [x[max(0, i - r) : i]], "own": [x[i : i + part]], "after": [x[i + part : i + part + r]]})
 
-    parts = texts.select(F.xxhash64("text").alias("__h"), F.length("text").alias("__n"), "text")
-    parts = parts.mapInPandas(cut, "__h long, __n int, k int, before string, own string, after string").repartition("__h", "k")
+    texts = texts.select(F.xxhash64("text").alias("h"), F.length("text").alias("n"), "text")
+    parts = texts.mapInPandas(cut, "h long, n int, k int, before string, own string, after string").repartition("h", "k")
 
     def matrix(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         coder = pieces(model_file)
         for b in batches:
-            found = []
-            for before, own, after in zip(b["before"], b["own"], b["after"], strict=True):
-                m = coder.transfer(own + after, len(own), coder.lefts(before + own + after, len(before)))
-                found.append(json.dumps([[x, m[x]] for x in m]))
-            yield b[["__h", "__n", "k"]].assign(m=found)
+            found = [_written(coder.transfer(own + after, len(own), coder.lefts(before + own + after, len(before)))) for before, own, after in zip(b["before"], b["own"], b["after"], strict=True)]
+            yield b[["h", "n", "k"]].assign(m=found)
 
-    def states(key: tuple, b: pd.DataFrame) -> pd.DataFrame:
-        b = b.sort_values("k")
-        path = _prefix_states([{tuple(x): [tuple(r) for r in rs] for x, rs in json.loads(m)} for m in b["m"]])
-        return b[["__h", "__n", "k"]].assign(left=[json.dumps(x) for x in path[:-1]], right=[json.dumps(x) for x in path[1:]])
+    def up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for x, starts in whole_groups(batches, ["h", "n", "up"]):
+            ends, ms = np.append(starts[1:], len(x)), x["m"].tolist()
+            yield pd.DataFrame({"h": x["h"].iloc[starts], "n": x["n"].iloc[starts], "k": x["up"].iloc[starts], "m": [ms[a] if b - a == 1 else _written(product(_read(ms[a]), _read(ms[a + 1]))) for a, b in zip(starts, ends, strict=True)]})
+
+    def root(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            ends = [[s for s in _read(m).get(START, ()) if s[1] == 0] for m in b["m"]]
+            yield b[["h", "n", "k"]].assign(left=json.dumps(START), right=[json.dumps(e[0] if e else START) for e in ends], sure=[len(e) == 1 for e in ends])
+
+    def down(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for x, starts in whole_groups(batches, ["h", "n", "up"]):
+            rows = []
+            for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(x)], strict=True):
+                r = x.iloc[a]
+                if b - a == 1:
+                    rows.append((r["h"], r["n"], r["k"], r["left"], r["right"], r["sure"]))
+                    continue
+                mid = between(_read(r["m"]), _read(x.iloc[a + 1]["m"]), tuple(json.loads(r["left"])), tuple(json.loads(r["right"])))
+                middle, sure = json.dumps(mid[0] if mid else START), bool(r["sure"]) and len(mid) == 1
+                rows += [(r["h"], r["n"], r["k"], r["left"], middle, sure), (r["h"], r["n"], r["k"] + 1, middle, r["right"], sure)]
+            yield pd.DataFrame(rows, columns=["h", "n", "k", "left", "right", "sure"])
 
     def trace(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         coder = pieces(model_file)
@@ -270,11 +285,29 @@ def _scan(texts: DataFrame, model_file: str, part: int) -> DataFrame:
                 coder.backtrace(own + after, len(own), tuple(json.loads(a)), tuple(json.loads(z)))
                 for own, after, a, z in zip(b["own"], b["after"], b["left"], b["right"], strict=True)
             ]
-            yield b[["__h", "__n", "k"]].assign(ids=pd.Series([np.array(x, np.int32) for x in ids], index=b.index, dtype=object))
+            yield b[["h", "n", "k"]].assign(ids=pd.Series([np.array(x, np.int32) for x in ids], index=b.index, dtype=object))
 
-    known = parts.mapInPandas(matrix, "__h long, __n int, k int, m string").groupBy("__h", "__n").applyInPandas(states, "__h long, __n int, k int, left string, right string")
-    traced = parts.join(known, ["__h", "__n", "k"]).mapInPandas(trace, "__h long, __n int, k int, ids array<int>")
-    return traced.groupBy("__h", "__n").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("k", "ids"))), lambda x: x["ids"])).alias("pieces"))
+    def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        coder = pieces(model_file)
+        for b in batches:
+            yield b[["h", "n"]].assign(pieces=pd.Series([np.frombuffer(coder.encode_normal([coder.normal(x)])[0], "<i4") for x in b["text"]], index=b.index, dtype=object))
+
+    def paired(df: DataFrame) -> DataFrame:
+        return df.repartition("h", "n", "up").sortWithinPartitions("h", "n", "up", "k")
+
+    levels = [materialize(parts.mapInPandas(matrix, "h long, n int, k int, m string"), "matrices")]
+    last = levels[0].agg(F.max("k")).first()[0] or 0
+    while last:
+        levels.append(materialize(paired(levels[-1].withColumn("up", F.expr("k div 2").cast("int"))).mapInPandas(up, "h long, n int, k int, m string"), "matrices"))
+        last //= 2
+    states = levels.pop().mapInPandas(root, "h long, n int, k int, left string, right string, sure boolean")
+    for m in reversed(levels):
+        children = m.withColumn("up", F.expr("k div 2").cast("int")).join(states.withColumnRenamed("k", "up"), ["h", "n", "up"])
+        states = materialize(paired(children).mapInPandas(down, "h long, n int, k int, left string, right string, sure boolean"), "states")
+    unsure = states.where("NOT sure").select("h", "n").distinct()
+    traced = parts.join(states.join(unsure, ["h", "n"], "left_anti"), ["h", "n", "k"]).mapInPandas(trace, "h long, n int, k int, ids array<int>")
+    traced = traced.groupBy("h", "n").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("k", "ids"))), lambda x: x["ids"])).alias("pieces"))
+    return traced.unionByName(texts.join(unsure, ["h", "n"], "left_semi").mapInPandas(whole, "h long, n int, pieces array<int>"))
 
 
 def decode(rows: DataFrame, model_file: str, pieces_col: str = "pieces", to: str = "text") -> DataFrame:
@@ -292,8 +325,9 @@ def decode(rows: DataFrame, model_file: str, pieces_col: str = "pieces", to: str
 def round_trip(spark: SparkSession, docs: DataFrame, model_file: str, part: int = PART) -> DataFrame:
     """(doc_id, n_pieces, pieces_crc32, text_sha256) of every row of docs(doc_id, text).
 
-    The digest of the text is that of what the ids alone decode to. Encoding, decoding and digests of a
-    document are made in one pass over it, so that a task needs one Python worker.
+    The digest of the text is that of what the ids alone decode to; null and empty texts have no pieces and
+    the same digest. Repeated rows are returned each. Encoding, decoding and digests of a document are made
+    in one pass over it, so that a task needs one Python worker.
     """
     import hashlib
 
