@@ -10,37 +10,52 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.llm import decontaminate, langid, lines, pieces, simhash
-from gleaner.llm.shared import materialize, table
+from gleaner.llm.shared import discard, materialize, table
+
+
+def _packed(docs: DataFrame) -> DataFrame:
+    """docs with all its columns in one, so that no name clashes with those of an operator."""
+    return docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("doc_id"), F.col("text").alias("text"), F.xxhash64("text").alias("text_hash"))
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any letter, or whose most probable language has a score below a half, go.
 
-    Where no labelled document can be learned from, all documents with a letter stay.
+    Where no labelled document can be learned from, all documents with a letter stay. Null and empty texts
+    have no letter. Each row is judged by its own text, repeated ids too.
     """
-    out = langid.identify(docs)
+    out = langid.identify(_packed(docs).withColumn("lang", F.col("row.lang")))
     unsure = (F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") < 0.5)
-    return out.where(F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)) & ~unsure).select(*docs.columns)
+    return out.where(F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)) & ~unsure).select("row.*")
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each repeated line stays once; documents that are left without a letter or digit go."""
-    out = lines.deduplicate_lines(docs, bands=lines.BANDS)
-    out = out.where(F.col("text").rlike(r"[\p{L}\p{N}]"))
-    return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    """Each repeated line stays once; documents that are left without a letter or digit go. n_chars is counted anew."""
+    out = lines.deduplicate_lines(_packed(docs).drop("text_hash"), bands=lines.BANDS).where(F.col("text").rlike(r"[\p{L}\p{N}]"))
+    new = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
+    return out.select(*[new.get(c, F.col("row")[c]).alias(c) for c in docs.columns])
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash component stays: the one of the smallest id. Those without an id stay."""
-    kept = simhash.near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).join(kept, "doc_id", "left_semi")
-    return named.select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
+    """One document of each SimHash class stays: that of the smallest id, nulls last, then of the smallest text hash.
+
+    A document is told by its id and text: rows that repeat both are one, rows of one id with other texts
+    are not.
+    """
+    packed = _packed(docs)
+    own = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_hash")
+    found = simhash.near_duplicates(packed, also=("text_hash",))
+    kept = found.groupBy("class").agg(F.min(own).alias("best")).select(F.col("best.doc_id").alias("k_id"), F.col("best.text_hash").alias("k_hash"))
+    out = packed.join(kept, F.col("doc_id").eqNullSafe(F.col("k_id")) & (F.col("text_hash") == F.col("k_hash")), "left_semi")
+    return out.dropDuplicates(["doc_id", "text_hash"]).select("row.*")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a passage of the benchmark go."""
-    found = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark")).where("contaminated")
-    return docs.join(found.select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    """Documents that hold a passage of the benchmark go, each by its own text, whatever its id."""
+    packed = _packed(docs)
+    found = decontaminate.decontaminate(packed, table(spark, sf_dir, "benchmark"), with_hash=True).where("contaminated")
+    gone = found.select(F.col("doc_id").alias("g_id"), F.col("text_hash").alias("g_hash")).distinct()
+    return packed.join(gone, F.col("doc_id").eqNullSafe(F.col("g_id")) & (F.col("text_hash") == F.col("g_hash")), "left_anti").select("row.*")
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -64,5 +79,7 @@ ORACLE_SQL = None  # SQL can't express language identification, SimHash or the e
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        made = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        discard(docs)  # what the stage before wrote; never the table itself
+        docs = made
     return docs

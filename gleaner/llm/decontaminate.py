@@ -82,19 +82,21 @@ def _candidates(df: DataFrame, n: int, gram: int) -> tuple[DataFrame, Column]:
     return df, F.coalesce(keys, F.array().cast(KEYS))
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """(id, n_words, n_hit, n_items, items_sha256, contaminated) of every row of docs.
+def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, gram: int = GRAM, with_hash: bool = False) -> DataFrame:
+    """(id, n_words, n_hit, n_items, items_sha256, contaminated) of every row of docs; with_hash adds text_hash, the xxhash64 of the text.
 
     Windows are `window` consecutive words of an item; an item of fewer words, but not none, is one
     window. A document word inside any occurrence of a window is hit. Null and empty texts have no
     words and are never hit; an empty benchmark hits nothing. Rows that repeat are each returned.
-    A window of an item with a null id counts for n_hit but adds no item. Other columns are not read.
+    A window of an item with a null id counts for n_hit but adds no item. Other columns are not read. The
+    words of a text are one array of its task, however long it is.
 
     Documents and items are first joined on winnowed fingerprints, which every shared window has in
     common; documents that share one are extended to their exact windows around it and joined with
     the items' windows as strings. Shorter items are found by all grams of their own length.
     """
     docs = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("h"), F.col(text_col).alias("text"))
+    own_hash = [F.col("h").alias("text_hash")] if with_hash else []
     items = benchmark.select(F.col(item_col).alias("item_id"), words(F.col(item_text)).alias("w")).where(F.size("w") > 0)
     items = items.withColumn("len", F.least(F.size("w"), F.lit(window)))
     items = materialize(items, "items")
@@ -107,7 +109,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         part = _windows(items.where(F.col("len") == n), n).select("item_id", F.lit(n).alias("len"), F.explode("x.key").alias("key"))
         keys = part if keys is None else keys.unionByName(part)
     if keys is None:
-        return docs.select("doc_id", F.size(words(F.col("text"))).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_hit"), F.lit(0).cast("long").alias("n_items"), F.sha2(F.lit(""), 256).alias("items_sha256"), F.lit(False).alias("contaminated"))
+        return docs.select("doc_id", F.size(words(F.col("text"))).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_hit"), F.lit(0).cast("long").alias("n_items"), F.sha2(F.lit(""), 256).alias("items_sha256"), F.lit(False).alias("contaminated"), *own_hash)
     keys = keys.distinct().groupBy("len", "key").agg(F.sort_array(F.collect_list("item_id")).alias("ids"))
     keys = materialize(keys.withColumn("class", F.sha2(F.to_json("ids"), 256)), "windows")
     classes = keys.groupBy("class").agg(F.first("ids").alias("ids"))
@@ -153,4 +155,4 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
     out = joined(joined(at.drop("x"), per_doc.drop("c")), named)
     zero = F.lit(0).cast("long")
-    return out.select("doc_id", "n_words", F.coalesce("n_hit", zero).alias("n_hit"), F.coalesce("n_items", zero).alias("n_items"), F.coalesce("items_sha256", F.sha2(F.lit(""), 256)).alias("items_sha256"), (F.coalesce("n_hit", zero) > 0).alias("contaminated"))
+    return out.select("doc_id", "n_words", F.coalesce("n_hit", zero).alias("n_hit"), F.coalesce("n_items", zero).alias("n_items"), F.coalesce("items_sha256", F.sha2(F.lit(""), 256)).alias("items_sha256"), (F.coalesce("n_hit", zero) > 0).alias("contaminated"), *own_hash)

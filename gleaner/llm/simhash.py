@@ -201,14 +201,16 @@ def hamming_links(words: DataFrame, bits: int = 3, hot: int = HOT_GROUP, n: int
     return dealt.select("t", "g", "i", "j", "k", "w").mapInPandas(link, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, bits: int = 3) -> DataFrame:
-    """(id, fingerprint, component_id) of every row of docs.
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, bits: int = 3, also: tuple[str, ...] = ()) -> DataFrame:
+    """(id, fingerprint, component_id) of every row of docs; with the columns `also` of docs and the label `class`, if any are asked for.
 
     Null and blank texts have the fingerprint zero and are linked like any other. Rows that repeat an
     id are each returned. A null id takes no part in the minimum; a component whose ids are all null
-    has a null component_id. Other columns of docs are not read.
+    has a null component_id. A text is hashed whole by the task that reads it. Other columns of docs are not
+    read. Rows of one class are of one component, also where ids are null or repeat.
     """
-    fps = materialize(docs.select(F.col(id_col).alias("doc_id"), fingerprint_column(text_col, shingle).alias("w")), "fingerprints")
+    carried = F.struct(*also).alias("also") if also else F.lit(None).cast("int").alias("also")
+    fps = materialize(docs.select(F.col(id_col).alias("doc_id"), fingerprint_column(text_col, shingle).alias("w"), carried), "fingerprints")
     own = fps.groupBy("w").agg(F.min("doc_id").alias("least"))
     own = materialize(own, "classes")
     labels = connected_components(hamming_links(own.select("w"), bits), "simhash")
@@ -216,7 +218,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     labels = materialize(labels, "labels")
     discard(own)
     smallest = labels.groupBy("c").agg(F.min("least").alias("component_id"))
-    classes = labels.join(smallest, "c").select("w", "component_id")
-    return fps.join(classes, "w").select(
-        "doc_id", F.lpad(F.lower(F.hex("w")), 16, "0").alias("fingerprint"), "component_id"
-    )
+    classes = labels.join(smallest, "c").select("w", "component_id", F.col("c").alias("class"))
+    more = ("also.*", "class") if also else ()
+    return fps.join(classes, "w").select("doc_id", F.lpad(F.lower(F.hex("w")), 16, "0").alias("fingerprint"), "component_id", *more)
