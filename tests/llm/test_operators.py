@@ -381,6 +381,27 @@ def test_pieces(spark, docs, none, part):
     for i, rs in by_id(pieces.round_trip(spark, short, file, part=part)).items():
         assert {r["text_sha256"] for r in rs} <= {hashlib.sha256((t or "").encode()).hexdigest() for k, t in TEXTS if k == i}
     assert pieces.encode(none, file).count() == 0
+    clash = docs.select("doc_id", "text", F.lit("a").alias("h"), F.lit("b").alias("n"), F.lit("c").alias("row"), F.lit("d").alias("pieces"))
+    assert {(r["h"], r["n"], r["row"]) for r in pieces.encode(clash, file, part=1000).collect()} == {("a", "b", "c")}
+
+
+def test_pieces_product():
+    """Transfer matrices of the parts of a text: their product is associative, and equal to that of the parts as one."""
+    coder = pieces.pieces(public_tokenizers.path("piece_bpe_32k.model"))
+    text = coder.normal("the unbelievable antidisestablishmentarianism  of internationalization, naïvely")
+    cuts = [0, 11, 19, 34, 52, len(text)]
+    ms = [coder.transfer(text[a : b + coder.reach], b - a, coder.lefts(text, a)) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+    left = ms[0]
+    for m in ms[1:]:
+        left = pieces.product(left, m)
+    right = ms[-1]
+    for m in reversed(ms[:-1]):
+        right = pieces.product(m, right)
+    assert left == right == {pieces.START: left[pieces.START]} and len([x for x in left[pieces.START] if x[1] == 0]) == 1
+    a, b, c = ms[1:4]
+    assert pieces.product(pieces.product(a, b), c) == pieces.product(a, pieces.product(b, c))
+    whole = coder.transfer(text, len(text), [pieces.START])
+    assert [x for x in whole[pieces.START] if x[1] == 0] == [x for x in left[pieces.START] if x[1] == 0]
 
 
 def test_lines(spark, docs, none):
@@ -390,6 +411,11 @@ def test_lines(spark, docs, none):
     assert out[5][0]["text"] == LONG and all(r["text"] == "" for r in out[6])
     assert out[1][0]["text"] == TEXTS[0][1] and out[18][0]["key"] == "x"
     assert lines.deduplicate_lines(none).count() == 0
+    clash = docs.select("doc_id", "text", *[F.lit("own").alias(c) for c in ("h", "row", "x", "kept", "n_lines", "keys")])
+    rows = lines.deduplicate_lines(clash, bands=lines.BANDS).collect()
+    assert {(r["h"], r["row"], r["x"], r["kept"], r["keys"]) for r in rows} == {("own",) * 5} and all(isinstance(r["n_lines"], int) for r in rows)
+    again = docs.unionByName(docs)
+    assert sorted((r["doc_id"] or 0, r["text"] or "") for r in lines.deduplicate_lines(again).collect()) == sorted(2 * [(i or 0, r["text"] or "") for i, rs in out.items() for r in rs])
 
 
 def test_fuzzy_lines(spark):

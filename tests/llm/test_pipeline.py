@@ -5,7 +5,9 @@ from __future__ import annotations
 import hashlib
 
 import corpus_pipeline
+import pytest
 from gleaner.llm.shared import table
+from pyspark.sql import functions as F
 
 DATA = "/root/testdata/sf0.001"
 
@@ -30,3 +32,74 @@ def test_rejects(spark):
     rows = [(1, "123 !!"), (2, None), (3, "the words of a plain sentence in the place")]
     docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
     assert [r["doc_id"] for r in corpus_pipeline.language(spark, docs, DATA).collect()] == [3]
+
+
+KIND = "doc_id long, text string, lang string, source string, n_chars long, row string, h string, score string, text_hash string, n_lines string"
+
+
+def frame(spark, rows):
+    return spark.createDataFrame([(i, t, None, None, 0, "r", "h", "s", "t", "l") for i, t in rows], KIND)
+
+
+WORDS = ["".join(x) for x in __import__("itertools").product(("ka", "lo", "mi", "ne"), ("pu", "ra", "si"), ("to", "be"))]
+
+
+def prose(seed: int, n: int) -> str:
+    import random
+
+    r = random.Random(seed)
+    return " ".join(r.choice(WORDS) for _ in range(n))
+
+
+def left(df):
+    return sorted(((r["doc_id"], r["text"]) for r in df.collect()), key=str)
+
+
+@pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
+def test_stage_edges(spark, name):
+    """Nulls in any column, empty texts, repeated ids and rows, clashing names, and tables without rows."""
+    stage = dict(corpus_pipeline.STAGES)[name]
+    rows = [(1, prose(1, 60)), (1, prose(2, 60)), (1, prose(1, 60)), (None, prose(3, 60)), (None, prose(4, 60)), (2, None), (3, ""), (4, "12 !!"), (5, prose(3, 60))]
+    docs = frame(spark, rows)
+    out = stage(spark, docs, DATA)
+    if name == "sentencepiece":
+        assert sorted(r["doc_id"] or 0 for r in out.collect()) == sorted(i or 0 for i, _ in rows)
+    else:
+        assert out.columns == docs.columns and {(r["row"], r["h"], r["score"], r["text_hash"], r["n_lines"]) for r in out.drop("n_lines").withColumn("n_lines", F.lit("l")).collect()} <= {("r", "h", "s", "t", "l")}
+    want = {
+        "language_id": [x for x in rows if x[1] and x[1] not in ("12 !!",)],
+        # the second row of an id and text keeps the lines of the first; copies of a line elsewhere go
+        "line_dedup": [(1, rows[0][1]), (1, rows[1][1]), (1, rows[0][1]), (None, rows[3][1]), (None, rows[4][1]), (4, "12 !!")],
+        # one row of an id and text, of copies the one with an id, of blank texts the smallest id
+        "simhash_near_dedup": [(1, rows[0][1]), (1, rows[1][1]), (None, rows[4][1]), (2, None), (4, "12 !!"), (5, rows[8][1])],
+        "benchmark_decontamination": rows,
+    }.get(name)
+    if want:
+        assert left(out) == sorted(want, key=str)
+    assert stage(spark, docs.limit(0), DATA).count() == 0
+
+
+def test_decontamination_rows(spark):
+    """A contaminated text goes under a null id too; clean rows of the same id stay."""
+    item = max((r["text"] for r in table(spark, DATA, "benchmark").collect()), key=len)
+    rows = [(None, prose(5, 30) + " " + item), (1, item + " " + prose(6, 30)), (1, prose(7, 30)), (None, prose(8, 30))]
+    assert left(corpus_pipeline.decontamination(spark, frame(spark, rows), DATA)) == sorted([rows[2], rows[3]], key=str)
+
+
+def test_near_dedup_brute_force(spark):
+    """On a small corpus, against fingerprints and links worked out pair by pair."""
+    from gleaner.llm import simhash
+
+    rows = [(r["doc_id"], r["text"]) for r in table(spark, DATA, "documents").select("doc_id", "text").collect()]
+    prints = [simhash.fingerprint((t or "").encode()) & (1 << 64) - 1 for _, t in rows]
+    group = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if (prints[i] ^ prints[j]).bit_count() <= 3 and group[i] != group[j]:
+                a, b = sorted((group[i], group[j]))
+                group = [a if g == b else g for g in group]
+    best: dict[int, int] = {}
+    for g, (i, _) in zip(group, rows, strict=True):
+        best[g] = min(i, best.get(g, i))
+    got = corpus_pipeline.near_dedup(spark, table(spark, DATA, "documents"), DATA)
+    assert sorted(r["doc_id"] for r in got.collect()) == sorted(best.values())
