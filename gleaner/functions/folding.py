@@ -102,6 +102,11 @@ def squeeze(c: Column) -> Column:
     return strip(F.regexp_replace(c, rf"{SPACE}+", " "))
 
 
+def squeeze_blanks(c: Column) -> Column:
+    """Blanks inside lines squeezed and both ends stripped; line feeds stay."""
+    return strip(F.regexp_replace(c, r"[ \t\r\f\x0B]+", " "))
+
+
 def ascii_key(c: Column) -> Column:
     """Letters and digits of the ASCII form, lower-cased, one space between; ß and œ vanish."""
     return _ascii_key(c)

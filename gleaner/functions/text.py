@@ -120,8 +120,7 @@ def portable_path(c: Column, root: str) -> Column:
 
 
 def portal_url(base: Column, query: Column) -> Column:
-    """The address of a search for a text."""
-    return F.concat(base, F.lit("?search="), F.url_encode(query))
+    return F.concat(base, F.lit("?"), query)
 
 
 def iso_date(c: Column) -> Column:

@@ -1,8 +1,8 @@
-"""Index lifecycle: the plan of a synchronisation, and versioned tables with an atomic pointer."""
+"""Index lifecycle: the plan of a synchronisation and what the index holds after it."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -14,7 +14,7 @@ def sync_plan(stored: DataFrame, desired: DataFrame, key: str = "id") -> DataFra
     return a.join(b, key, "full").select(key, change.alias("change"))
 
 
-def sync(spark: SparkSession, stored: DataFrame, desired: DataFrame, key: str = "id") -> DataFrame:
+def sync(stored: DataFrame, desired: DataFrame, key: str = "id") -> DataFrame:
     """The index after a synchronisation: stored rows that stay, and the desired rows that are new."""
     kept = stored.join(desired.select(key), key, "left_semi")
     new = desired.join(stored.select(key), key, "left_anti")

@@ -188,7 +188,7 @@ def ag4_duplicate_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""
 SELECT page_id, CASE WHEN s = '' THEN 'video' ELSE s END || '-' || substring(sha1(url), 1, 10) AS video_id,
-  'https://portal.example.org/faq?search=' || replace(replace(replace(url_encode(url), '%20', '+'), '~', '%7E'), '%2A', '*') AS portal,
+  'https://portal.example.org/faq?' || url AS portal,
   split_part(replace(url, 'http://', ''), '/', 1) AS category
 FROM (SELECT *, substring(lower(regexp_replace(regexp_replace({ASCII.format("regexp_replace(string_split(url, '/')[-1], '\\.[^.]*$', '')")}, '[^a-zA-Z0-9]+', '-', 'g'), '^-+|-+$', '', 'g')), 1, 64) AS s FROM pages)""")
 def f3_page_names(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -45,7 +45,7 @@ def faq_lines(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     """(file, line_number, value) of the lines of text files; a file is read as one row and split inside it."""
-    raw = spark.read.option("wholetext", True).text(path)
+    raw = spark.read.text(path, wholetext=True)
     return raw.select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "\r?\n")).alias("i", "value")).select("file", (F.col("i") + 1).alias("line_number"), "value")
 
 
@@ -61,17 +61,6 @@ def faq_pages(pages: DataFrame) -> DataFrame:
     return pages.groupBy("file").agg(F.array_join(parts, "\n\n").alias("content"))
 
 
-def repeated_question(page: pd.Series, question: pd.Series, least: float = 0.72) -> pd.Series:
-    """Whether the first line of a page is the question again: alike to `least`, or one inside the other."""
-    from difflib import SequenceMatcher
-
-    def one(a: str | None, b: str | None) -> bool:
-        a, b = (a or "").split("\n")[0].casefold().strip(), (b or "").casefold().strip()
-        return bool(a and b) and (a in b or b in a or SequenceMatcher(None, a, b).ratio() >= least)
-
-    return pd.Series([one(a, b) for a, b in zip(page, question, strict=True)])
-
-
 def cards(files: DataFrame) -> DataFrame:
     """Cards from files(rel_path, text) of YAML; names that begin with _ are skipped."""
 
@@ -96,11 +85,12 @@ def card_violations(cards: DataFrame) -> DataFrame:
 
 
 def card_content() -> Column:
-    """A card's text: its situation, numbered procedure, and bullets of exceptions and escalation."""
-    steps = F.array_join(F.transform("procedure", lambda s, i: F.concat(i + 1, F.lit(". "), s)), "\n")
-    bullets = lambda c: F.array_join(F.transform(c, lambda s: F.concat(F.lit("- "), s)), "\n")
-    part = lambda title, body, c: F.when(F.size(c) > 0, F.concat(F.lit(title + "\n"), body))
-    return F.concat_ws("\n\n", F.concat(F.lit("Situation\n"), "situation"), part("Procedure", steps, "procedure"), part("Exceptions", bullets("exceptions"), "exceptions"), part("Escalation", bullets("escalation"), "escalation"))
+    """A card's text: its situation, numbered procedure, and bullets of exceptions and escalation, where there are any."""
+    steps = F.transform("procedure", lambda s, i: F.concat(i + 1, F.lit(". "), s))
+    bullets = lambda c: F.transform(c, lambda s: F.concat(F.lit("- "), s))
+    part = lambda title, c: F.when(F.size(c) > 0, F.concat(F.array(F.lit(title)), bullets(c))).otherwise(F.array().cast("array<string>"))
+    head = F.array(F.concat(F.lit("Situation : "), "situation"), F.lit("Procedure :"))
+    return F.array_join(F.concat(head, steps, part("Exceptions :", "exceptions"), part("Escalade :", "escalation")), "\n")
 
 
 def suggestions(rows: DataFrame) -> DataFrame:

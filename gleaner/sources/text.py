@@ -18,7 +18,7 @@ def files(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
     p = jvm.org.apache.hadoop.fs.Path(root)
     if not p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
         return spark.createDataFrame([], "rel_path string, suffix string, text string")
-    raw = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(root)
+    raw = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(root, wholetext=True)
     full = F.col("_metadata.file_path")
     rel = F.regexp_replace(full, "^.*?" + root.removeprefix("file://").rstrip("/").replace(".", r"\.") + "/", "")
     return raw.select(rel.alias("rel_path"), F.lower(F.regexp_extract(full, r"(\.[^./]*)$", 1)).alias("suffix"), F.col("value").alias("text"))
@@ -58,15 +58,6 @@ def documents(parts: DataFrame, most: int = BLOCK_LIMIT, key: str = "source_id")
     return out.withColumns({"id": stable_id(F.col(key), F.concat(F.col("section"), F.lit(":"), where)), "breadcrumb": F.concat_ws(" > ", key, "heading"), "part": F.col("i") + 1}).drop("i")
 
 
-def section_topic(title: Column, rules: tuple[tuple[str, tuple[str, ...]], ...], default: str = "general") -> Column:
-    """The topic of the first rule one of whose words the title holds."""
-    from gleaner.functions.folding import topic_key
-    from gleaner.functions.text import first_match
-
-    key = topic_key(title)
-    return first_match([(F.lit(False) if not words else key.rlike("|".join(words)), F.lit(t)) for t, words in rules], F.lit(default))
-
-
 def with_manifest(found: DataFrame, manifest: DataFrame, language: str = "fr") -> DataFrame:
     """Files with their manifest's metadata, or the defaults: source_id, authority, status, language."""
     x = found.join(manifest, "rel_path", "left")
