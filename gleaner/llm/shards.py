@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,13 +15,19 @@ from gleaner.llm.shared import hadoop_path
 FANOUT = 4
 
 
+class Conflict(Exception):
+    """Another writer has made the version that this one was to be."""
+
+
 class ShardStore:
     """A table kept as immutable Parquet shards; its manifests say which shards each version has.
 
     Every version is a folder `manifests/v<N>` with a row (path, bytes) for each shard. It is written
     beside its place and put there by one rename that fails if the place is taken, so readers see whole
-    versions only and of two writers of one version one fails and starts anew from the other's. Shards
-    that no manifest names, left by a failed writer, are never read.
+    versions only; of two writers of one version one fails, drops its manifest and starts anew from the
+    other's. Shards that no manifest names, left by a writer that was lost, are never read, and vacuum()
+    deletes them once they are old. Rows are kept as they are: nulls, repeats and empty texts too, and
+    columns of any name.
     """
 
     def __init__(self, spark: SparkSession, path: str, target_bytes: int = 128 << 20) -> None:
@@ -62,19 +69,39 @@ class ShardStore:
         rename = jvm.org.apache.hadoop.fs.Options.Rename
         flags = self.spark.sparkContext._gateway.new_array(rename, 1)
         flags[0] = rename.NONE
-        context.rename(src, dst, flags)
+        try:
+            context.rename(src, dst, flags)
+        except Exception as e:
+            hadoop_path(self.spark, own)[1].delete(src, True)
+            if hadoop_path(self.spark, place)[1].exists(dst):
+                raise Conflict(f"version {base + 1} is taken") from e
+            raise
         return base + 1
 
+    def _drop(self, shards: list[tuple[str, int]]) -> None:
+        for path, _ in shards:
+            p, fs = hadoop_path(self.spark, path)
+            fs.delete(p, False)
+
     def append(self, arrivals: DataFrame, by: Column | None = None) -> int:
         """Add the rows of arrivals as small shards, one run for each value of `by`, in one version.
 
         A table without rows adds shards without rows, which keep its schema, or none.
         """
-        base, at = self.version(), f"{self.path}/shards/{uuid.uuid4().hex}"
-        writer = arrivals.write if by is None else arrivals.withColumn("_arrival", by).write.partitionBy("_arrival")
+        at, name = f"{self.path}/shards/{uuid.uuid4().hex}", "_arrival"
+        while name in arrivals.columns:
+            name += "_"
+        writer = arrivals.write if by is None else arrivals.withColumn(name, by).write.partitionBy(name)
         writer.parquet(at)
         new = [x for x in self._list(at) if x[1]]
-        return self.commit(self.shards(base) + new, base) if new else base
+        while True:  # until no other writer is first
+            base = self.version()
+            if not new:
+                return base
+            try:
+                return self.commit(self.shards(base) + new, base)
+            except Conflict:
+                continue
 
     def tier(self, size: int) -> int:
         """0 for shards of the target size, more for each factor FANOUT below it."""
@@ -105,21 +132,32 @@ class ShardStore:
         A run is read and written without a shuffle: its files are packed into tasks of the target size.
         Older versions keep their shards until vacuum().
         """
-        base = self.version()
-        shards = self.shards(base)
-        runs = self.plan(shards)
-        if not runs:
-            return base
-        old, new = {p for run in runs for p, _ in run}, []
-        for run in runs:
-            at = f"{self.path}/shards/{uuid.uuid4().hex}"
-            files = max(1, round(sum(b for _, b in run) / self.target))
-            self._rows([p for p, _ in run]).coalesce(files).write.parquet(at)
-            new += [x for x in self._list(at) if x[1]]
-        return self.commit([s for s in shards if s[0] not in old] + new, base)
-
-    def vacuum(self) -> None:
-        """Delete the shards and manifests that only versions before the newest name."""
+        while True:
+            base = self.version()
+            shards = self.shards(base)
+            runs = self.plan(shards)
+            if not runs:
+                return base
+            old, new = {p for run in runs for p, _ in run}, []
+            for run in runs:
+                at = f"{self.path}/shards/{uuid.uuid4().hex}"
+                files = max(1, round(sum(b for _, b in run) / self.target))
+                self._rows([p for p, _ in run]).coalesce(files).write.parquet(at)
+                new += [x for x in self._list(at) if x[1]]
+            while old <= {p for p, _ in shards}:  # what was merged is still there, whatever else was added
+                try:
+                    return self.commit([s for s in shards if s[0] not in old] + new, base)
+                except Conflict:
+                    base = self.version()
+                    shards = self.shards(base)
+            self._drop(new)  # another writer has merged some of it first
+
+    def vacuum(self, orphans_after: float = 24 * 3600) -> None:
+        """Delete the shards and manifests that only versions before the newest name, and what lost writers left.
+
+        Shards that no version names, and manifests that were never put in place, go once they are
+        `orphans_after` seconds old: younger ones may be of a writer at work.
+        """
         version = self.version()
         live = {p for p, _ in self.shards(version)}
         for v in range(1, version):
@@ -129,6 +167,20 @@ class ShardStore:
                     s, sfs = hadoop_path(self.spark, path)
                     sfs.delete(s, False)
             fs.delete(p, True)
+        self._orphans(live, orphans_after)
+
+    def _orphans(self, live: set[str], age: float) -> None:
+        before = (time.time() - age) * 1000
+        p, fs = hadoop_path(self.spark, f"{self.path}/shards")
+        found = fs.listFiles(p, True) if fs.exists(p) else None
+        while found is not None and found.hasNext():
+            f = found.next()
+            if f.getPath().toString() not in live and f.getModificationTime() < before:
+                fs.delete(f.getPath(), False)
+        p, fs = hadoop_path(self.spark, f"{self.path}/manifests")
+        for f in fs.listStatus(p) if fs.exists(p) else []:
+            if f.getPath().getName().startswith("_try-") and f.getModificationTime() < before:
+                fs.delete(f.getPath(), True)
 
     def _rows(self, files: list[str]) -> DataFrame:
         return self.spark.read.option("basePath", f"{self.path}/shards").option("recursiveFileLookup", "true").parquet(*files)

@@ -139,7 +139,8 @@ def write_token_shards(docs: DataFrame, path: str, tokenizer_file: str, end_id:
     Null texts count as empty; each document ends with end_id. Rows are ordered by id, then text, nulls
     first, so rows that repeat an id have a defined order and no single id has to fit one shard. width
     is the bytes of an id: 2 for vocabularies up to 65,536, else 4. An empty table gives no shards.
-    A task that is run again writes the same names with the same bytes.
+    A task that is run again writes the same names with the same bytes. Other columns of docs are not read, whatever
+    their names.
     """
     spark = docs.sparkSession
     store, at = _open(path)

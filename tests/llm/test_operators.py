@@ -110,6 +110,32 @@ def test_sharding(spark, docs, none):
         store.commit(store.shards(), store.version() - 1)  # another writer has made that version
 
 
+def test_sharding_writers(spark, docs, monkeypatch):
+    """A writer that is not the first to make a version starts anew; what is left over goes; names clash with none."""
+    path = scratch(spark, "test-writers")
+    one, other = (shards.ShardStore(spark, path, target_bytes=1 << 20) for _ in range(2))
+    clash = docs.select("doc_id", "text", F.lit("own").alias("_arrival"))
+    one.append(clash, F.pmod(F.xxhash64("doc_id"), F.lit(2)))
+    real, late = shards.ShardStore.commit, []
+
+    def commit(self, found, base):
+        if self is one and not late:
+            late.append(other.append(clash))  # in between, another writer is first
+        return real(self, found, base)
+
+    monkeypatch.setattr(shards.ShardStore, "commit", commit)
+    one.append(clash)
+    assert one.version() == 3 and one.read().count() == 3 * docs.count() and {r["_arrival"] for r in one.read().collect()} == {"own"}
+    late.clear()
+    for _ in range(2):
+        other.append(clash)
+    one.compact()
+    assert late and one.read().count() == 6 * docs.count()
+    clash.write.parquet(f"{path}/shards/lost")
+    one.vacuum(orphans_after=0)
+    assert not [p for p, _ in one._list(f"{path}/shards") if "/lost/" in p] and one.read().count() == 6 * docs.count()
+
+
 def test_simhash(spark, docs, none):
     def fp(text):
         w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
