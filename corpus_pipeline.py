@@ -13,9 +13,14 @@ from gleaner.llm import decontaminate, langid, lines, pieces, simhash
 from gleaner.llm.shared import discard, materialize, table
 
 
-def _packed(docs: DataFrame) -> DataFrame:
-    """docs with all its columns in one, so that no name clashes with those of an operator."""
-    return docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("doc_id"), F.col("text").alias("text"), F.xxhash64("text").alias("text_hash"))
+def _apart(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """docs with all columns that no stage reads under names of their own, and each column's name there."""
+    names = {c: c if c in ("doc_id", "text", "lang") else f"column{i}" for i, c in enumerate(docs.columns)}
+    return docs.withColumnsRenamed(names), names
+
+
+def _back(df: DataFrame, names: dict[str, str]) -> DataFrame:
+    return df.select(*[F.col(there).alias(c) for c, there in names.items()])
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,16 +29,16 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Where no labelled document can be learned from, all documents with a letter stay. Null and empty texts
     have no letter. Each row is judged by its own text, repeated ids too.
     """
-    out = langid.identify(_packed(docs).withColumn("lang", F.col("row.lang")))
+    own, names = _apart(docs)
     unsure = (F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") < 0.5)
-    return out.where(F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)) & ~unsure).select("row.*")
+    return _back(langid.identify(own).where(F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)) & ~unsure), names)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each repeated line stays once; documents that are left without a letter or digit go. n_chars is counted anew."""
-    out = lines.deduplicate_lines(_packed(docs).drop("text_hash"), bands=lines.BANDS).where(F.col("text").rlike(r"[\p{L}\p{N}]"))
-    new = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
-    return out.select(*[new.get(c, F.col("row")[c]).alias(c) for c in docs.columns])
+    own, names = _apart(docs)
+    out = lines.deduplicate_lines(own, bands=lines.BANDS).where(F.col("text").rlike(r"[\p{L}\p{N}]"))
+    return _back(out.withColumn(names["n_chars"], F.length("text").cast("long")), names)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,20 +47,22 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A document is told by its id and text: rows that repeat both are one, rows of one id with other texts
     are not.
     """
-    packed = _packed(docs)
-    own = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_hash")
-    found = simhash.near_duplicates(packed, also=("text_hash",))
-    kept = found.groupBy("class").agg(F.min(own).alias("best")).select(F.col("best.doc_id").alias("k_id"), F.col("best.text_hash").alias("k_hash"))
-    out = packed.join(kept, F.col("doc_id").eqNullSafe(F.col("k_id")) & (F.col("text_hash") == F.col("k_hash")), "left_semi")
-    return out.dropDuplicates(["doc_id", "text_hash"]).select("row.*")
+    own, names = _apart(docs)
+    own = own.withColumn("text_hash", F.xxhash64("text"))
+    found = simhash.near_duplicates(own, also=("text_hash",))
+    first = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_hash")
+    kept = found.groupBy("class").agg(F.min(first).alias("best")).select(F.col("best.doc_id").alias("k_id"), F.col("best.text_hash").alias("k_hash"))
+    out = own.join(kept, F.col("doc_id").eqNullSafe(F.col("k_id")) & (F.col("text_hash") == F.col("k_hash")), "left_semi")
+    return _back(out.dropDuplicates(["doc_id", "text_hash"]), names)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a passage of the benchmark go, each by its own text, whatever its id."""
-    packed = _packed(docs)
-    found = decontaminate.decontaminate(packed, table(spark, sf_dir, "benchmark"), with_hash=True).where("contaminated")
+    own, names = _apart(docs)
+    own = own.withColumn("text_hash", F.xxhash64("text"))
+    found = decontaminate.decontaminate(own, table(spark, sf_dir, "benchmark"), with_hash=True).where("contaminated")
     gone = found.select(F.col("doc_id").alias("g_id"), F.col("text_hash").alias("g_hash")).distinct()
-    return packed.join(gone, F.col("doc_id").eqNullSafe(F.col("g_id")) & (F.col("text_hash") == F.col("g_hash")), "left_anti").select("row.*")
+    return _back(own.join(gone, F.col("doc_id").eqNullSafe(F.col("g_id")) & (F.col("text_hash") == F.col("g_hash")), "left_anti"), names)
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -261,9 +261,11 @@ def predict(docs: DataFrame, model: Model | None, text_col: str = "text") -> Dat
         for texts in batches:
             yield pd.concat([shared.value.predict(texts.iloc[i : i + 512].tolist()) for i in range(0, len(texts), 512)], ignore_index=True) if len(texts) else pd.DataFrame({"lang_pred": [], "score": []})
 
-    made = docs.select(F.struct(*docs.columns).alias("row"), run(F.col(text_col)).alias("made"))
-    kept = [F.col("row")[c].alias(c) for c in docs.columns if c not in ("lang_pred", "score")]
-    return made.select(*kept, F.col("made.lang_pred").alias("lang_pred"), F.col("made.score").alias("score"))
+    name = "made"
+    while name in docs.columns:
+        name += "_"
+    made = docs.drop("lang_pred", "score").withColumn(name, run(F.col(text_col)))
+    return made.withColumns({"lang_pred": F.col(name)["lang_pred"], "score": F.col(name)["score"]}).drop(name)
 
 
 def fold(id_col: str, of: int) -> Column:
