@@ -15,7 +15,9 @@ from gleaner.plans.step_queries import STEPS, _steps
 _list = lambda xs: "[" + ", ".join("'" + x.replace("'", "''") + "'" for x in xs) + "]"
 pick = lambda xs, n: F.element_at(F.array(*[F.lit(x) for x in xs]), (n % len(xs) + 1).cast("int"))
 CAL = "('avec', 'cette', 'dans', 'depuis', 'ensuite', 'etape', 'faire', 'pour', 'sous', 'vous')"
+LABEL = "('avec', 'dans', 'pour', 'sous', 'texte', 'bouton', 'champ', 'selectionnes')"
 SS = "strip_accents(replace(lower({0}), 'ß', 'ss'))"
+ASCII = "lower(regexp_replace(regexp_replace(strip_accents(text), '[^\\x00-\\x7F]+', '', 'g'), '\\s+', ' ', 'g'))"
 TOKENS = "list_distinct(list_filter(regexp_extract_all(" + SS + ", '[a-z0-9]+'), lambda t: len(t) >= 3 AND t NOT IN " + CAL + "))"
 F1 = "CASE WHEN len({0}) = 0 AND len({1}) = 0 THEN 1.0::DOUBLE WHEN len(list_intersect({0}, {1})) = 0 THEN 0.0 ELSE 2.0::DOUBLE * len(list_intersect({0}, {1})) / (len({0}) + len({1})) END"
 
@@ -31,7 +33,7 @@ TURNS = "turns AS (SELECT conv_id, turn, text AS a, coalesce(lead(text) OVER w,
 
 
 @query(f"""
-WITH {TURNS}, t AS (SELECT conv_id, turn, {TOKENS.format('a')} AS x, {TOKENS.format('b')} AS y, list_distinct(list_filter(regexp_extract_all({SS.format('a')}, '[a-z]+'), lambda t: len(t) >= 4)) AS p, list_distinct(list_filter(regexp_extract_all({SS.format('b')}, '[a-z]+'), lambda t: len(t) >= 4)) AS q FROM turns)
+WITH {TURNS}, t AS (SELECT conv_id, turn, {TOKENS.format('a')} AS x, {TOKENS.format('b')} AS y, list_distinct(list_filter(regexp_extract_all({SS.format('a')}, '[a-z]+'), lambda t: len(t) >= 4 AND t NOT IN {LABEL})) AS p, list_distinct(list_filter(regexp_extract_all({SS.format('b')}, '[a-z]+'), lambda t: len(t) >= 4 AND t NOT IN {LABEL})) AS q FROM turns)
 SELECT conv_id, turn, round({F1.format('x', 'y')}, 6) AS f1, len(list_intersect(list_transform(p, lambda t: substring(t, 1, 5)), list_transform(q, lambda t: substring(t, 1, 5)))) > 0 AS alike FROM t""")
 def tx19_token_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
     """TX11, TX13, TX18, TX19, SO6: a turn and the next one."""
@@ -277,8 +279,8 @@ def jo16_review_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return review.review_sample(r.where("quantity > 10").select("video_id", "step_number"), r.withColumn("status", status), r.where("step_number <= 5")).select("video_id", "step_number", "error")
 
 
-@query("""
-WITH c AS (SELECT conv_id AS video_id, turn AS segment, text, contains(lower(text), 'thanst') OR contains(lower(text), 'reea') AS hit FROM conversations), a AS (SELECT *, max(hit) OVER (PARTITION BY video_id) AS any_hit FROM c)
+@query(f"""
+WITH c AS (SELECT conv_id AS video_id, turn AS segment, text, contains({ASCII}, 'thanst') OR contains({ASCII}, 'reea') AS hit FROM conversations), a AS (SELECT *, max(hit) OVER (PARTITION BY video_id) AS any_hit FROM c)
 SELECT video_id, segment FROM a WHERE hit OR NOT any_hit""")
 def fi13_action_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("video_id"), F.col("turn").alias("segment"), "text")
@@ -289,7 +291,7 @@ CUES = ("the", "of", "in")
 
 
 @query(f"""
-WITH RECURSIVE w AS (SELECT conv_id, turn, string_split(regexp_replace(lower(strip_accents(text)), '\\s+', ' ', 'g'), ' ') AS w FROM conversations),
+WITH RECURSIVE w AS (SELECT conv_id, turn, string_split({ASCII}, ' ') AS w FROM conversations),
 k AS (SELECT conv_id, turn, w, 1 AS i, []::VARCHAR[] AS seen, []::INTEGER[] AS places FROM w
   UNION ALL SELECT conv_id, turn, w, i + 1, CASE WHEN cue IS NULL THEN seen ELSE list_append(seen, cue) END, CASE WHEN cue IS NULL THEN places ELSE list_append(places, CAST(i - 1 AS INTEGER)) END
   FROM (SELECT *, list_filter({_list(CUES)}, lambda c: contains(w[i], c) AND NOT list_contains(seen, c))[1] AS cue FROM k WHERE i <= len(w)))
