@@ -7,7 +7,6 @@ import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from gleaner.llm.shared import hadoop_path
 
