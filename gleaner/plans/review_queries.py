@@ -238,6 +238,14 @@ def pr22_validate_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _batch(spark, sf_dir)[0].select("video_id", "step_number", "action_type", "calibrated", "screenshot_after", "status")
 
 
+@query(f"WITH {RECORDS} SELECT video_id, step_number, 'model' AS action_type, instruction, confident FROM rec WHERE step_number % 2 = 0")
+def pr17_measured_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """PR17: a proposal's measured fields, the rest from the original."""
+    r = _records(spark, sf_dir)
+    p = r.where("step_number % 2 = 0").withColumns({"action_type": F.lit("model"), "instruction": F.lit("model"), "confident": F.lit(False)})
+    return review.measured_policy(p, r, ("action_type",), ("instruction", "confident")).select("video_id", "step_number", "action_type", "instruction", "confident")
+
+
 @query(f"WITH {BATCH} SELECT (SELECT count(*) FROM rec WHERE step_number = 1) AS sample, (SELECT count_if(quantity > 3)::BIGINT FROM rec WHERE step_number = 1) AS correct, (SELECT count_if(quantity <= 3)::BIGINT FROM rec WHERE step_number = 1) AS minor_corrections, count(*) AS eligible, count_if(calibrated)::BIGINT AS calibrated, count_if(NOT calibrated)::BIGINT AS kept_original, (SELECT count(*) FROM x) AS pending_exceptions FROM v")
 def ag21_batch_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     v, x, r = _batch(spark, sf_dir)

@@ -203,6 +203,8 @@ def test_record_files(spark, tmp_path):
     assert corpus_source.read_jsonl(spark, str(tmp_path / "rows.jsonl"), kind).count() == 2 and corpus_source.read_jsonl(spark, str(tmp_path / "none"), kind).count() == 0
     with pytest.raises(ValueError):
         corpus_source.read_jsonl(spark, str(tmp_path / "rows.jsonl"), kind, lambda: {"empty": F.col("content") == ""})
+    good, bad = records.faq_lines(records.numbered_lines(spark, str(tmp_path / "rows.jsonl")))
+    assert good.count() == 0 and sorted((r["line_number"], r["problem"]) for r in bad.collect()) == [(1, "question"), (3, "question")]
     (tmp_path / "v1").mkdir()
     (tmp_path / "v2").mkdir()
     (tmp_path / "v1" / "steps.json").write_text('{"video_id": "v1", "steps": [{"step_number": 1}, {"step_number": 2}]}')
