@@ -13,6 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -254,18 +255,21 @@ def predict(docs: DataFrame, model: Model | None, text_col: str = "text") -> Dat
     if model is None:
         return docs.withColumns({"lang_pred": F.lit(UNDETERMINED), "score": F.lit(0.0)})
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 2**BITS values a language
-    kind = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-
-    @F.pandas_udf(kind)
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for texts in batches:
-            yield pd.concat([shared.value.predict(texts.iloc[i : i + 512].tolist()) for i in range(0, len(texts), 512)], ignore_index=True) if len(texts) else pd.DataFrame({"lang_pred": [], "score": []})
-
-    name = "made"
-    while name in docs.columns:
-        name += "_"
-    made = docs.drop("lang_pred", "score").withColumn(name, run(F.col(text_col)))
-    return made.withColumns({"lang_pred": F.col(name)["lang_pred"], "score": F.col(name)["score"]}).drop(name)
+    kept = docs.drop("lang_pred", "score")
+    kind = T.StructType([*kept.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    names = [*kept.columns, "lang_pred", "score"]
+    at = names.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # rows go through as they are, so neither side holds a batch of texts more than once
+        for batch in batches:
+            for i in range(0, len(batch), 512):
+                some = batch.slice(i, 512)
+                p = shared.value.predict(some.column(at).to_pylist())
+                made = [pa.array(p["lang_pred"].tolist(), pa.string()), pa.array(p["score"].to_numpy(np.float64))]
+                yield pa.RecordBatch.from_arrays([*some.columns, *made], names)
+
+    return kept.mapInArrow(run, kind)
 
 
 def fold(id_col: str, of: int) -> Column:

@@ -25,7 +25,7 @@ from gleaner.llm.shared import by_size, materialize, whole_groups
 
 #: Characters of a part of a giant document; documents up to this length are one part.
 PART = 1 << 16
-CACHED_WORDS, CACHED_CHARS = 250_000, 64
+CACHED_WORDS, CACHED_CHARS = 150_000, 64
 SPACE = "▁"
 #: A state: (text of the last piece, characters of it that lie beyond the boundary).
 State = tuple[str, int]
