@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm import decontaminate, langid, lines, lm, passages, pieces, shards, simhash, tokens, topk
+from gleaner.llm import decontaminate, langid, lines, lm, merkle, passages, pieces, shards, simhash, tokens, topk
 from gleaner.llm.shared import scratch, table
 
 END_OF_TEXT = 1
@@ -69,12 +69,16 @@ def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"))
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(table(spark, sf_dir, "documents"), altered={"text": merkle.lower_cased()}, where=merkle.every_third())
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_output, op2_decontamination, op3_sharding, op4_simhash, op5_substring_dedup, op6_language_id, op7_lm_scoring, op8_sentencepiece, op9_line_dedup, op10_top_k)}
+    return {f.__name__: f for f in (op1_token_output, op2_decontamination, op3_sharding, op4_simhash, op5_substring_dedup, op6_language_id, op7_lm_scoring, op8_sentencepiece, op9_line_dedup, op10_top_k, op12_merkle_manifest)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontamination": OP2, "op3_sharding": OP3, "op10_top_k": OP10}
+    return {"op2_decontamination": OP2, "op3_sharding": OP3, "op10_top_k": OP10, "op12_merkle_manifest": OP12}
 
 
 OP2 = r"""
@@ -109,4 +113,55 @@ r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DES
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
 """
 
+#: The table of the crc32 (polynomial 0xEDB88320, reflected) as a list, and the crc32 of the bytes of {text}.
+CRC_TABLE = """
+steps(b, k, x) AS (
+  SELECT b, 0, b FROM range(256) r(b)
+  UNION ALL
+  SELECT b, k + 1, CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END FROM steps WHERE k < 8),
+crc AS (SELECT list(x ORDER BY b) AS t FROM steps WHERE k = 8)"""
+CRC = """xor(list_reduce(list_prepend(4294967295, list_transform(range(0, strlen({text})), lambda p: CAST('0x' || substring(hex(encode({text})), 2 * p + 1, 2) AS BIGINT))),
+    lambda c, b: xor(c >> 8, crc.t[CAST(xor(c & 255, b) + 1 AS INTEGER)])), 4294967295)"""
+
+_FIELDS = " || ".join(f"coalesce(CAST(strlen(CAST({c} AS VARCHAR)) AS VARCHAR) || ':' || CAST({c} AS VARCHAR), '-')" for c in ("doc_id", "source", "lang", "n_chars", "{text}"))
+OP12 = f"""
+WITH RECURSIVE {CRC_TABLE},
+leaves AS (
+  SELECT doc_id, coalesce('=' || lang, '') AS t, sha256({_FIELDS.format(text="text")}) AS leaf,
+    CASE WHEN {CRC.format(text="CAST(doc_id AS VARCHAR)")} % 3 = 0
+      THEN sha256({_FIELDS.format(text="translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")}) END AS altered
+  FROM documents, crc),
+placed AS (
+  SELECT *, row_number() OVER () AS r, row_number() OVER (PARTITION BY t ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY t) AS size FROM leaves),
+nodes(t, level, i, h, size) AS (
+  SELECT t, 0, i, leaf, size FROM placed
+  UNION ALL
+  SELECT t, level + 1, i // 8, sha256(string_agg(h, '' ORDER BY i)), (size + 7) // 8 FROM nodes WHERE size > 1 GROUP BY t, level, i // 8, size),
+tops AS (SELECT t, h, row_number() OVER (ORDER BY t) - 1 AS i, count(*) OVER () AS size FROM nodes WHERE size = 1),
+uppers(level, i, h, size) AS (
+  SELECT 0, i, h, size FROM tops
+  UNION ALL
+  SELECT level + 1, i // 8, sha256(string_agg(h, '' ORDER BY i)), (size + 7) // 8 FROM uppers WHERE size > 1 GROUP BY level, i // 8, size),
+every AS (SELECT * FROM nodes WHERE size > 1 UNION ALL SELECT 'top', level, i, h, size FROM uppers WHERE size > 1),
+sides AS (
+  SELECT t, level, i, size,
+    coalesce(string_agg(h, '') OVER (PARTITION BY t, level, i // 8 ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS pre,
+    coalesce(string_agg(h, '') OVER (PARTITION BY t, level, i // 8 ORDER BY i ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS post
+  FROM every),
+inner_fold(r, level, i, h, proof) AS (
+  SELECT r, 0, i, coalesce(altered, leaf), '' FROM placed
+  UNION ALL
+  SELECT f.r, f.level + 1, f.i // 8, sha256(s.pre || f.h || s.post), f.proof || s.pre || s.post
+  FROM inner_fold f JOIN placed p ON f.r = p.r JOIN sides s ON s.t = p.t AND s.level = f.level AND s.i = f.i),
+top_fold(r, level, i, h, proof) AS (
+  SELECT p.r, 0, u.i, f.h, f.proof
+  FROM placed p JOIN tops u ON p.t = u.t JOIN (SELECT r, arg_max(h, level) AS h, arg_max(proof, level) AS proof FROM inner_fold GROUP BY r) f ON f.r = p.r
+  UNION ALL
+  SELECT f.r, f.level + 1, f.i // 8, sha256(s.pre || f.h || s.post), f.proof || s.pre || s.post
+  FROM top_fold f JOIN sides s ON s.t = 'top' AND s.level = f.level AND s.i = f.i),
+done AS (SELECT r, arg_max(h, level) AS h, arg_max(proof, level) AS proof FROM top_fold GROUP BY r)
+SELECT p.doc_id, p.leaf, u.h AS subroot, x.h AS root, sha256(d.proof) AS proof_sha256, d.h AS folded_root, d.h = x.h AS verified
+FROM placed p JOIN tops u ON p.t = u.t JOIN done d ON p.r = d.r, (SELECT h FROM uppers WHERE size = 1) x
+"""
+
 OP3 = "SELECT doc_id, lang, source, n_chars, sha256(text) AS text_sha256 FROM documents"

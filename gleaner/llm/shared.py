@@ -35,16 +35,18 @@ def scratch(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, label: str, **options: str) -> DataFrame:
+def materialize(df: DataFrame, label: str, made: list[DataFrame] | None = None, **options: str) -> DataFrame:
     """Cut the lineage: write df to the shared folder and read it back.
 
-    A lost executor then costs a reread, not a recomputation of what came before.
+    A lost executor then costs a reread, not a recomputation of what came before. The table is added to `made`, for discard().
     """
     spark = df.sparkSession
     path = scratch(spark, label)
     df.write.options(**options).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._written_at = path
+    if made is not None:
+        made.append(out)
     return out
 
 
@@ -54,12 +56,13 @@ def hadoop_path(spark: SparkSession, path: str):
     return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
-def discard(df: DataFrame) -> None:
-    """Delete what materialize() wrote for df."""
-    path = getattr(df, "_written_at", None)
-    if path:
-        p, fs = hadoop_path(df.sparkSession, path)
-        fs.delete(p, True)
+def discard(*tables: DataFrame) -> None:
+    """Delete what materialize() wrote for these."""
+    for df in tables:
+        path = getattr(df, "_written_at", None)
+        if path:
+            p, fs = hadoop_path(df.sparkSession, path)
+            fs.delete(p, True)
 
 
 def by_size(texts: Sequence[str | None], most: int = 1 << 20) -> Iterator[slice]:
