@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm import decontaminate, langid, lines, lm, merkle, passages, pieces, shards, simhash, tokens, topk
+from gleaner.llm import decontaminate, langid, lines, lm, merkle, passages, pieces, shards, simhash, spelling, tokens, topk
 from gleaner.llm.shared import scratch, table
 
 END_OF_TEXT = 1
@@ -73,12 +73,16 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(table(spark, sf_dir, "documents"), altered={"text": merkle.lower_cased()}, where=merkle.every_third())
 
 
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_output, op2_decontamination, op3_sharding, op4_simhash, op5_substring_dedup, op6_language_id, op7_lm_scoring, op8_sentencepiece, op9_line_dedup, op10_top_k, op12_merkle_manifest)}
+    return {f.__name__: f for f in (op1_token_output, op2_decontamination, op3_sharding, op4_simhash, op5_substring_dedup, op6_language_id, op7_lm_scoring, op8_sentencepiece, op9_line_dedup, op10_top_k, op12_merkle_manifest, op13_spelling_variants)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontamination": OP2, "op3_sharding": OP3, "op10_top_k": OP10, "op12_merkle_manifest": OP12}
+    return {"op2_decontamination": OP2, "op3_sharding": OP3, "op10_top_k": OP10, "op12_merkle_manifest": OP12, "op13_spelling_variants": OP13}
 
 
 OP2 = r"""
@@ -164,4 +168,27 @@ SELECT p.doc_id, p.leaf, u.h AS subroot, x.h AS root, sha256(d.proof) AS proof_s
 FROM placed p JOIN tops u ON p.t = u.t JOIN done d ON p.r = d.r, (SELECT h FROM uppers WHERE size = 1) x
 """
 
+OP13 = f"""
+WITH RECURSIVE {CRC_TABLE},
+runs AS (
+  SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS id, translate(w, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS w, count(*) AS c
+  FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')) AS w FROM documents) WHERE length(w) >= 7 GROUP BY ALL),
+hashed AS (SELECT w, c, {CRC.format(text="(id || ':' || w)")} AS h FROM runs, crc),
+cut AS (SELECT CASE WHEN h % 31 = 0 THEN left(w, h % length(w)) || substring(w, h % length(w) + 2) ELSE w END AS word, c FROM hashed),
+v AS (SELECT word, CAST(sum(c) AS BIGINT) AS n FROM cut WHERE length(word) >= 7 GROUP BY word HAVING sum(c) >= 2),
+holes AS (SELECT word, n, left(word, p - 1) AS a, substring(word, p + 1) AS b FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS p FROM v)),
+shorter AS (SELECT DISTINCT h.word, h.n, v.word AS other, v.n AS m FROM holes h JOIN v ON v.word = h.a || h.b),
+pairs AS (
+  SELECT DISTINCT x.word, y.word AS other, y.n AS m FROM holes x JOIN holes y ON x.a = y.a AND x.b = y.b AND x.word <> y.word
+  UNION ALL SELECT word, other, m FROM shorter UNION ALL SELECT other, word, n FROM shorter),
+near AS (SELECT word, count(*) AS n_near, max(m) AS m FROM pairs GROUP BY word),
+best AS (SELECT p.word, min(p.other) AS other, any_value(k.m) AS m FROM pairs p JOIN near k ON p.word = k.word AND p.m = k.m GROUP BY p.word),
+forms AS (
+  SELECT v.word, v.n, CASE WHEN b.m >= 10 * v.n THEN b.other END AS form, CASE WHEN b.m >= 10 * v.n THEN b.m END AS form_n, coalesce(k.n_near, 0) AS n_near
+  FROM v LEFT JOIN near k ON v.word = k.word LEFT JOIN best b ON v.word = b.word),
+ways(word, at) AS (SELECT word, word FROM forms UNION ALL SELECT w.word, f.form FROM ways w JOIN forms f ON w.at = f.word WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, w.at AS root, f.n, f.n_near, f.form_n
+FROM forms f JOIN ways w ON f.word = w.word JOIN forms e ON w.at = e.word WHERE e.form IS NULL
+"""
+
 OP3 = "SELECT doc_id, lang, source, n_chars, sha256(text) AS text_sha256 FROM documents"
