@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm import decontaminate, langid, lines, lm, merkle, passages, pieces, shards, simhash, spelling, tokens, topk
+from gleaner.llm import decontaminate, langid, lines, lm, merkle, ordermin, passages, pieces, shards, simhash, spelling, tokens, topk
 from gleaner.llm.shared import scratch, table
 
 END_OF_TEXT = 1
@@ -69,6 +69,10 @@ def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"))
 
 
+def op11_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ordermin.edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(table(spark, sf_dir, "documents"), altered={"text": merkle.lower_cased()}, where=merkle.every_third())
 
@@ -78,7 +82,7 @@ def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_output, op2_decontamination, op3_sharding, op4_simhash, op5_substring_dedup, op6_language_id, op7_lm_scoring, op8_sentencepiece, op9_line_dedup, op10_top_k, op12_merkle_manifest, op13_spelling_variants)}
+    return {f.__name__: f for f in (op1_token_output, op2_decontamination, op3_sharding, op4_simhash, op5_substring_dedup, op6_language_id, op7_lm_scoring, op8_sentencepiece, op9_line_dedup, op10_top_k, op11_order_minhash, op12_merkle_manifest, op13_spelling_variants)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -186,9 +190,9 @@ best AS (SELECT p.word, min(p.other) AS other, any_value(k.m) AS m FROM pairs p
 forms AS (
   SELECT v.word, v.n, CASE WHEN b.m >= 10 * v.n THEN b.other END AS form, CASE WHEN b.m >= 10 * v.n THEN b.m END AS form_n, coalesce(k.n_near, 0) AS n_near
   FROM v LEFT JOIN near k ON v.word = k.word LEFT JOIN best b ON v.word = b.word),
-ways(word, at) AS (SELECT word, word FROM forms UNION ALL SELECT w.word, f.form FROM ways w JOIN forms f ON w.at = f.word WHERE f.form IS NOT NULL)
-SELECT f.word, f.form, w.at AS root, f.n, f.n_near, f.form_n
-FROM forms f JOIN ways w ON f.word = w.word JOIN forms e ON w.at = e.word WHERE e.form IS NULL
+ways(word, stop) AS (SELECT word, word FROM forms UNION ALL SELECT w.word, f.form FROM ways w JOIN forms f ON w.stop = f.word WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, w.stop AS root, f.n, f.n_near, f.form_n
+FROM forms f JOIN ways w ON f.word = w.word JOIN forms e ON w.stop = e.word WHERE e.form IS NULL
 """
 
 OP3 = "SELECT doc_id, lang, source, n_chars, sha256(text) AS text_sha256 FROM documents"
