@@ -22,6 +22,8 @@ from gleaner.llm.shared import discard, materialize
 QMIN, QMAX, PAD, LEAST = 3, 5, 2, 7
 #: A gram is frequent, and may be lengthened, above one in FREQUENT of all grams of its length. So there are fewer than FREQUENT of each length.
 FREQUENT = 20_000
+#: The most lists of a word for edits of a letter, and for letters added.
+RANGES = 16
 FRONT, BACK = "\x02", "\x03"
 LETTER = "[A-Za-zÀ-ÿ]"
 
@@ -76,17 +78,20 @@ def spared(word: str, frequent: frozenset[str]) -> tuple[set[str], set[str]]:
 
     Whether a gram is there depends on the QMAX letters before its end alone: an earlier gram that covers it lies in
     them too. So an edit affects the grams whose last QMAX letters have its place in them, neighbours
-    all. What is left is given as the letters up to the last gram before them and those from the first one after them.
+    all. What is left is given as the letters up to the last gram before them and those from the first one after them. The
+    places of a word above RANGES letters are taken a few together, so that its lists aren't more than RANGES.
     """
     s = FRONT * PAD + word + BACK * PAD
     grams = decompose(word, frequent)
 
     def rest(gap: bool) -> set[str]:
         out, before, after = set(), 0, 0
-        for p in range(PAD, len(s) - PAD + gap):
+        width = -(-(len(word) + gap) // RANGES)
+        for p in range(PAD, len(s) - PAD + gap, width):
+            last = min(p + width, len(s) - PAD + gap) - 1
             while before < len(grams) and grams[before][1] + len(grams[before][0]) <= p:
                 before += 1
-            while after < len(grams) and grams[after][1] + len(grams[after][0]) - QMAX < p + (not gap):
+            while after < len(grams) and grams[after][1] + len(grams[after][0]) - QMAX < last + (not gap):
                 after += 1
             out.add((before, after))
         ends = [0, *(i + len(g) for g, i in grams)]
