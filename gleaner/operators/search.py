@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gleaner.operators.sparse import impact_index, top_sparse
+
 #: Questions scored in one pass over the vectors; only their vectors are broadcast.
 BLOCK = 1024
 TOP_K, MULTIPLIER, THRESHOLD, PER_SOURCE, BONUS = 5, 4, 0.59, 1, 0.06
@@ -84,15 +86,25 @@ def diversify(hits: DataFrame, k: int = TOP_K, per_source: int = PER_SOURCE, sou
 
 def search(
     points: DataFrame, questions: DataFrame, k: int | None = TOP_K, threshold: float | None = THRESHOLD, per_source: int = PER_SOURCE, titles: bool = True,
-    domain: str | None = None, topic: str | None = None, exclude_subtopics: tuple[str, ...] = (),
+    domain: str | None = None, topic: str | None = None, exclude_subtopics: tuple[str, ...] = (), terms: tuple[DataFrame, DataFrame] | None = None,
 ) -> DataFrame:
     """The whole search: verified points of the domain and topic, top 4k, threshold on the raw score, title bonus, diversification.
 
     points(vec_id, embedding, source_id, status, title_tokens), with domain, topic and subtopic where these
     are asked for; questions(query_id, embedding, question_tokens). A k of 0 or None is the default.
+
+    With `terms`, sparse vectors of the points and of the questions, (vec_id, term, weight) and (query_id, term, weight),
+    the search is hybrid: the top 4k by vectors and the top 4k by terms are fused by reciprocal ranks, of which 4k are
+    diversified, without threshold and title bonus. Questions without terms are searched by vectors as before.
     """
     k = k or TOP_K
     points = eligible(points, domain, topic, exclude_subtopics)
+    if terms is not None:
+        own, asked = (t.where("weight <> 0") for t in terms)
+        some = asked.select("query_id").distinct()
+        hybrid = _hybrid(points, questions.join(some, "query_id", "left_semi"), own, asked, k, per_source)
+        plain = search(points, questions.join(some, "query_id", "left_anti"), k, threshold, per_source, titles)
+        return hybrid.unionByName(plain.select(*hybrid.columns))
     hits = nearest(points, questions, k * MULTIPLIER)
     hits = hits if threshold is None else hits.where(F.col("score") >= threshold)
     hits = hits.join(points.drop("embedding"), "vec_id")
@@ -101,8 +113,23 @@ def search(
     return diversify(hits, k, per_source)
 
 
+def _hybrid(points: DataFrame, questions: DataFrame, own: DataFrame, asked: DataFrame, k: int, per_source: int) -> DataFrame:
+    dense = nearest(points, questions, k * MULTIPLIER)
+    dense = dense.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
+    own = own.join(points.select("vec_id"), "vec_id", "left_semi")
+    found = top_sparse(impact_index(own), own, asked.join(questions.select("query_id"), "query_id", "left_semi"), k * MULTIPLIER)
+    fused = fuse([dense, found], k * MULTIPLIER).drop("rank").withColumn("score", F.round("score", 12))
+    return diversify(fused.join(points.drop("embedding"), "vec_id"), k, per_source)
+
+
 def balanced(pools: DataFrame, domains: tuple[str, ...], k: int = TOP_K) -> DataFrame:
-    """Of pools(query_id, domain, vec_id, score) the best of each domain in domain order, then the rest by score."""
+    """Of pools(query_id, domain, vec_id, score) the best of each domain in domain order, then the rest by score.
+
+    With fewer hits than domains no domain is favoured: the k best of all rows.
+    """
+    if k < len(domains):
+        best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+        return pools.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     head = F.row_number().over(Window.partitionBy("query_id", "domain").orderBy(F.desc("score"), "vec_id"))
     at = F.array_position(F.array(*map(F.lit, domains)), F.col("domain"))
     first = F.col("_h") == 1
@@ -121,18 +148,16 @@ def fuse(rankings: list[DataFrame], k: int, rrf_k: int = 60, key: str = "vec_id"
     return fused.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def sparse_scores(documents: DataFrame, questions: DataFrame, k: int, key: str = "vec_id", others_only: bool = True) -> DataFrame:
-    """(query_id, key, score, rank): the k highest dot products of sparse vectors for each question.
-
-    documents(key, term, weight), questions(query_id, term, weight). Join rows are summed before they
-    leave the task, AQE splits the terms that many documents hold, and each task keeps k of a question.
-    """
-    q = questions.select("query_id", "term", F.col("weight").alias("_w"))
-    pairs = documents.join(q, "term")
-    pairs = pairs.where(F.col("query_id") != F.col(key)) if others_only else pairs
-    scores = pairs.groupBy("query_id", key).agg(F.sum(F.col("weight") * F.col("_w")).alias("score"))
-    w = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), key)
-    return scores.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+def balanced_search(points: DataFrame, questions: DataFrame, domains: tuple[str, ...] = ("hotel", "software"), k: int | None = TOP_K, **options) -> DataFrame:
+    """A search of each domain whose results are balanced; with fewer hits than domains one search of all points. options: as of search()."""
+    k = k or TOP_K
+    if k < len(domains):
+        return search(points, questions, k, **options)
+    pools = [search(points, questions, k, domain=d, **options) for d in domains]
+    rows = pools[0]
+    for p in pools[1:]:
+        rows = rows.unionByName(p)
+    return balanced(rows.drop("rank"), domains, k)
 
 
 def evaluate(hits: DataFrame, cases: DataFrame) -> DataFrame:

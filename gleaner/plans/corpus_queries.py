@@ -10,7 +10,7 @@ from gleaner.functions import folding, text
 from gleaner.operators import corpus
 from gleaner.operators.taxonomy import SOFTWARE_RULES
 from gleaner.plans.canon import CANON, KEY, canonical
-from gleaner.plans.registry import query, table
+from gleaner.plans.registry import query, scratch, table
 
 ASCII = "regexp_replace(strip_accents({0}), '[^\\x00-\\x7F]+', '', 'g')"
 _list = lambda xs: "[" + ", ".join(f"'{x}'" for x in xs) + "]"
@@ -320,3 +320,26 @@ def sk6_index_sync(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     c = canonical(spark, sf_dir)
     return sync_plan(c.where(F.col("n_chars") % 3 != 0).select("id"), c.where("status = 'verified'").select("id"))
+
+
+@query(f"""
+WITH {CANON},
+old AS (SELECT id, sha256(CASE WHEN n_chars % 5 = 0 THEN 'former ' || coalesce(content, '') ELSE content END) AS h FROM canon WHERE n_chars % 3 <> 0 AND status IN ('verified', 'review_required')),
+new AS (SELECT id, sha256(content) AS h FROM canon WHERE status = 'verified')
+SELECT coalesce(o.id, n.id) AS id, CASE WHEN o.id IS NULL THEN 'insert' WHEN n.id IS NULL THEN 'delete' WHEN o.h IS DISTINCT FROM n.h THEN 'update' ELSE 'keep' END AS change, n.h AS content_sha256
+FROM old o FULL JOIN new n ON o.id = n.id""")
+def sk5_index_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SK5, SK6: an index that is loaded twice, first with some documents, of which some had another text or were verified then; each key's change and what the index holds."""
+    from gleaner.operators.index import changes, row_hash
+    from gleaner.sources.snapshot import Index
+
+    c = canonical(spark, sf_dir)
+    former = F.when(F.col("n_chars") % 5 == 0, F.concat(F.lit("former "), F.coalesce("content", F.lit("")))).otherwise(F.col("content"))
+    first = c.where((F.col("n_chars") % 3 != 0) & F.col("status").isin("verified", "review_required")).withColumns({"content": former, "status": F.lit("verified")})
+    index = Index(spark, scratch(spark, "index"))
+    index.load(first, F.col("status") == "verified")
+    stored = index.read()
+    plan = changes(stored.select("id", row_hash(stored.columns).alias("content_hash")), c.withColumn("content_hash", row_hash(c.columns)), "id", F.col("status") == "verified")
+    index.load(c, F.col("status") == "verified")
+    held = index.read().select("id", F.sha2("content", 256).alias("content_sha256"))
+    return plan.join(held, "id", "left").select("id", "change", "content_sha256")

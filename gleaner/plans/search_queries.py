@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from gleaner.functions.folding import TITLE_STOP, title_tokens
 from gleaner.operators import search
-from gleaner.plans.registry import query, table
+from gleaner.operators.sparse import impact_index, top_sparse
+from gleaner.plans.registry import query, scratch, table
 
 EVERY = 50
 
@@ -112,8 +113,45 @@ def jo7_rank_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = _terms(spark, sf_dir)
-    q = t.where(F.pmod("vec_id", F.lit(EVERY)) == 0).withColumnRenamed("vec_id", "query_id")
-    return search.sparse_scores(t, q, 20)
+    at = scratch(spark, "postings")
+    impact_index(t).write.parquet(at)
+    return top_sparse(spark.read.parquet(at), t, _asked(t), 20)
+
+
+def _asked(terms: DataFrame) -> DataFrame:
+    return terms.where(F.pmod("vec_id", F.lit(EVERY)) == 0).withColumnRenamed("vec_id", "query_id")
+
+
+HYBRID = f"""
+WITH {SCORES},
+marks AS (SELECT doc_id, max(quality) AS quality FROM labels GROUP BY doc_id),
+ok AS (SELECT vec_id FROM embeddings LEFT JOIN marks ON doc_id = vec_id WHERE NOT coalesce(quality = 0, false) AND vec_id % 7 <> 0),
+terms AS (SELECT vec_id, i AS term, v[i] AS weight FROM (SELECT vec_id, v, unnest(generate_series(1, len(v))) AS i FROM e) WHERE abs(v[i]) > 0.25),
+dr AS (SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS r FROM s JOIN ok USING (vec_id)),
+sp AS (SELECT a.vec_id AS query_id, b.vec_id, sum(a.weight * b.weight) AS score FROM terms a JOIN terms b ON a.term = b.term AND a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id WHERE b.vec_id IN (SELECT vec_id FROM ok) GROUP BY ALL),
+sr AS (SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, vec_id) AS r FROM sp),
+f AS (SELECT query_id, vec_id, round(sum(1.0::DOUBLE / (60 + r)), 12) AS score FROM (SELECT * FROM dr WHERE r <= 20 UNION ALL SELECT * FROM sr WHERE r <= 20) WHERE query_id IN (SELECT vec_id FROM terms) GROUP BY ALL),
+g AS (SELECT f.*, e.source_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, f.vec_id) AS a FROM f JOIN e USING (vec_id)),
+h AS (SELECT *, row_number() OVER (PARTITION BY query_id, source_id ORDER BY score DESC, vec_id) AS o FROM g WHERE a <= 20),
+hybrid AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank, vec_id, source_id, score FROM h WHERE o <= 2)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, source_id, round(score, 9) AS score FROM hybrid WHERE rank <= 5"""
+
+
+@query(HYBRID)
+def tk3_hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """TK3, JO7, JO8: the hybrid search of verified points, fused from vectors and terms, at most two of a source, five hits. Questions without terms aren't asked here."""
+    p, t = _points(spark, sf_dir), _terms(spark, sf_dir)
+    q = _asked(t)
+    questions = _questions(p).join(q.select("query_id"), "query_id", "left_semi")
+    return search.search(p, questions, per_source=2, terms=(t, q)).select("query_id", "rank", "vec_id", "source_id", F.round("score", 9).alias("score"))
+
+
+@query(f"WITH {SCORES} SELECT query_id, CAST(r AS INTEGER) AS rank, vec_id, domain, round(score, 6) AS score FROM top WHERE r = 1")
+def wi2_balanced_few(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """WI2: with fewer hits than domains none is favoured."""
+    p = _points(spark, sf_dir)
+    hits = search.nearest(p, _questions(p), 20).join(p.select("vec_id", "domain"), "vec_id")
+    return search.balanced(hits, ("hotel", "software"), 1).select("query_id", "rank", "vec_id", "domain", F.round("score", 6).alias("score"))
 
 
 EVAL = f"""

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.functions.text import stable_id
+from gleaner.sources.snapshot import put
 
 FAQ = (
     "question string, answer string, source_id string, topic string, subtopic string, authority string, status string, url string, source_path string, "
@@ -106,19 +107,9 @@ def faq_recovery(expected: DataFrame, recovered: DataFrame) -> DataFrame:
 
 def publish(df: DataFrame, path: str) -> str:
     """Write df as a new version under path and point `current` at it; readers never see half a table."""
-    spark = df.sparkSession
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     version = f"v-{uuid.uuid4().hex}"
     df.write.parquet(f"{path}/{version}")
-    pointer, temp = (jvm.org.apache.hadoop.fs.Path(f"{path}/{x}") for x in ("current", f"current.{version}"))
-    fs = pointer.getFileSystem(conf)
-    out = fs.create(temp, True)
-    out.write(bytearray(version.encode()))
-    out.close()
-    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(pointer.toUri(), conf)
-    flags = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
-    flags[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
-    context.rename(temp, pointer, flags)
+    put(df.sparkSession, f"{path}/current", version.encode())
     return version
 
 

@@ -7,7 +7,7 @@ import pytest
 
 from gleaner import schema
 from gleaner.functions import folding, text
-from gleaner.operators import answers, corpus, index, planner, search, steps
+from gleaner.operators import answers, corpus, planner, search, steps
 from gleaner.plans import flagship, library
 from gleaner.sources import corpus as corpus_source
 from gleaner.sources import html, records
@@ -228,8 +228,3 @@ def test_pages_and_taxonomy(spark):
     strip = lambda c: corpus_source.without_question(c, F.lit("Comment annuler une réservation ?"))
     assert one(spark, strip, "\nComment annuler\nune reservation\n\nCliquez.") == "Cliquez." and one(spark, strip, "Autre chose.\n\nCliquez.") == "Autre chose.\n\nCliquez."
     assert corpus_source.taxonomy_errors({"a": {"t": ["x", "x"], "u": ["y"], "v": [""]}, "b": None}) == ["a/t: repeated subtopic", "a/v: subtopics are not names", "b: no topics"]
-
-
-def test_index_sync(spark):
-    stored, desired = (spark.createDataFrame([(i, v) for i in ids], "id string, v string") for ids, v in ((("a", "b"), "old"), (("b", "c"), "new")))
-    assert {(r["id"], r["v"]) for r in index.sync(stored, desired).collect()} == {("b", "old"), ("c", "new")}
