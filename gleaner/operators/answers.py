@@ -9,12 +9,12 @@ from pyspark.sql import functions as F
 
 from gleaner.functions.text import citations_valid, cited, clock, json_object, late_checkout_fee, question_time, single_source, uncited_steps
 
-#: A fragment of the fixed sentence by which an answer abstains.
-ABSTENTION = "je ne trouve pas"
+#: Fixed value: the sentence by which an answer abstains, looked for as it stands.
+ABSTENTION = "Je ne dispose pas d'une information verifiee dans la base de connaissances permettant de repondre a cette question."
 
 
 def abstained(answer: Column) -> Column:
-    return F.contains(F.lower(F.coalesce(answer, F.lit(""))), F.lit(ABSTENTION))
+    return F.contains(F.coalesce(answer, F.lit("")), F.lit(ABSTENTION))
 
 
 def clean_prefix(answer: Column) -> Column:

@@ -83,11 +83,19 @@ def renumber(steps: DataFrame, ties: tuple[str, ...] = ()) -> DataFrame:
     return steps.withColumns({"total_steps": F.count(F.lit(1)).over(w).cast("int"), "step_number": F.row_number().over(w.orderBy("timestamp_start", "step_number", *ties))})
 
 
-def sequence_issues(steps: DataFrame) -> DataFrame:
-    """Per video: places out of the sequence of numbers, and starts that go back."""
-    w = Window.partitionBy("video_id").orderBy("step_number", "timestamp_start")
+def sequence_issues(steps: DataFrame, order: tuple[str, ...] = ("position",)) -> DataFrame:
+    """(video_id, sequence_issues): the kinds of issue of each video's steps in file order, each kind once however often it occurs.
+
+    non_contiguous_step_numbers: they aren't 1, 2, 3 and so on; non_monotonic_timestamps: a start lies before the one
+    above it; inconsistent_total_steps: a total_steps, if there is that column, isn't their number.
+    """
+    video = Window.partitionBy("video_id")
+    w = video.orderBy(*order)
     x = steps.withColumns({"_n": F.row_number().over(w), "_p": F.lag("timestamp_start").over(w)})
-    return x.groupBy("video_id").agg(F.count_if(F.col("_n") != F.col("step_number")).alias("not_contiguous"), F.count_if(F.col("timestamp_start") < F.col("_p")).alias("not_monotonic"))
+    kinds = {"non_contiguous_step_numbers": F.max(F.col("_n") != F.col("step_number")), "non_monotonic_timestamps": F.max(F.col("timestamp_start") < F.col("_p"))}
+    if "total_steps" in steps.columns:
+        kinds["inconsistent_total_steps"] = (F.min("total_steps") != F.count(F.lit(1))) | (F.max("total_steps") != F.count(F.lit(1)))
+    return x.groupBy("video_id").agg(F.array_compact(F.array(*[F.when(test, F.lit(name)) for name, test in kinds.items()])).alias("sequence_issues"))
 
 
 def risk(missing_asset: Column, invalid: Column, conflict: Column, uncertain: Column, status: Column) -> Column:
@@ -99,7 +107,7 @@ def risk(missing_asset: Column, invalid: Column, conflict: Column, uncertain: Co
 def findings(steps: DataFrame, assets: DataFrame | None = None) -> DataFrame:
     """steps with issues (sorted), missing_assets, flag_categories (sorted) and risk.
 
-    steps has frames (array), instruction, action_type, action_target, timestamp_end, duration, status,
+    steps has frames (array), instruction, perhaps spoken_instruction, action_type, action_target, timestamp_end, duration, status,
     confident and quality_flags (array); assets(path) are the files that exist, all of them if it is None.
     """
     rows = steps
@@ -112,7 +120,8 @@ def findings(steps: DataFrame, assets: DataFrame | None = None) -> DataFrame:
     gone = F.coalesce("_gone", F.array().cast("array<string>"))
     flags = F.coalesce("quality_flags", F.array().cast("array<string>"))
     blank = lambda c: F.coalesce(F.trim(F.col(c)), F.lit("")) == ""
-    broken = F.contains(F.coalesce("instruction", F.lit("")), F.lit("\ufffd"))
+    said = [c for c in ("instruction", "spoken_instruction") if c in steps.columns]
+    broken = F.contains(F.concat(*[F.coalesce(c, F.lit("")) for c in said]), F.lit("\ufffd"))
     none, target, late = F.size("frames") == 0, F.col("action_type").isin(*TARGET_ACTIONS) & blank("action_target"), F.coalesce(F.col("timestamp_end") > F.col("duration") + 1.0, F.lit(False))
     issues = F.concat(
         F.transform(gone, lambda x: F.concat(F.lit("missing_asset:"), x)), F.transform(flags, lambda x: F.concat(F.lit("quality_flag:"), x)),
@@ -121,7 +130,7 @@ def findings(steps: DataFrame, assets: DataFrame | None = None) -> DataFrame:
     # flags are categorised by themselves: a fold of each different one, not of each step's
     kinds = rows.select(F.explode(flags).alias("flag")).distinct().withColumn("kind", flag_category(F.col("flag")))
     own = rows.select(*KEY, F.explode(flags).alias("flag")).join(kinds, "flag").groupBy(*KEY).agg(F.array_sort(F.collect_set("kind")).alias("flag_categories"))
-    x = rows.join(own, list(KEY), "left").withColumns({"flag_categories": F.coalesce("flag_categories", F.array().cast("array<string>")), "issues": F.array_sort(F.array_distinct(issues)), "missing_assets": F.size(gone), "invalid": broken.cast("int")})
+    x = rows.join(own, list(KEY), "left").withColumns({"flag_categories": F.coalesce("flag_categories", F.array().cast("array<string>")), "issues": F.array_sort(F.array_distinct(issues)), "missing_assets": F.size(gone)})
     conflict = none | target | late | F.arrays_overlap("flag_categories", F.array(F.lit("audio_visual_conflict"), F.lit("unsupported_action_target")))
     unsure = ~F.col("confident") | (F.size(F.array_except("flag_categories", F.array(F.lit("no_issue")))) > 0) | (F.size("issues") > 0)
     return x.withColumn("risk", risk(F.col("missing_assets") > 0, broken, conflict, unsure, F.col("status"))).drop("_gone")
@@ -157,13 +166,19 @@ def path_category(path: Column, default: str = "sans_categorie") -> Column:
     return F.coalesce(F.nullif(F.split_part(F.coalesce(path, F.lit("")), F.lit("/"), F.lit(1)), F.lit("")), F.lit(default))
 
 
-def audit(findings: DataFrame, issues: DataFrame) -> DataFrame:
-    """Per video the steps of each risk, and the risk score; an `invalid` column of findings weighs in, if there is one."""
-    invalid = F.sum("invalid") if "invalid" in findings.columns else F.lit(0)
-    counts = findings.groupBy("video_id").agg(F.count(F.lit(1)).alias("steps"), *[F.count_if(F.col("risk") == r).alias(r) for r in RISKS], F.sum("missing_assets").alias("missing_assets"), invalid.cast("bigint").alias("invalid"))
-    x = counts.join(issues, "video_id", "left").withColumn("sequence_issues", F.coalesce(F.col("not_contiguous") + F.col("not_monotonic"), F.lit(0)))
-    score = sum((F.col(r) * n for r, n in RISKS.items()), F.lit(0)) + 20 * F.col("missing_assets") + 100 * F.col("invalid") + 25 * F.col("sequence_issues")
-    return x.select("video_id", "steps", *RISKS, "missing_assets", "invalid", "sequence_issues", score.cast("bigint").alias("risk_score"))
+def audit(findings: DataFrame, issues: DataFrame, invalid: DataFrame | None = None) -> DataFrame:
+    """Per video the steps of each risk, its kinds of sequence issue, and the risk score.
+
+    findings(video_id, risk, missing_assets) are the steps that the schema allows, issues the sequence_issues() of these, invalid(video_id, invalid)
+    the number of others, which are critical. A video may have invalid steps alone.
+    """
+    counts = findings.groupBy("video_id").agg(F.count(F.lit(1)).alias("steps"), *[F.count_if(F.col("risk") == r).alias(r) for r in RISKS], F.sum("missing_assets").alias("missing_assets"))
+    x = counts.join(issues, "video_id", "left")
+    x = x.withColumn("invalid", F.lit(0)) if invalid is None else x.join(invalid.select("video_id", "invalid"), "video_id", "full")
+    zero = {c: F.coalesce(c, F.lit(0)).cast("bigint") for c in ("steps", *RISKS, "missing_assets", "invalid")}
+    x = x.withColumns(zero | {"sequence_issues": F.coalesce("sequence_issues", F.array().cast("array<string>"))})
+    score = sum((F.col(r) * n for r, n in RISKS.items()), F.lit(0)) + 20 * F.col("missing_assets") + 100 * F.col("invalid") + 25 * F.size("sequence_issues")
+    return x.select("video_id", "steps", (F.col("critical") + F.col("invalid")).alias("critical"), *[r for r in RISKS if r != "critical"], "missing_assets", "invalid", "sequence_issues", score.cast("bigint").alias("risk_score"))
 
 
 def status_counts(steps: DataFrame) -> DataFrame:
@@ -194,19 +209,20 @@ def stratified_sample(findings: DataFrame, quotas: dict[str, int], seed: str) ->
     return x.where(F.col("rank") <= most).drop("_v", "_s", "_turn")
 
 
-def recommended(audits: DataFrame, most: int) -> DataFrame:
-    """Critical videos, the riskiest of each category, and the extremes; then by risk up to `most`."""
-    best = Window.partitionBy("category").orderBy(F.desc("risk_score"), "video_id")
-    all_ = audits.agg(F.max(F.struct("steps", (-F.col("video_id")).alias("v"))).alias("longest"), F.min(F.struct("steps", "video_id")).alias("shortest")).select((-F.col("longest.v")).alias("_l"), F.col("shortest.video_id").alias("_s"))
-    x = audits.withColumn("_b", F.row_number().over(best)).crossJoin(F.broadcast(all_))  # one row
-    must = (F.col("critical") > 0) | (F.col("_b") == 1) | (F.col("video_id") == F.col("_l")) | (F.col("video_id") == F.col("_s"))
-    tier = F.when(must, 0).otherwise(1)
-    head = x.withColumn("_m", tier).orderBy("_m", F.desc("risk_score"), "video_id")
-    forced = x.where(must).select("video_id", F.lit(True).alias("forced"))
-    fill = head.where("_m = 1").orderBy(F.desc("risk_score"), "video_id").limit(most).select("video_id", F.lit(False).alias("forced"))
-    n = forced.agg(F.count(F.lit(1)).alias("_n"))
-    ranked = fill.join(audits.select("video_id", "risk_score"), "video_id").withColumn("_r", F.row_number().over(Window.orderBy(F.desc("risk_score"), "video_id")))  # at most `most` rows
-    return forced.unionByName(ranked.crossJoin(F.broadcast(n)).where(F.col("_r") <= F.lit(most) - F.col("_n")).select("video_id", "forced"))
+def recommended(audits: DataFrame, most: int = 16) -> DataFrame:
+    """(video_id, forced) of the videos to review, of those with steps under review.
+
+    audits(video_id, category, steps, duration, critical, missing_assets, risk_score, review_required). Forced are all with critical steps or
+    missing assets, the riskiest of each category, the longest and the shortest, and that of most steps; where fewer than `most`
+    are, the riskiest of the rest follow. Equal risk goes by steps and then the larger id, the extremes by the smaller id.
+    """
+    x = audits.where("review_required > 0").withColumn("_o", F.struct("risk_score", "steps", "video_id"))
+    ends = x.agg(*[F.min(F.struct(c, "video_id"))["video_id"] for c in (-F.col("duration"), F.col("duration"), -F.col("steps"))]).first()  # three ids
+    best = x.groupBy("category").agg(F.max("_o")["video_id"].alias("video_id")).select("video_id", F.lit(True).alias("_b"))
+    must = (F.col("critical") > 0) | (F.col("missing_assets") > 0) | F.coalesce("_b", F.lit(False)) | F.coalesce(F.col("video_id").isin(*[v for v in ends if v is not None]), F.lit(False))
+    x = x.join(best, "video_id", "left").withColumn("forced", must)
+    rest = x.where("NOT forced").orderBy(F.desc("_o")).limit(max(0, most - x.where("forced").count()))
+    return x.where("forced").select("video_id", "forced").unionByName(rest.select("video_id", "forced"))
 
 
 def replay(decisions: DataFrame, fields: tuple[str, ...], key: tuple[str, ...] = KEY, order: str = "position") -> DataFrame:

@@ -70,14 +70,15 @@ def qp1_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-RECORDED = "SELECT doc_id, doc_id % 4 AS n_hits, CASE doc_id % 5 WHEN 0 THEN 'Réponse : ' || text || ' [1]' WHEN 1 THEN '1. ' || text || ' [2]' || chr(10) || '2. ' || text WHEN 2 THEN 'Je ne trouve pas.' WHEN 3 THEN text ELSE text || ' [3] [1].' END AS answer FROM documents"
+_ABSTAINS = "'" + answers.ABSTENTION.replace("'", "''") + "'"
+RECORDED = f"SELECT doc_id, doc_id % 4 AS n_hits, CASE doc_id % 5 WHEN 0 THEN 'Réponse : ' || text || ' [1]' WHEN 1 THEN '1. ' || text || ' [2]' || chr(10) || '2. ' || text WHEN 2 THEN CASE WHEN doc_id % 3 = 0 THEN 'Je ne trouve pas.' ELSE 'Bonjour. ' || {_ABSTAINS} END WHEN 3 THEN text ELSE text || ' [3] [1].' END AS answer FROM documents"
 
 
 def _recorded(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole documents as recorded answers, with citations and abstentions."""
     t, k = F.col("text"), F.col("doc_id") % 5
     a = (
-        F.when(k == 0, F.concat(F.lit("Réponse : "), t, F.lit(" [1]"))).when(k == 1, F.concat(F.lit("1. "), t, F.lit(" [2]\n2. "), t)).when(k == 2, "Je ne trouve pas.")
+        F.when(k == 0, F.concat(F.lit("Réponse : "), t, F.lit(" [1]"))).when(k == 1, F.concat(F.lit("1. "), t, F.lit(" [2]\n2. "), t)).when(k == 2, F.when(F.col("doc_id") % 3 == 0, "Je ne trouve pas.").otherwise(F.lit(f"Bonjour. {answers.ABSTENTION}")))
         .when(k == 3, t).otherwise(F.concat(t, F.lit(" [3] [1].")))
     )
     return table(spark, sf_dir, "documents").select("doc_id", (F.col("doc_id") % 4).alias("n_hits"), a.alias("answer"))
@@ -86,8 +87,8 @@ def _recorded(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""
 WITH a AS ({RECORDED}),
 c AS (SELECT *, regexp_replace(ltrim(answer), '^(?i)(answer|réponse|reponse)\\s*:\\s*', '') AS raw FROM a),
-t AS (SELECT *, CASE WHEN n_hits = 1 AND NOT contains(lower(raw), 'je ne trouve pas') THEN CASE WHEN regexp_matches(one, '\\[1\\]\\s*[.!?]?\\s*$') THEN one ELSE rtrim(one) || ' [1]' END ELSE raw END AS text FROM (SELECT *, regexp_replace(raw, '\\[\\d+\\]', '[1]', 'g') AS one FROM c)),
-n AS (SELECT *, list_transform(regexp_extract_all(text, '\\[(\\d+)\\]', 1), lambda x: coalesce(TRY_CAST(x AS INTEGER), -1)) AS cs, contains(lower(text), 'je ne trouve pas') AS abst,
+t AS (SELECT *, CASE WHEN n_hits = 1 AND NOT contains(raw, {_ABSTAINS}) THEN CASE WHEN regexp_matches(one, '\\[1\\]\\s*[.!?]?\\s*$') THEN one ELSE rtrim(one) || ' [1]' END ELSE raw END AS text FROM (SELECT *, regexp_replace(raw, '\\[\\d+\\]', '[1]', 'g') AS one FROM c)),
+n AS (SELECT *, list_transform(regexp_extract_all(text, '\\[(\\d+)\\]', 1), lambda x: coalesce(TRY_CAST(x AS INTEGER), -1)) AS cs, contains(text, {_ABSTAINS}) AS abst,
   len(list_filter(string_split(text, chr(10)), lambda l: regexp_matches(l, '^\\s*\\d+[.)]\\s+\\S') AND NOT regexp_matches(l, '\\[\\d+\\]'))) > 0 AS bare FROM t)
 SELECT doc_id, text, bare AS steps_without_source, array_to_string(list_sort(list_distinct(cs)), ',') AS cited,
   CASE WHEN n_hits = 0 THEN 'no_hits' WHEN abst THEN 'abstain' WHEN NOT (len(cs) > 0 AND len(list_filter(cs, lambda i: i < 1 OR i > n_hits)) = 0 AND NOT bare) THEN 'invalid_citation' ELSE 'supported' END AS decision

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gleaner.operators import steps
 from gleaner.plans.registry import query, table
 
 STEPS = """
-st AS (SELECT l_orderkey AS video_id, l_linenumber AS step_number, epoch(l_shipdate) / 86400.0 AS timestamp_start, l_returnflag AS flag, l_shipmode AS mode, l_quantity AS quantity, l_discount AS discount, l_tax AS tax, l_linestatus AS linestatus
+st AS (SELECT l_orderkey AS video_id, l_linenumber AS step_number, epoch(l_shipdate) / 86400.0 AS timestamp_start, l_returnflag AS flag, l_shipmode AS mode, l_quantity AS quantity, l_discount AS discount, l_tax AS tax, l_linestatus AS linestatus,
+    CASE WHEN l_orderkey % 5 = 0 THEN 9 ELSE max(l_linenumber) OVER (PARTITION BY l_orderkey) END AS total_steps
   FROM (SELECT *, CASE WHEN l_partkey % 3 = 0 THEN 'left' ELSE 'right' END AS l_shipmode FROM lineitem)),
 f AS (SELECT video_id, step_number, flag, timestamp_start, mode, tax, CASE WHEN quantity > 49 THEN 1 ELSE 0 END AS missing_assets,
   CASE WHEN quantity > 49 OR tax > 0.079 AND discount > 0.09 THEN 'critical' WHEN linestatus = 'F' AND flag = 'N' THEN 'low' WHEN flag = 'R' THEN 'high' WHEN flag = 'A' THEN 'medium' ELSE 'low' END AS risk FROM st)
@@ -18,8 +19,9 @@ f AS (SELECT video_id, step_number, flag, timestamp_start, mode, tax, CASE WHEN
 
 def _steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = table(spark, sf_dir, "lineitem")
+    most = F.max("l_linenumber").over(Window.partitionBy("l_orderkey"))
     return x.select(
-        F.col("l_orderkey").alias("video_id"), F.col("l_linenumber").alias("step_number"), (F.unix_micros(F.col("l_shipdate").cast("timestamp")) / 86400e6).alias("timestamp_start"), F.col("l_returnflag").alias("flag"),
+        F.when(F.col("l_orderkey") % 5 == 0, 9).otherwise(most).alias("total_steps"), F.col("l_orderkey").alias("video_id"), F.col("l_linenumber").alias("step_number"), (F.unix_micros(F.col("l_shipdate").cast("timestamp")) / 86400e6).alias("timestamp_start"), F.col("l_returnflag").alias("flag"),
         F.when(F.col("l_partkey") % 3 == 0, "left").otherwise("right").alias("mode"), F.col("l_quantity").alias("quantity"), F.col("l_discount").alias("discount"), F.col("l_tax").alias("tax"), F.col("l_linestatus").alias("linestatus"),
     )
 
@@ -28,7 +30,7 @@ def _findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = _steps(spark, sf_dir)
     status = F.when((F.col("linestatus") == "F") & (F.col("flag") == "N"), "verified").otherwise("draft")
     gone = F.col("quantity") > 49
-    return s.withColumns({"missing_assets": gone.cast("int"), "invalid": (F.col("tax") > 0.079).cast("int"), "risk": steps.risk(gone, (F.col("tax") > 0.079) & (F.col("discount") > 0.09), F.col("flag") == "R", F.col("flag") == "A", status)})
+    return s.withColumns({"missing_assets": gone.cast("int"), "risk": steps.risk(gone, (F.col("tax") > 0.079) & (F.col("discount") > 0.09), F.col("flag") == "R", F.col("flag") == "A", status)})
 
 
 @query(f"WITH {STEPS} SELECT video_id, step_number, risk, missing_assets FROM f")
@@ -39,33 +41,44 @@ def tx31_step_risks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 AUDIT = f"""
 {STEPS},
-q AS (SELECT *, row_number() OVER w AS n, lag(timestamp_start) OVER w AS p FROM st WINDOW w AS (PARTITION BY video_id ORDER BY step_number, timestamp_start)),
-i AS (SELECT video_id, CAST(count_if(n <> step_number) + coalesce(count_if(timestamp_start < p), 0) AS BIGINT) AS sequence_issues FROM q GROUP BY video_id),
-a AS (SELECT video_id, count(*) AS steps, CAST(count_if(risk = 'critical') AS BIGINT) AS critical, CAST(count_if(risk = 'high') AS BIGINT) AS high, CAST(count_if(risk = 'medium') AS BIGINT) AS medium, CAST(count_if(risk = 'low') AS BIGINT) AS low, CAST(sum(missing_assets) AS BIGINT) AS missing_assets, CAST(count_if(tax > 0.079) AS BIGINT) AS invalid FROM f GROUP BY video_id),
-au AS (SELECT a.*, sequence_issues, CAST(100 * critical + 10 * high + 3 * medium + 20 * missing_assets + 100 * invalid + 25 * sequence_issues AS BIGINT) AS risk_score FROM a JOIN i USING (video_id))
+q AS (SELECT *, row_number() OVER w AS n, lag(timestamp_start) OVER w AS p, count(*) OVER (PARTITION BY video_id) AS c FROM st WHERE tax <= 0.079 WINDOW w AS (PARTITION BY video_id ORDER BY step_number, timestamp_start)),
+i AS (SELECT video_id, array_to_string(list_filter([CASE WHEN bool_or(n <> step_number) THEN 'non_contiguous_step_numbers' END, CASE WHEN bool_or(timestamp_start < p) THEN 'non_monotonic_timestamps' END, CASE WHEN bool_or(total_steps <> c) THEN 'inconsistent_total_steps' END], lambda x: x IS NOT NULL), ',') AS sequence_issues FROM q GROUP BY video_id),
+a AS (SELECT video_id, count(*) AS steps, count_if(risk = 'critical') AS critical, CAST(count_if(risk = 'high') AS BIGINT) AS high, CAST(count_if(risk = 'medium') AS BIGINT) AS medium, CAST(count_if(risk = 'low') AS BIGINT) AS low, CAST(sum(missing_assets) AS BIGINT) AS missing_assets FROM f WHERE tax <= 0.079 GROUP BY video_id),
+bad AS (SELECT video_id, count(*) AS invalid FROM f WHERE tax > 0.079 GROUP BY video_id),
+au AS (
+  SELECT video_id, coalesce(steps, 0) AS steps, CAST(coalesce(critical, 0) + coalesce(invalid, 0) AS BIGINT) AS critical, coalesce(high, 0) AS high, coalesce(medium, 0) AS medium, coalesce(low, 0) AS low, coalesce(missing_assets, 0) AS missing_assets,
+    coalesce(invalid, 0) AS invalid, coalesce(sequence_issues, '') AS sequence_issues,
+    CAST(100 * coalesce(critical, 0) + 10 * coalesce(high, 0) + 3 * coalesce(medium, 0) + 20 * coalesce(missing_assets, 0) + 100 * coalesce(invalid, 0) + 25 * CASE WHEN coalesce(sequence_issues, '') = '' THEN 0 ELSE 1 + len(regexp_extract_all(sequence_issues, ',')) END AS BIGINT) AS risk_score
+  FROM a FULL JOIN bad USING (video_id) LEFT JOIN i USING (video_id))
 """
 
 
 def _audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return steps.audit(_findings(spark, sf_dir), steps.sequence_issues(_steps(spark, sf_dir)))
+    """Steps whose tax is above 0.079 stand for those that the schema refuses."""
+    refused = F.col("tax") > 0.079
+    bad = _steps(spark, sf_dir).where(refused).groupBy("video_id").agg(F.count(F.lit(1)).alias("invalid"))
+    return steps.audit(_findings(spark, sf_dir).where(~refused), steps.sequence_issues(_steps(spark, sf_dir).where(~refused), ("step_number", "timestamp_start")), bad)
 
 
 @query(f"WITH {AUDIT} SELECT * FROM au")
 def ag13_video_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AG13, AG14, WI8."""
-    return _audit(spark, sf_dir)
+    return _audit(spark, sf_dir).withColumn("sequence_issues", F.array_join("sequence_issues", ","))
 
 
 @query(f"""
-WITH {AUDIT}, c AS (SELECT *, video_id % 4 AS category FROM au),
-m AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY risk_score DESC, video_id) AS b FROM c),
-e AS (SELECT (SELECT video_id FROM c ORDER BY steps DESC, video_id LIMIT 1) AS l, (SELECT video_id FROM c ORDER BY steps, video_id LIMIT 1) AS s),
-k AS (SELECT m.video_id, risk_score, critical > 0 OR b = 1 OR video_id = l OR video_id = s AS forced FROM m, e),
-r AS (SELECT *, row_number() OVER (PARTITION BY forced ORDER BY risk_score DESC, video_id) AS r FROM k)
-SELECT video_id, forced FROM r WHERE forced OR r <= 16 - (SELECT count(*) FROM k WHERE forced)""")
+WITH {AUDIT},
+more AS (SELECT l_orderkey AS video_id, CAST(sum(l_quantity) AS DOUBLE) AS duration, count_if(l_linestatus = 'O') AS open FROM lineitem GROUP BY 1),
+c AS (SELECT *, video_id % 4 AS category FROM au JOIN more USING (video_id) WHERE open > 0),
+m AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY risk_score DESC, steps DESC, video_id DESC) AS b FROM c),
+e AS (SELECT (SELECT video_id FROM c ORDER BY duration DESC, video_id LIMIT 1) AS l, (SELECT video_id FROM c ORDER BY duration, video_id LIMIT 1) AS s, (SELECT video_id FROM c ORDER BY steps DESC, video_id LIMIT 1) AS t),
+k AS (SELECT m.*, critical > 0 OR missing_assets > 0 OR b = 1 OR video_id IN (l, s, t) AS forced FROM m, e),
+r AS (SELECT *, row_number() OVER (PARTITION BY forced ORDER BY risk_score DESC, steps DESC, video_id DESC) AS r FROM k)
+SELECT video_id, forced FROM r WHERE forced OR r <= 500 - (SELECT count(*) FROM k WHERE forced)""")
 def tk6_recommended_videos(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """TK6, WI9: critical, riskiest by category, longest and shortest; the limit holds for the rest only."""
-    return steps.recommended(_audit(spark, sf_dir).withColumn("category", F.col("video_id") % 4), 16)
+    """TK6, WI9: of videos with steps under review the critical ones and those that lack files, the riskiest by category and the extremes, then by risk."""
+    more = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("video_id")).agg(F.sum("l_quantity").cast("double").alias("duration"), F.count_if(F.col("l_linestatus") == "O").alias("review_required"))
+    return steps.recommended(_audit(spark, sf_dir).join(more, "video_id").withColumn("category", F.col("video_id") % 4), 500)
 
 
 @query(f"""
