@@ -39,17 +39,25 @@ def _unmarked(text: str | None) -> str | None:
     return _marks().sub("", unicodedata.normalize("NFKD", text))
 
 
+#: For each byte its lower-case letter or digit, else a space.
+_KEPT = bytes(ord(c) if (c := chr(i).lower()).isascii() and c.isalnum() else 32 for i in range(256))
+
+
+def _words(raw: bytes) -> str:
+    """The runs of letters and digits of ASCII text, lower-cased, one space between."""
+    return b" ".join(raw.translate(_KEPT).split()).decode()
+
+
 def ascii_key_of(text: str | None) -> str | None:
     """ascii_key() of a Python string."""
     if text is None:
         return None
-    text = text if text.isascii() else unicodedata.normalize("NFKD", text).encode("ascii", "ignore").decode()
-    return re.sub("[^a-z0-9]+", " ", text.lower()).strip()
+    return _words(text.encode() if text.isascii() else unicodedata.normalize("NFKD", text).encode("ascii", "ignore"))
 
 
 def phrase_key_of(text: str | None) -> str | None:
     """phrase_key() of a Python string."""
-    return None if text is None else re.sub("[^a-z0-9]+", " ", _unmarked(text.casefold())).strip()
+    return None if text is None else _words(_unmarked(text.casefold()).encode("ascii", "replace"))
 
 
 def clean_lines_of(text: str | None) -> str | None:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from gleaner.functions.folding import ascii_key_of, slug
+from gleaner.functions.folding import slug
 
 URL_NAMESPACE = "6ba7b8119dad11d180b400c04fd430c8"
 
@@ -61,11 +61,6 @@ def _quoted(term: str) -> str:
     return "".join(x if x.isalnum() or x == " " else "\\" + x for x in term)
 
 
-def has_phrase(key: Column, phrases: tuple[str, ...]) -> Column:
-    """Substrings of an ascii_key, not bounded by words."""
-    return key.rlike("|".join(ascii_key_of(p) for p in phrases))  # letters, digits and spaces only
-
-
 def first_match(rules: list[tuple[Column, Column]], default: Column) -> Column:
     out = None
     for test, value in rules:

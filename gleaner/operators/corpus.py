@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gleaner.functions.folding import ascii_key, ascii_key_of, chunk_hash, clean_lines, clean_lines_of
-from gleaner.functions.text import first_match, has_phrase, portable_path, stable_id
+from gleaner.functions.phrases import first_rule
+from gleaner.functions.text import portable_path, stable_id
 from gleaner.operators.taxonomy import HOTEL_SUBTOPICS, SOFTWARE_RULES, TAXONOMY
 
 #: Ranks of authorities and of states.
@@ -34,10 +35,10 @@ def in_taxonomy(domain: Column, topic: Column, subtopic: Column | None = None) -
     return F.coalesce(out, F.lit(False))
 
 
-def software_rules(key: Column) -> Column:
-    """struct(topic, subtopic) of the first rule one of whose phrases is in the key; null for none."""
-    made = lambda t, s: F.struct(F.lit(t).alias("topic"), F.lit(s).cast("string").alias("subtopic"))
-    return first_match([(has_phrase(key, phrases), made(t, s)) for t, s, phrases in SOFTWARE_RULES], F.lit(None))
+def software_rules(text: Column) -> Column:
+    """struct(topic, subtopic) of the first rule one of whose phrases is in the text's ascii_key; null for none."""
+    made = F.array(*[F.struct(F.lit(t).alias("topic"), F.lit(s).cast("string").alias("subtopic")) for t, s, _ in SOFTWARE_RULES])
+    return F.get(made, first_rule(text, [phrases for *_, phrases in SOFTWARE_RULES]))
 
 
 def classify(df: DataFrame) -> DataFrame:
@@ -46,13 +47,15 @@ def classify(df: DataFrame) -> DataFrame:
     Rules are tried on a software document's names first, then on its text, unless a topic of the
     taxonomy is given.
     """
-    identity = ascii_key(F.concat_ws(" ", *[F.nullif(F.col(c), F.lit("")) for c in ("title", "breadcrumb", "source_id", "source_category", "topic", "subtopic")]))
+    identity = F.concat_ws(" ", *[F.nullif(F.col(c), F.lit("")) for c in ("title", "breadcrumb", "source_id", "source_category", "topic", "subtopic")])
     known, fine = in_taxonomy(F.col("domain"), F.col("topic")), in_taxonomy(F.col("domain"), F.col("topic"), F.col("subtopic"))
     own = F.struct(F.col("topic"), F.when(fine, F.col("subtopic")).alias("subtopic"))
     table = F.create_map(*[x for k, (t, s) in HOTEL_SUBTOPICS.items() for x in (F.lit(k), F.struct(F.lit(t).alias("topic"), F.lit(s).alias("subtopic")))])
     general = F.struct(F.when(known, F.col("topic")).otherwise("general").alias("topic"), F.lit(None).cast("string").alias("subtopic"))
     keep = known & ((F.col("source_type") != "video") | (F.col("topic") != "general"))
-    software = F.coalesce(software_rules(identity), F.when(keep, own), software_rules(ascii_key(F.col("content"))), general)
+    named = software_rules(F.when(F.col("domain") == "software", identity))
+    undecided = (F.col("domain") == "software") & named.isNull() & ~F.coalesce(keep, F.lit(False))
+    software = F.coalesce(named, F.when(keep, own), software_rules(F.when(undecided, F.col("content"))), general)
     hotel = F.coalesce(table[F.col("subtopic")], F.when(known, own))
     made = df.select(F.struct("*").alias("row"), F.when(F.col("domain") == "software", software).otherwise(hotel).alias("made"))
     return made.select("row.*", "made").withColumns({"topic": F.col("made.topic"), "subtopic": F.col("made.subtopic")}).drop("made")

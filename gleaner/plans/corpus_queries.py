@@ -69,7 +69,7 @@ def _rules_sql(key: str) -> str:
 
 @query(f"WITH k AS (SELECT doc_id, {KEY.replace('content', 'text')} AS key FROM documents) SELECT doc_id, {_rules_sql('key')} AS rule FROM k")
 def tx27_software_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = corpus.software_rules(folding.ascii_key(F.col("text")))
+    r = corpus.software_rules(F.col("text"))
     return table(spark, sf_dir, "documents").select("doc_id", F.when(r.isNotNull(), F.concat(r["topic"], F.lit("/"), F.coalesce(r["subtopic"], F.lit("")))).alias("rule"))
 
 
