@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gleaner.functions.folding import calibration_tokens, keyframe_key, label_tokens, spatial_terms
 from gleaner.functions.text import same_prefix, stable_id, token_f1
+from gleaner.operators.set_search import nearest_sets
 from gleaner.operators.steps import KEY
 
 # Patterns of what a screen description or a spoken phrase may say.
@@ -211,21 +212,10 @@ def measured_policy(proposals: DataFrame, originals: DataFrame, measured: tuple[
 def nearest_examples(steps: DataFrame, references: DataFrame, k: int = 3) -> DataFrame:
     """(video_id, step_number, r_video, r_step, f1, rank): the k references whose words are most like a step's, itself left out.
 
-    steps and references(video_id, step_number, tokens). Only pairs that share a word are scored by a join
-    on words; where fewer than k are alike, those of the highest keys fill up, as all are equal at zero.
+    steps and references(video_id, step_number, tokens); equal ones go by the higher key, and where fewer than k are alike those of
+    the highest keys fill up.
     """
-    s = steps.select(*KEY, "tokens", F.size("tokens").alias("_n"))
-    r = references.select(F.col("video_id").alias("r_video"), F.col("step_number").alias("r_step"), "tokens", F.size("tokens").alias("_m"))
-    shared = s.select(*KEY, "_n", F.explode("tokens").alias("w")).join(r.select("r_video", "r_step", "_m", F.explode("tokens").alias("w")), "w").groupBy(*KEY, "r_video", "r_step", "_n", "_m").agg(F.count(F.lit(1)).alias("_c"))
-    scored = shared.select(*KEY, "r_video", "r_step", (2.0 * F.col("_c") / (F.col("_n") + F.col("_m"))).alias("f1"))
-    # with no shared word a reference has zero, or one if both are without words; k + 1 highest keys are enough
-    top = r.orderBy(F.desc("r_video"), F.desc("r_step")).limit(k + 1).select("r_video", "r_step", "_m")
-    bare = r.where("_m = 0").orderBy(F.desc("r_video"), F.desc("r_step")).limit(k + 1).select("r_video", "r_step", "_m")
-    fill = s.select(*KEY, "_n").crossJoin(F.broadcast(top.unionByName(bare).distinct())).select(*KEY, "r_video", "r_step", F.when((F.col("_n") == 0) & (F.col("_m") == 0), 1.0).otherwise(0.0).alias("f1"))  # 2k + 2 rows
-    other = (F.col("video_id") != F.col("r_video")) | (F.col("step_number") != F.col("r_step"))
-    best = scored.unionByName(fill).where(other).groupBy(*KEY, "r_video", "r_step").agg(F.max("f1").alias("f1"))
-    w = Window.partitionBy(*KEY).orderBy(F.desc("f1"), F.desc("r_video"), F.desc("r_step"))
-    return best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return nearest_sets(steps, references, k, KEY).withColumnsRenamed({"r_video_id": "r_video", "r_step_number": "r_step"})
 
 
 def comparison(items: DataFrame) -> DataFrame:

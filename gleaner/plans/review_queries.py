@@ -315,14 +315,24 @@ def ag11_cue_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-WITH c AS (SELECT conv_id, turn, {TOKENS.format('text')} AS w FROM conversations), q AS (SELECT * FROM c WHERE conv_id % 50 = 0),
-s AS (SELECT q.conv_id, q.turn, c.conv_id AS r_video, c.turn AS r_step, {F1.format('q.w', 'c.w')} AS f1 FROM q JOIN c ON q.conv_id <> c.conv_id OR q.turn <> c.turn),
-r AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY f1 DESC, r_video DESC, r_step DESC) AS rank FROM s)
+WITH c AS (SELECT conv_id, turn, list_sort({TOKENS.format('text')}) AS w FROM conversations),
+sets AS (SELECT w, list((conv_id, turn) ORDER BY conv_id DESC, turn DESC)[:4] AS keys FROM c GROUP BY w),
+words AS (SELECT w AS s, unnest(w) AS x FROM sets),
+pairs AS (SELECT a.s AS s, b.s AS t, 2.0::DOUBLE * count(*) / (len(a.s) + len(b.s)) AS f1 FROM words a JOIN words b ON a.x = b.x GROUP BY a.s, b.s),
+near AS (SELECT s, f1, unnest(keys) AS k FROM pairs JOIN sets ON t = w),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY s ORDER BY f1 DESC, k DESC) AS r FROM near) WHERE r <= 4),
+top AS (SELECT conv_id, turn, w FROM c ORDER BY conv_id DESC, turn DESC LIMIT 4),
+bare AS (SELECT conv_id, turn, w FROM c WHERE len(w) = 0 ORDER BY conv_id DESC, turn DESC LIMIT 4),
+found AS (
+  SELECT c.conv_id, c.turn, k[1] AS r_video, k[2] AS r_step, f1 FROM c JOIN best ON c.w = best.s
+  UNION ALL SELECT c.conv_id, c.turn, x.conv_id, x.turn, CASE WHEN len(c.w) = 0 AND len(x.w) = 0 THEN 1.0 ELSE 0.0 END FROM c, (SELECT * FROM top UNION SELECT * FROM bare) x),
+g AS (SELECT conv_id, turn, r_video, r_step, max(f1) AS f1 FROM found WHERE conv_id <> r_video OR turn <> r_step GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY f1 DESC, r_video DESC, r_step DESC) AS rank FROM g)
 SELECT conv_id AS video_id, turn AS step_number, r_video, r_step, round(f1, 6) AS f1, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 3""")
 def tk5_nearest_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """TK5: the turns most like those of every 50th conversation, which are the stated questions."""
+    """TK5: the three turns most like each turn."""
     c = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("video_id"), F.col("turn").alias("step_number"), calibration_tokens(F.col("text")).alias("tokens"))
-    return review.nearest_examples(c.where("video_id % 50 = 0"), c).withColumn("f1", F.round("f1", 6))
+    return review.nearest_examples(c, c).withColumn("f1", F.round("f1", 6))
 
 
 @query(f"""
