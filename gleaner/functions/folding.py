@@ -136,6 +136,12 @@ def phrase_key(c: Column) -> Column:
     return _phrase_key(c)
 
 
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def phrase_keys(phrases: pd.Series) -> pd.Series:
+    """phrase_key() of each phrase of an array; null phrases are left out."""
+    return phrases.map(lambda x: [phrase_key_of(p) for p in x if p is not None], na_action="ignore")
+
+
 def keyframe_key(c: Column) -> Column:
     ascii_ = F.regexp_replace(drop_marks(c), r"[^\x00-\x7F]+", "")
     return F.lower(F.regexp_replace(ascii_, r"\s+", " "))

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gleaner.functions.folding import phrase_key, phrase_keys
+from gleaner.functions.text import source_identity
+
 CATEGORIES = ("software", "hotel")
 #: The kinds of questions of an evaluation set.
 QUESTION_TYPES = ("direct", "paraphrase", "procedurale", "case_pratique", "ambigue", "inconnue")
@@ -74,6 +77,62 @@ def release_failures(runs: DataFrame) -> DataFrame:
     return runs.withColumn("failures", failed)
 
 
+def _list(c: str) -> Column:
+    return F.coalesce(F.col(c), F.array().cast("array<string>"))
+
+
+def _identities(sources: Column) -> Column:
+    return F.array_distinct(F.transform(sources, source_identity))
+
+
+def _source_failures(sources: Column, domains: Column) -> list[Column]:
+    """What a case expects of sources and domains and is not among these; sources that were renamed are the same."""
+    found, asked = _identities(sources), F.col("answerable")
+    groups = F.filter(F.coalesce("required_groups", F.array().cast("array<array<string>>")), lambda g: (F.size(g) > 0) & ~F.arrays_overlap(_identities(g), found))
+    lacking = F.array_sort(F.array_except(_list("expected_domains"), domains))
+    return [
+        F.when(asked & (F.size(_list("expected_sources")) > 0) & ~F.arrays_overlap(_identities(_list("expected_sources")), found), "expected_source"),
+        F.when(asked & (F.size(groups) > 0), F.concat(F.lit("source_groups:"), F.array_join(F.transform(groups, lambda g: F.array_join(g, "+")), ","))),
+        F.when(asked & (F.size(lacking) > 0), F.concat(F.lit("domains:"), F.array_join(lacking, "+"))),
+    ]
+
+
+def retrieval_regressions(cases: DataFrame, runs: DataFrame) -> DataFrame:
+    """(id, failures) of runs(id, route, sources, domains) of the cases: another route than expected, and of answerable cases no expected source,
+    groups of sources of which none was found, and expected domains that were not.
+
+    cases(id, answerable, expected_route, expected_sources, required_groups, expected_domains, ...); null lists are empty. A case
+    that was not run has the failure not_run.
+    """
+    x = cases.join(runs.withColumn("_ran", F.lit(True)), "id", "left")
+    route = F.when(~F.col("route").eqNullSafe(F.col("expected_route")), F.concat(F.lit("route:"), F.coalesce("route", F.lit("-"))))
+    failures = F.array_compact(F.array(route, *_source_failures(_list("sources"), _list("domains"))))
+    return x.select("id", F.when(F.col("_ran").isNull(), F.array(F.lit("not_run"))).otherwise(failures).alias("failures"))
+
+
+def answer_regressions(cases: DataFrame, answers: DataFrame) -> DataFrame:
+    """(id, failures) of answers(id, text, abstained, citations_valid, cited_sources, cited_domains) to the cases.
+
+    Answerable cases are checked for abstention, citations, expected sources, groups and domains, and forbidden sources;
+    the others for an answer that was given. Of all, the required phrases must be in the answer and the forbidden ones
+    not, but for case, accents and punctuation. Null lists are empty; a case without an answer has the failure not_run.
+    """
+    x = cases.join(answers.withColumn("_ran", F.lit(True)), "id", "left")
+    asked, cited = F.col("answerable"), _list("cited_sources")
+    banned = _identities(_list("forbidden_sources"))
+    shown = F.array_sort(F.array_distinct(F.filter(cited, lambda s: F.array_contains(banned, source_identity(s)))))
+    x = x.withColumns({"_key": phrase_key(F.coalesce("text", F.lit(""))), "_must": phrase_keys(_list("required_phrases")), "_never": phrase_keys(_list("forbidden_phrases"))})
+    absent, present = F.filter("_must", lambda p: ~F.contains("_key", p)), F.filter("_never", lambda p: F.contains("_key", p))
+    sources = _source_failures(cited, _list("cited_domains"))
+    failures = F.array_compact(F.array(
+        F.when(asked & F.col("abstained"), "abstained").when(~asked & ~F.col("abstained"), "answered"),
+        F.when(asked & (~F.coalesce("citations_valid", F.lit(False)) | (F.size(cited) == 0)), "citation"), *sources,
+        F.when(asked & (F.size(shown) > 0), F.concat(F.lit("forbidden_sources:"), F.array_join(shown, "+"))),
+        F.when(F.size(absent) > 0, F.concat(F.lit("phrases_absent:"), F.array_join(absent, "|"))), F.when(F.size(present) > 0, F.concat(F.lit("phrases_forbidden:"), F.array_join(present, "|"))),
+    ))
+    return x.select("id", F.when(F.col("_ran").isNull(), F.array(F.lit("not_run"))).otherwise(failures).alias("failures"))
+
+
 def totals(results: DataFrame) -> DataFrame:
     """One row: passed, total, and whether all of results(passed) did."""
     return results.agg(F.count_if("passed").alias("passed"), F.count(F.lit(1)).alias("total")).withColumn("all_passed", F.col("passed") == F.col("total"))

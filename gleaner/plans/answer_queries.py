@@ -260,3 +260,46 @@ def jo20_required_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = F.array(F.array(F.lit("system")), F.array(F.lit("user"), F.lit("assistant")))
     c = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.collect_set("role").alias("found"))
     return c.select("conv_id", F.size(answers.missing_groups(groups, F.col("found"))).alias("missing"))
+
+
+PHRASE = "trim(regexp_replace(strip_accents(replace(lower({}), 'ß', 'ss')), '[^a-z0-9]+', ' ', 'g'))"
+REGRESSION = f"""
+WITH n AS (SELECT doc_id, text, lang, doc_id % 5 AS k, doc_id % 7 AS j, CAST(substring(source, 4, 10) AS INTEGER) AS n, doc_id // 4 AS g FROM documents),
+runs AS (SELECT g, list_distinct(list('software-faq-' || n)) AS sources, list_distinct(list(CASE WHEN n % 2 = 0 THEN 'software' ELSE 'hotel' END)) AS domains FROM n GROUP BY g),
+c AS (
+  SELECT n.*, sources, domains, k <> 0 AS asked, CASE WHEN n % 2 = 0 THEN 'software' ELSE 'hotel' END AS domain,
+    {PHRASE.format("coalesce(text, '')")} AS key, {PHRASE.format("split_part(coalesce(text, ''), ' ', 2) || '!'")} AS must, {PHRASE.format("'-' || split_part(coalesce(text, ''), ' ', 3)")} AS never
+  FROM n JOIN runs USING (g)),
+f AS (
+  SELECT *, CASE WHEN asked AND NOT list_contains(sources, 'software-faq-' || (n + j % 2)) THEN 'expected_source' END AS f1,
+    CASE WHEN asked AND NOT list_contains(sources, 'software-faq-' || (n + 1)) THEN 'source_groups:software-faq-' || (n + 1) || '+none' END AS f2,
+    CASE WHEN asked AND NOT list_contains(domains, 'hotel') THEN 'domains:hotel' END AS f3 FROM c)
+SELECT doc_id AS id, array_to_string(list_filter([CASE WHEN lang <> 'en' AND domain = 'software' OR lang = 'en' AND domain <> 'software' THEN 'route:' || CASE WHEN lang = 'en' THEN 'software' ELSE 'hotel' END END, f1, f2, f3], lambda x: x IS NOT NULL), ';') AS retrieval,
+  array_to_string(list_filter([CASE WHEN asked AND j = 3 THEN 'abstained' WHEN NOT asked AND j <> 3 THEN 'answered' END, CASE WHEN asked AND j = 2 THEN 'citation' END, f1, f2, f3,
+    CASE WHEN asked AND list_contains(sources, 'software-faq-' || (n + 2)) THEN 'forbidden_sources:software-faq-' || (n + 2) END,
+    CASE WHEN NOT contains(key, must) OR k = 3 AND NOT contains(key, 'never said') THEN 'phrases_absent:' || array_to_string(list_filter([CASE WHEN NOT contains(key, must) THEN must END, CASE WHEN k = 3 AND NOT contains(key, 'never said') THEN 'never said' END], lambda x: x IS NOT NULL), '|') END,
+    CASE WHEN j = 4 AND contains(key, never) THEN 'phrases_forbidden:' || never END], lambda x: x IS NOT NULL), ';') AS answer
+FROM f"""
+
+
+@query(REGRESSION)
+def regression_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Regression checks of recorded runs: documents are answers, the sources of four neighbours are what was found and cited, a source's number decides its domain."""
+    from gleaner.operators import evaluation
+
+    n = F.substring("source", 4, 10).cast("int")
+    d = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", n.alias("n"), (F.col("doc_id") % 5).alias("k"), (F.col("doc_id") % 7).alias("j"), F.expr("doc_id div 4").alias("g"))
+    faq = lambda c: F.concat(F.lit("software-faq-"), c.cast("string"))
+    domain = F.when(F.col("n") % 2 == 0, "software").otherwise("hotel")
+    runs = d.groupBy("g").agg(F.collect_set(faq(F.col("n"))).alias("sources"), F.collect_set(domain).alias("domains"))
+    word = lambda i: F.split_part(F.coalesce("text", F.lit("")), F.lit(" "), F.lit(i))
+    cases = d.select(
+        F.col("doc_id").alias("id"), (F.col("k") != 0).alias("answerable"), domain.alias("expected_route"), F.array(F.concat(F.lit("generic_"), faq(F.col("n") + F.col("j") % 2))).alias("expected_sources"),
+        F.array(F.array(faq(F.col("n") + 1), F.lit("none")), F.array().cast("array<string>")).alias("required_groups"), F.array(F.lit("hotel")).alias("expected_domains"), F.array(F.concat(F.lit("generic_"), faq(F.col("n") + 2))).alias("forbidden_sources"),
+        F.array_compact(F.array(F.concat(word(2), F.lit("!")), F.when(F.col("k") == 3, "NEVER, said"))).alias("required_phrases"), F.when(F.col("j") == 4, F.array(F.concat(F.lit("-"), word(3)))).alias("forbidden_phrases"))
+    x = d.join(runs, "g")
+    retrieved = x.select(F.col("doc_id").alias("id"), F.when(F.col("lang") == "en", "software").otherwise("hotel").alias("route"), "sources", "domains")
+    given = x.select(F.col("doc_id").alias("id"), "text", (F.col("j") == 3).alias("abstained"), (F.col("j") != 2).alias("citations_valid"), F.col("sources").alias("cited_sources"), F.col("domains").alias("cited_domains"))
+    a = evaluation.retrieval_regressions(cases, retrieved).select("id", F.array_join("failures", ";").alias("retrieval"))
+    b = evaluation.answer_regressions(cases, given).select("id", F.array_join("failures", ";").alias("answer"))
+    return a.join(b, "id")
