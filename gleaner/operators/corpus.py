@@ -113,18 +113,20 @@ def normalize(df: DataFrame, root: str = "hotel software", hotel: str = "hotel",
     Documents with an error, as normalization_errors() lists them, are left out.
     """
     df = _with_fields(df)
-    df = df.withColumns({"source_category": source_category(df), "content": clean_lines(F.col("content")), "title": clean_lines(F.coalesce(F.nullif(F.col("title"), F.lit("")), F.col("source_id")))})
+    df = df.withColumns({"source_category": source_category(df), "content": clean_lines(F.col("content")), "title": clean_lines(F.coalesce(F.nullif(F.col("title"), F.lit("")), F.col("source_id"))), "_named": F.coalesce(F.col("title"), F.lit("")) != ""})
     df = df.where((F.col("content") != "") & ~F.contains(F.col("content"), F.lit("\ufffd")))
     df = classify(df).where((F.col("domain") == "software") | F.col("topic").isNotNull())
     top = F.when(F.col("domain") == "software", F.coalesce("software", F.lit(root))).otherwise(F.coalesce("hotel_id", F.lit(hotel)))
     path = lambda c: F.nullif(portable_path(c, folder), F.lit(""))
-    shots = F.concat(F.array(path(F.col("screenshot"))), F.transform(F.coalesce("screenshots", F.array().cast("array<string>")), lambda x: path(x)))
+    more = F.array_compact(F.transform(F.coalesce("screenshots", F.array().cast("array<string>")), lambda x: path(x)))
+    first = path(F.col("screenshot"))
+    shots = F.when(F.coalesce(F.array_contains(more, first), F.lit(True)), more).otherwise(F.concat(F.array(first), more))  # one that is there stays in its place
     return df.withColumns({
-        "breadcrumb": breadcrumb(top, F.col("topic"), F.col("subtopic"), F.col("title"), trail=F.col("breadcrumb")), "content_hash": content_hash(F.col("content")),
-        "source_path": path(F.col("source_path")), "screenshot": path(F.col("screenshot")), "screenshots": F.array_distinct(F.array_compact(shots)),
+        "breadcrumb": breadcrumb(top, F.col("topic"), F.col("subtopic"), F.when(F.col("_named"), F.col("title")), trail=F.col("breadcrumb")), "content_hash": content_hash(F.col("content")),
+        "source_path": path(F.col("source_path")), "screenshot": path(F.col("screenshot")), "screenshots": F.array_distinct(shots),
         "software": F.when(F.col("domain") == "software", F.coalesce("software", F.lit(software))).otherwise(F.col("software")),
         "hotel_id": F.when(F.col("domain") == "hotel", F.coalesce("hotel_id", F.lit(hotel))).otherwise(F.col("hotel_id")),
-    })
+    }).drop("_named")
 
 
 def deduplicate(df: DataFrame, hash_col: str = "content_hash", on_conflict: str = "raise") -> tuple[DataFrame, DataFrame]:
@@ -148,7 +150,9 @@ def deduplicate(df: DataFrame, hash_col: str = "content_hash", on_conflict: str
     ranked_ids = by_id.join(best.select(F.col("d").alias("b_d"), F.col("h").alias("b_h"), F.col("best.i").alias("best")), F.col("r.d").eqNullSafe(F.col("b_d")) & F.col("h").eqNullSafe(F.col("b_h")))
     trace = ranked_ids.where("kept_id <> best").select(F.col("kept_id").alias("dropped_id"), F.col("best").alias("kept_id"), F.col("h").alias("content_hash"))
     winners = ranked_ids.where("kept_id = best").select("kept_id", F.col("h").alias(hash_col), F.col("r").alias("_r"))
-    kept = df.drop(hash_col).join(winners, (F.col("id") == F.col("kept_id")) & rank.eqNullSafe(F.col("_r"))).drop("kept_id", "_r").dropDuplicates(["id"])
+    kept = df.drop(hash_col).join(winners, (F.col("id") == F.col("kept_id")) & rank.eqNullSafe(F.col("_r"))).drop("kept_id", "_r")
+    one = Window.partitionBy("id").orderBy(F.xxhash64(*[F.col(c) for c in df.columns]))  # of rows of one id, hash and rank the same one, whatever their order
+    kept = kept.withColumn("_n", F.row_number().over(one)).where("_n = 1")
     return kept.select(*df.columns), trace
 
 

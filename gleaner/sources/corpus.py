@@ -150,14 +150,16 @@ def without_question(page: Column, question: Column) -> Column:
     return _without_question(page, question)
 
 
-def read_jsonl(spark: SparkSession, path: str, kind: T.StructType | str, checks: Callable[[], dict[str, Column]] | None = None, key: str = "id") -> DataFrame:
+def read_jsonl(spark: SparkSession, path: str, kind: T.StructType | str, checks: Callable[[], dict[str, Column]] | None = None, key: str = "id", required: bool = False) -> DataFrame:
     """Rows of a JSON Lines file, blank lines ignored; with checks, an error names some rows that violate them.
 
-    A path that does not exist gives no rows.
+    A path that does not exist gives no rows; a required one, such as a normalised corpus, is an error then.
     """
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     if not p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
+        if required:
+            raise FileNotFoundError(f"{path} does not exist: make it before it is read")
         return spark.createDataFrame([], kind)
     rows = spark.read.schema(kind).json(path)
     return rows if checks is None else schema.strict(rows, checks(), key)

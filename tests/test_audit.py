@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import pytest
 from pyspark.sql import functions as F
 
-from gleaner.operators import answers, steps
+from gleaner.operators import answers, corpus, steps
+from gleaner.sources import corpus as corpus_source
 
 
 def test_risk_score(spark):
@@ -48,3 +50,22 @@ def test_abstention(spark):
     texts = [f"Désolé. {answers.ABSTENTION}", "Je ne trouve pas cette page. [1]", answers.ABSTENTION.lower()]
     x = spark.createDataFrame([(i, 2, t) for i, t in enumerate(texts)], "doc_id int, n_hits int, answer string")
     assert [r["decision"] for r in answers.gate(x).orderBy("doc_id").collect()] == ["abstain", "supported", "invalid_citation"]
+
+
+def test_screenshots_titles_and_ties(spark):
+    """A screenshot that is listed stays in its place; an empty title is not in the breadcrumb; of equal rows one is taken, the same in any order."""
+    kind = "id string, title string, content string, domain string, topic string, subtopic string, source_type string, source_id string, authority string, status string, language string, screenshot string, screenshots array<string>"
+    row = ("a", "", "Un texte.", "hotel", "payments", None, "internal_sop", "src", "official", "verified", "fr", "b.png", ["a.png", "b.png"])
+    rows = [row, ("b", "Titre", *row[2:11], "c.png", ["a.png", None, "a.png"]), ("c", "T", *row[2:11], None, ["x.png"])]
+    got = {r["id"]: r for r in corpus.normalize(spark.createDataFrame(rows, kind)).collect()}
+    assert [x.split("/")[-1] for x in got["a"]["screenshots"]] == ["a.png", "b.png"] and [x.split("/")[-1] for x in got["b"]["screenshots"]] == ["c.png", "a.png"] and len(got["c"]["screenshots"]) == 1
+    assert "src" not in got["a"]["breadcrumb"] and got["b"]["breadcrumb"].endswith("> Titre") and got["a"]["title"] == "src"
+    twice = [(*row[:2], content, *row[3:]) for content in ("Un texte.", "un  TEXTE", "UN texte !")]
+    kept = {corpus.deduplicate(corpus.normalize(spark.createDataFrame(x, kind).repartition(3)))[0].select("content").collect()[0][0] for x in (twice, twice[::-1], twice[1:] + twice[:1])}
+    assert len(kept) == 1
+
+
+def test_required_corpus(spark, tmp_path):
+    assert corpus_source.read_jsonl(spark, f"{tmp_path}/none", "id string").count() == 0
+    with pytest.raises(FileNotFoundError):
+        corpus_source.read_jsonl(spark, f"{tmp_path}/none", "id string", required=True)
