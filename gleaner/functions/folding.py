@@ -102,8 +102,13 @@ def casefold(c: Column) -> Column:
     return F.replace(F.lower(c), F.lit("ß"), F.lit("ss"))
 
 
+#: The same characters, one by one.
+_SPACES = "".join(c for c in map(chr, range(0x10000)) if c.isspace())
+
+
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, rf"^{SPACE}+|{SPACE}+$", "")
+    """Without white space at both ends; only the ends are read."""
+    return F.btrim(c, F.lit(_SPACES))
 
 
 def squeeze(c: Column) -> Column:

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
+from collections.abc import Sequence
+from itertools import accumulate
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -160,48 +164,74 @@ def id_conflicts(df: DataFrame, hash_col: str = "content_hash") -> DataFrame:
     return df.groupBy("id").agg(F.min(hash_col).alias("a"), F.max(hash_col).alias("b")).where("a <> b").select("id")
 
 
-def pack(parts: Column, most: int, glue: str) -> Column:
-    """Neighbouring parts joined greedily while the result has at most `most` characters."""
+def packed(parts: Sequence[str], most: int, glue: str) -> list[str]:
+    """Neighbouring parts joined greedily while the result has at most `most` characters; a longer part stays whole.
+
+    With the sums of the lengths up to each part, the end of a run is found by binary search from its start,
+    so each result costs one search and one join.
+    """
     n = len(glue)
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.array().cast("array<string>").alias("open"), F.lit(0).alias("size"))
+    ends = list(accumulate(len(p) + n for p in parts))
+    out, i, before = [], 0, 0
+    while i < len(ends):
+        j = max(i + 1, bisect_right(ends, before + most + n, i))
+        out.append(glue.join(parts[i:j]))
+        i, before = j, ends[j - 1]
+    return out
+
+
+def pack(parts: Column, most: int, glue: str) -> Column:
+    """packed() of an array of texts; null of null."""
 
-    def add(acc: Column, p: Column) -> Column:
-        full = (F.size(acc["open"]) > 0) & (acc["size"] + n + F.length(p) > most)
-        return F.struct(
-            F.when(full, F.array_append(acc["done"], F.array_join(acc["open"], glue))).otherwise(acc["done"]).alias("done"),
-            F.when(full, F.array(p)).otherwise(F.array_append(acc["open"], p)).alias("open"),
-            F.when(full | (F.size(acc["open"]) == 0), F.length(p)).otherwise(acc["size"] + n + F.length(p)).alias("size"),
-        )
+    @F.pandas_udf(T.ArrayType(T.StringType()))
+    def run(rows: pd.Series) -> pd.Series:
+        return rows.map(lambda x: packed(list(x), most, glue), na_action="ignore")
 
-    return F.aggregate(parts, start, add, lambda acc: F.when(F.size(acc["open"]) > 0, F.array_append(acc["done"], F.array_join(acc["open"], glue))).otherwise(acc["done"]))
+    return run(parts)
+
+
+def _split_sentences(text: Column) -> Column:
+    return F.filter(F.split(F.trim(text), r"(?<=[.!?;:])\s+"), lambda s: s != "")
 
 
 def sentences(text: Column, most: int) -> Column:
-    return pack(F.filter(F.split(F.trim(text), r"(?<=[.!?;:])\s+"), lambda s: s != ""), most, " ")
+    return pack(_split_sentences(text), most, " ")
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _packed_paragraphs(rows: pd.Series, limits: pd.Series) -> pd.Series:
+    def one(paragraphs, most: int) -> list[str]:
+        return packed([f for p in paragraphs for f in packed(list(p), most, " ")], most, "\n\n")
 
+    return pd.Series([None if x is None else one(x, int(m)) for x, m in zip(rows, limits, strict=True)], dtype=object)
 
-def structural_parts(content: Column, most: int) -> Column:
+
+def structural_parts(content: Column, most: Column) -> Column:
+    """Paragraphs packed to `most` characters, longer ones by their sentences before; null of null, an empty array of blank text."""
     paragraphs = F.filter(F.transform(F.split(content, r"\n\s*\n"), lambda p: F.regexp_replace(p, r"^\s+|\s+$", "")), lambda p: p != "")
-    atomic = F.flatten(F.transform(paragraphs, lambda p: F.when(F.length(p) <= most, F.array(p)).otherwise(sentences(p, most))))
-    parts = pack(atomic, most, "\n\n")
-    return F.when(F.size(parts) > 0, parts).otherwise(F.array(content))
+    return _packed_paragraphs(F.transform(paragraphs, lambda p: F.when(F.length(p) <= most, F.array(p)).otherwise(_split_sentences(p))), most)
 
 
 def chunk(df: DataFrame, limits: dict[str, int] = LIMITS) -> DataFrame:
-    """Chunks of documents by their type's limit; other types, and what fits, stay whole under their id."""
-    parts = F.array(F.col("content"))
-    for kind, most in limits.items():
-        parts = F.when((F.col("source_type") == kind) & (F.length("content") > most), structural_parts(F.col("content"), most)).otherwise(parts)
-    out = df.withColumn("_parts", parts).select("*", F.posexplode("_parts").alias("_i", "_part"))
-    split = F.size("_parts") > 1
+    """Chunks of documents by their type's limit; other types, and what fits, stay whole under their id.
+
+    Only texts that are split cross over to Python. A chunk's row carries neither its document's text nor the
+    other chunks, so the rows of a document take as much room as the document.
+    """
+    most = F.create_map(*[F.lit(x) for kv in limits.items() for x in kv])[F.col("source_type")]
+    made = structural_parts(F.when(F.length("content") > most, F.col("content")), most)
+    parts = df.withColumn("_parts", F.when(F.size(made) > 0, made).otherwise(F.array("content")))
+    rest = [c for c in df.columns if c != "content"]
+    out = parts.select(*rest, F.size("_parts").alias("_n"), "_parts").select(*rest, "_n", F.posexplode_outer("_parts").alias("_i", "content"))  # outer: no filter is inferred that packs a second time
+    split = F.col("_n") > 1
     cols = {
-        "parent_document_id": F.col("id"), "chunk_index": (F.col("_i") + 1).cast("int"), "chunk_count": F.size("_parts"),
-        "content_hash": chunk_hash(F.col("_part")), "content": F.col("_part"),
+        "parent_document_id": F.col("id"), "chunk_index": (F.col("_i") + 1).cast("int"), "chunk_count": F.col("_n"), "content_hash": chunk_hash(F.col("content")),
         "id": F.when(split, stable_id(F.col("source_id"), F.concat(F.col("id"), F.lit(":chunk:"), F.col("_i") + 1))).otherwise(F.col("id")),
     }
     if "breadcrumb" in df.columns:
-        cols["breadcrumb"] = F.when(split, F.concat("breadcrumb", F.lit(" > partie "), F.col("_i") + 1, F.lit("/"), F.size("_parts"))).otherwise(F.col("breadcrumb"))
-    return out.withColumns(cols).drop("_i", "_part", "_parts")
+        cols["breadcrumb"] = F.when(split, F.concat("breadcrumb", F.lit(" > partie "), F.col("_i") + 1, F.lit("/"), F.col("_n"))).otherwise(F.col("breadcrumb"))
+    made = out.withColumns(cols)
+    return made.select(*df.columns, *[c for c in made.columns if c not in df.columns and c not in ("_i", "_n")])
 
 
 def nearest_rank(df: DataFrame, value: str, ratios: dict[str, float], by: tuple[str, ...] = ()) -> DataFrame:

@@ -174,13 +174,6 @@ def ag3_normalization_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.normalization_report(h.drop("content_hash"), kept, trace)
 
 
-@query()
-def ag4_chunk_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """AG4, FI12."""
-    c = canonical(spark, sf_dir)
-    return corpus.chunk_report(c, corpus.chunk(c))
-
-
 @query(f"WITH {CANON} SELECT source_id AS id, count(*) AS n FROM canon GROUP BY source_id HAVING count(*) > 1")
 def ag4_duplicate_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.duplicate_ids(canonical(spark, sf_dir).select(F.col("source_id").alias("id")))
@@ -249,12 +242,46 @@ def jo4_taxonomy_membership(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.groupBy("domain", "topic").agg(F.count(F.lit(1)).alias("n"), F.count_if(~corpus.in_taxonomy(F.col("domain"), F.col("topic"))).alias("unknown"))
 
 
-@query()
+# chunks as recursive walks: over the sentences of long paragraphs, then over the fragments of a document
+CHUNKS = f"""{CANON},
+limited AS (SELECT *, CASE source_type WHEN 'official_doc' THEN 2400 WHEN 'internal_sop' THEN 3200 END AS most FROM canon),
+para AS (SELECT id, most, unnest(p) AS p, generate_subscripts(p, 1) AS k FROM (
+  SELECT id, most, list_filter(list_transform(string_split(regexp_replace(content, '\\n\\s*\\n', chr(2), 'g'), chr(2)), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> '') AS p FROM limited WHERE len(content) > most)),
+sent AS (SELECT id, most, k, unnest(s) AS s, generate_subscripts(s, 1) AS i FROM (
+  SELECT id, most, k, CASE WHEN len(p) <= most THEN [p] ELSE list_filter(string_split(regexp_replace(trim(p), '([.!?;:])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda s: s <> '') END AS s FROM para)),
+w1 AS (
+  SELECT id, most, k, i, s, 1 AS part, CAST(len(s) AS BIGINT) AS size FROM sent WHERE i = 1
+  UNION ALL
+  SELECT n.id, n.most, n.k, n.i, n.s, CASE WHEN size + 1 + len(n.s) > n.most THEN part + 1 ELSE part END, CASE WHEN size + 1 + len(n.s) > n.most THEN len(n.s) ELSE size + 1 + len(n.s) END
+  FROM w1 JOIN sent n ON n.id = w1.id AND n.k = w1.k AND n.i = w1.i + 1),
+frag AS (SELECT id, most, f, row_number() OVER (PARTITION BY id ORDER BY k, part) AS j FROM (SELECT id, most, k, part, string_agg(s, ' ' ORDER BY i) AS f FROM w1 GROUP BY ALL)),
+w2 AS (
+  SELECT id, most, j, f, 1 AS part, CAST(len(f) AS BIGINT) AS size FROM frag WHERE j = 1
+  UNION ALL
+  SELECT n.id, n.most, n.j, n.f, CASE WHEN size + 2 + len(n.f) > n.most THEN part + 1 ELSE part END, CASE WHEN size + 2 + len(n.f) > n.most THEN len(n.f) ELSE size + 2 + len(n.f) END
+  FROM w2 JOIN frag n ON n.id = w2.id AND n.j = w2.j + 1),
+parts AS (SELECT id, part, string_agg(f, chr(10) || chr(10) ORDER BY j) AS text, count(*) OVER (PARTITION BY id) AS parts FROM w2 GROUP BY id, part),
+chunks AS (
+  SELECT CASE WHEN parts > 1 THEN substring(sha1(source_id || '::' || c.id || ':chunk:' || part), 1, 16) ELSE c.id END AS id, c.id AS parent_document_id, source_type, CAST(coalesce(part, 1) AS INTEGER) AS chunk_index,
+    CAST(coalesce(parts, 1) AS INTEGER) AS chunk_count, coalesce(p.text, content) AS content FROM limited c LEFT JOIN parts p ON p.id = c.id)"""
+
+
+@query(f"WITH RECURSIVE {CHUNKS} SELECT id, parent_document_id, chunk_index, chunk_count, CAST(len(content) AS INTEGER) AS n_chars, sha256(regexp_replace(replace(lower(content), 'ß', 'ss'), '^\\s+|\\s+$', '', 'g')) AS content_hash FROM chunks")
 def ch3_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """CH2 to CH5."""
     return corpus.chunk(canonical(spark, sf_dir)).select("id", "parent_document_id", "chunk_index", "chunk_count", F.length("content").alias("n_chars"), "content_hash")
 
 
+@query(f"""WITH RECURSIVE {CHUNKS}, c AS (
+  SELECT source_type, count(*) AS chunks, count(DISTINCT CASE WHEN chunk_count > 1 THEN parent_document_id END) AS split_documents, count_if(len(content) > CASE source_type WHEN 'official_doc' THEN 2400 WHEN 'internal_sop' THEN 3200 ELSE 1 << 30 END)::BIGINT AS long_chunks,
+    count_if(source_type = 'qa' AND NOT (chunk_count = 1 AND contains(content, 'Question :') AND contains(content, 'Reponse :')))::BIGINT AS broken_qa FROM chunks GROUP BY source_type)
+SELECT source_type, d.documents, c.chunks, c.split_documents, c.long_chunks, c.broken_qa, c.chunks < d.documents AS lost FROM (SELECT source_type, count(*) AS documents FROM canon GROUP BY source_type) d JOIN c USING (source_type)""")
+def ag4_chunk_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AG4, FI12."""
+    c = canonical(spark, sf_dir)
+    return corpus.chunk_report(c, corpus.chunk(c))
+
+
 # a recursive walk over the sentences, one by one, as the packing is defined
 @query(f"""
 WITH RECURSIVE {CANON},
@@ -268,7 +295,7 @@ SELECT id, CAST(part AS INTEGER) AS part, max(size) AS size FROM walk GROUP BY i
 def ch2_sentence_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """CH2: official documents without blank lines that exceed the limit, packed by sentences."""
     c = canonical(spark, sf_dir).where((F.col("source_type") == "official_doc") & (F.length("content") > 2400) & ~F.col("content").rlike(r"\n\s*\n"))
-    return c.select("id", F.posexplode(corpus.sentences(F.col("content"), 2400)).alias("i", "p")).select("id", (F.col("i") + 1).cast("int").alias("part"), F.length("p").cast("bigint").alias("size"))
+    return c.select("id", F.posexplode_outer(corpus.sentences(F.col("content"), 2400)).alias("i", "p")).where("p IS NOT NULL").select("id", (F.col("i") + 1).cast("int").alias("part"), F.length("p").cast("bigint").alias("size"))
 
 
 @query(f"""

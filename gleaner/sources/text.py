@@ -53,7 +53,7 @@ def section_lines(docs: DataFrame, heading: str, key: str = "source_id", text: s
 
 def documents(parts: DataFrame, most: int = BLOCK_LIMIT, key: str = "source_id") -> DataFrame:
     """Sections packed into documents of at most `most` characters; a block is never cut."""
-    out = parts.select(key, "section", "heading", F.posexplode(pack(F.col("blocks"), most, "\n")).alias("i", "content"))
+    out = parts.select(key, "section", "heading", F.posexplode_outer(pack(F.col("blocks"), most, "\n")).alias("i", "content")).where("content IS NOT NULL")
     where = F.concat_ws("::", F.coalesce("heading", F.lit("")), F.concat(F.lit("part "), F.col("i") + 1))
     return out.withColumns({"id": stable_id(F.col(key), F.concat(F.col("section"), F.lit(":"), where)), "breadcrumb": F.concat_ws(" > ", key, "heading"), "part": F.col("i") + 1}).drop("i")
 
