@@ -9,8 +9,9 @@ from gleaner.functions.folding import calibration_tokens, label_tokens
 from gleaner.functions.text import same_prefix, token_f1
 from gleaner.operators import evaluation, review, steps
 from gleaner.plans.canon import CANON, canonical
-from gleaner.plans.registry import query, table
+from gleaner.plans.registry import query, scratch, table
 from gleaner.plans.step_queries import STEPS, _steps
+from gleaner.streaming import resumable
 
 _list = lambda xs: "[" + ", ".join("'" + x.replace("'", "''") + "'" for x in xs) + "]"
 pick = lambda xs, n: F.element_at(F.array(*[F.lit(x) for x in xs]), (n % len(xs) + 1).cast("int"))
@@ -450,6 +451,17 @@ def jo24_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.select("conv_id", "turn", F.col("verdict").isNotNull().alias("again"))
 
 
+@query("SELECT conv_id, turn, max(len(text)) AS score FROM conversations GROUP BY conv_id, turn")
+def jo24_resumable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JO24, TK8: every turn judged once by a stage that keeps a checkpoint; its files are dealt over four batches and the stage is started twice."""
+    root = scratch(spark, "resumable")
+    table(spark, sf_dir, "conversations").select("conv_id", "turn", "text").repartition(8, "conv_id", "turn").write.parquet(f"{root}/items")
+    judge = lambda d: d.select("conv_id", "turn", F.length("text").cast("bigint").alias("score"))
+    for _ in range(2):  # the second start finds nothing to do
+        out = resumable.run(spark, f"{root}/items", "conv_id bigint, turn bigint, text string", judge, f"{root}/out", ("conv_id", "turn"), files_per_batch=2)
+    return out
+
+
 CHECKS = """
 runs AS (SELECT conv_id AS id, count(*) AS n, string_agg(text, ' ' ORDER BY turn) AS answer, conv_id % 4 = 0 AS abstained, conv_id % 5 = 0 AS expect_abstention, conv_id % 3 <> 0 AS citations_valid, conv_id % 7 <> 0 AS hotel, conv_id % 2 = 0 AS need_video, conv_id % 6 = 0 AS video, conv_id % 12 = 0 AS evidence FROM conversations GROUP BY conv_id),
 failed AS (SELECT id, list_filter([CASE WHEN expect_abstention AND NOT abstained THEN 'abstention' END, CASE WHEN NOT expect_abstention AND abstained THEN 'abstained' END, CASE WHEN NOT expect_abstention AND NOT citations_valid THEN 'citation' END, CASE WHEN NOT expect_abstention AND NOT hotel THEN 'domains:hotel' END,
