@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gleaner import schema
-from gleaner.functions.folding import ascii_key_of, topic_key
+from gleaner.functions.folding import ascii_key_of, strip, topic_key
 from gleaner.functions.text import first_match, stable_id
 from gleaner.operators import corpus
 from gleaner.sources import html, records
@@ -127,27 +127,61 @@ def clean_page(c: Column) -> Column:
     return _clean_page(c)
 
 
+#: Fixed value: how much of two keys must agree for one to be the other again.
+SAME_QUESTION = 0.72
+
+
 @F.pandas_udf(T.StringType())
-def _without_question(pages: pd.Series, questions: pd.Series) -> pd.Series:
+def _plain_key(texts: pd.Series) -> pd.Series:
     import html as entities
+
+    return texts.map(lambda t: ascii_key_of(entities.unescape(t)), na_action="ignore")
+
+
+@F.pandas_udf(T.BooleanType())
+def _alike(a: pd.Series, b: pd.Series) -> pd.Series:
     from difflib import SequenceMatcher
 
-    def one(page: str | None, question: str | None) -> str | None:
-        if page is None:
-            return None
-        lines = page.split("\n")
-        first = next((i for i, x in enumerate(lines) if x), len(lines))
-        end = next((i for i in range(first, len(lines)) if not lines[i]), len(lines))
-        a, b = ascii_key_of(entities.unescape(" ".join(lines[first:end]))), ascii_key_of(entities.unescape(question or ""))
-        same = bool(a and b) and (a in b or b in a or SequenceMatcher(None, a, b).ratio() >= 0.72)
-        return "\n".join(lines[end if same else first :]).strip()
+    return pd.Series([None if x is None or y is None else SequenceMatcher(None, x, y).ratio() >= SAME_QUESTION for x, y in zip(a, b, strict=True)], dtype=object)
+
+
+def _first_paragraph(page: Column) -> tuple[Column, Column]:
+    """(the first paragraph, what begins with it): leading line feeds are passed over."""
+    body = F.ltrim(page, F.lit("\n"))
+    return F.split_part(body, F.lit("\n\n"), F.lit(1)), body
 
-    return pd.Series([one(p, q) for p, q in zip(pages, questions, strict=True)], dtype=object)
+
+def _repeats(a: Column, b: Column) -> tuple[Column, Column]:
+    """(sure, doubt) of two keys: sure where one lies in the other; doubt where only the exact matcher can tell.
+
+    The gestalt ratio is 2 m / (length of both), where m, the letters that match, is at most the shorter length
+    and at most the letters that both have in common. Keys made unlike by either bound are decided here. Keys are
+    lower-case letters, digits and spaces, so 37 counts tell what they have in common.
+    """
+    some = (a != "") & (b != "")
+    sure = some & (F.contains(a, b) | F.contains(b, a))
+    least = (F.length(a) + F.length(b)) * SAME_QUESTION / 2 - 1e-6
+    count = lambda c, x: F.length(c) - F.length(F.replace(c, F.lit(x)))
+    shared = sum((F.least(count(a, x), count(b, x)) for x in "bcdefghijklmnopqrstuvwxyz0123456789 "), F.least(count(a, "a"), count(b, "a")))
+    doubt = some & ~sure & F.when(F.least(F.length(a), F.length(b)) < least, False).otherwise(shared >= least)
+    return F.coalesce(sure, F.lit(False)), F.coalesce(doubt, F.lit(False))
+
+
+def undecided_question(page: Column, question: Column) -> Column:
+    """True where length and letters leave open whether a page begins with its question."""
+    return _repeats(_plain_key(_first_paragraph(page)[0]), _plain_key(F.coalesce(question, F.lit(""))))[1]
 
 
 def without_question(page: Column, question: Column) -> Column:
-    """A page without its first paragraph, if that is the question again: alike to 0.72, or one inside the other."""
-    return _without_question(page, question)
+    """A page without its first paragraph, if that is the question again: alike to 0.72, or one inside the other.
+
+    Only pairs that are undecided by bounds reach the exact matcher. A null page stays null; a null question is empty.
+    """
+    first, body = _first_paragraph(page)
+    a, b = _plain_key(first), _plain_key(F.coalesce(question, F.lit("")))
+    sure, doubt = _repeats(a, b)
+    same = sure | F.coalesce(_alike(F.when(doubt, a), F.when(doubt, b)), F.lit(False))
+    return strip(F.when(same, F.substring(body, F.length(first) + 1, F.length(body))).otherwise(body))
 
 
 def read_jsonl(spark: SparkSession, path: str, kind: T.StructType | str, checks: Callable[[], dict[str, Column]] | None = None, key: str = "id", required: bool = False) -> DataFrame:
