@@ -456,9 +456,10 @@ def jo24_resumable(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JO24, TK8: every turn judged once by a stage that keeps a checkpoint; its files are dealt over four batches and the stage is started twice."""
     root = scratch(spark, "resumable")
     table(spark, sf_dir, "conversations").select("conv_id", "turn", "text").repartition(8, "conv_id", "turn").write.parquet(f"{root}/items")
+    files = len(spark.read.parquet(f"{root}/items").inputFiles())
     judge = lambda d: d.select("conv_id", "turn", F.length("text").cast("bigint").alias("score"))
     for _ in range(2):  # the second start finds nothing to do
-        out = resumable.run(spark, f"{root}/items", "conv_id bigint, turn bigint, text string", judge, f"{root}/out", ("conv_id", "turn"), files_per_batch=2)
+        out = resumable.run(spark, f"{root}/items", "conv_id bigint, turn bigint, text string", judge, f"{root}/out", ("conv_id", "turn"), files_per_batch=-(-files // 4))
     return out
 
 
