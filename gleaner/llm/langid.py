@@ -18,9 +18,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gleaner.llm.shared import by_bytes
+
 BITS, ORDERS = 16, (1, 2, 3)
 #: Characters that are turned into n-grams at once; longer texts are summed over such pieces.
-PIECE = 1 << 19
+PIECE = 1 << 17
 #: Documents of each language that fit the weights, and that fit the temperature.
 FIT_DOCS, CALIBRATE_DOCS = 600, 200
 EPOCHS, ALPHA, BETA, L1, L2, SCALE = 4, 0.5, 1.0, 1e-4, 1e-3, 20.0
@@ -147,12 +149,12 @@ def ftrl(rows: list[tuple[np.ndarray, np.ndarray, int]], classes: int) -> tuple[
 def _document_frequencies(docs: DataFrame, text_col: str) -> tuple[np.ndarray, int]:
     """Over all rows: the documents with each n-gram, and the documents with any."""
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df, n = np.zeros(1 << BITS, np.int64), 0
         for batch in batches:
-            for i in range(0, len(batch), 512):
+            for some in by_bytes(batch.column(0)):
                 seen: dict[int, np.ndarray] = {}
-                for own, hashed, starts in pieces(batch["text"].iloc[i : i + 512].tolist()):
+                for own, hashed, starts in pieces(batch.column(0)[some].to_pylist()):
                     bounds = np.append(starts, len(hashed[0]))
                     for k, d in enumerate(own):
                         mark = seen.setdefault(int(d), np.zeros(1 << BITS, bool)) if k in (0, len(own) - 1) else np.zeros(1 << BITS, bool)
@@ -165,11 +167,11 @@ def _document_frequencies(docs: DataFrame, text_col: str) -> tuple[np.ndarray, i
                     df[np.flatnonzero(mark)] += 1
                     n += 1
         at = np.flatnonzero(df)
-        yield pd.DataFrame({"j": np.append(at, -1), "n": np.append(df[at], n)})
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1).astype(np.int32)), pa.array(np.append(df[at], n))], ["j", "n"])
 
     # tasks as the cluster has cores, not as the input has blocks: each gives a row for each n-gram
     few = docs.select(F.col(text_col).alias("text")).coalesce(4 * docs.sparkSession.sparkContext.defaultParallelism)
-    total = few.mapInPandas(count, "j int, n long").groupBy("j").agg(F.sum("n").alias("n"))
+    total = few.mapInArrow(count, "j int, n long").groupBy("j").agg(F.sum("n").alias("n"))
     df, n = np.zeros(1 << BITS, np.int64), 0
     for r in total.toLocalIterator():  # 2**BITS + 1 rows at most
         if r["j"] < 0:
@@ -261,10 +263,10 @@ def predict(docs: DataFrame, model: Model | None, text_col: str = "text") -> Dat
     at = names.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # rows go through as they are, so neither side holds a batch of texts more than once
+        # rows go through as they are, a few at a time, so neither side holds a batch of texts more than once
         for batch in batches:
-            for i in range(0, len(batch), 512):
-                some = batch.slice(i, 512)
+            for own in by_bytes(batch.column(at)):
+                some = batch[own]
                 p = shared.value.predict(some.column(at).to_pylist())
                 made = [pa.array(p["lang_pred"].tolist(), pa.string()), pa.array(p["score"].to_numpy(np.float64))]
                 yield pa.RecordBatch.from_arrays([*some.columns, *made], names)

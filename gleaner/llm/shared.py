@@ -8,6 +8,8 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -77,6 +79,17 @@ def by_size(texts: Sequence[str | None], most: int = 1 << 20) -> Iterator[slice]
         yield slice(start, len(texts))
 
 
+def by_bytes(texts: pa.Array, most: int = 1 << 18) -> Iterator[slice]:
+    """by_size() for a column of an Arrow batch, by bytes; unused memory is given back at its end."""
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
+    start, before = 0, 0
+    while start < len(sizes):
+        end = min(int(np.searchsorted(sizes, before + most)) + 1, len(sizes))
+        yield slice(start, end)
+        start, before = end, int(sizes[end - 1])
+    pa.default_memory_pool().release_unused()
+
+
 def whole_groups(batches: Iterator[pd.DataFrame], by: list[str]) -> Iterator[tuple[pd.DataFrame, np.ndarray]]:
     """Frames of whole groups, and the first row of each, from rows that come sorted by the columns `by`."""
     kept: list[pd.DataFrame] = []  # the last group so far
