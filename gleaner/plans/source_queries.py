@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.plans.registry import query, table
-from gleaner.sources import corpus, html, records, text
+from gleaner.plans.registry import query, scratch, table
+from gleaner.sources import corpus, folder, html, records, text
+from gleaner.sources.snapshot import put
 
 SHORT = "^.{1,40}$"
 
@@ -166,9 +169,26 @@ def ag18_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.withColumn("missing", F.greatest(F.lit(0), 120 - F.col("documents")))
 
 
-@query("SELECT source_type, count(*) AS n FROM (SELECT 'qa' AS source_type FROM conversations WHERE turn = 0 UNION ALL SELECT 'official_doc' FROM pages UNION ALL SELECT 'video' FROM events UNION ALL SELECT 'internal_sop' FROM documents) GROUP BY source_type")
+@query("SELECT source_type, count(*) AS n FROM (SELECT 'qa' AS source_type FROM conversations UNION ALL SELECT 'official_doc' FROM pages UNION ALL SELECT 'video' FROM events UNION ALL SELECT 'internal_sop' FROM documents) GROUP BY source_type")
 def so1_load_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SC1, SC3, SO1: four sources in one schema."""
     part = lambda name, kind, key, content: table(spark, sf_dir, name).select(F.concat(F.lit(kind), key).alias("id"), F.col(content).alias("content"), F.lit(kind).alias("source_type"))
-    c = table(spark, sf_dir, "conversations").where("turn = 0").select(F.concat(F.lit("qa"), "conv_id").alias("id"), F.col("text").alias("content"), F.lit("qa").alias("source_type"))
+    c = table(spark, sf_dir, "conversations").select(F.concat(F.lit("qa"), "conv_id", F.lit(":"), "turn").alias("id"), F.col("text").alias("content"), F.lit("qa").alias("source_type"))
     return corpus.load_all(c, part("pages", "official_doc", "page_id", "html"), part("events", "video", "event_id", "props"), part("documents", "internal_sop", "doc_id", "text")).groupBy("source_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""
+WITH d AS (SELECT source, len(list_filter(list_transform(string_split_regex(coalesce(text, ''), '\\r?\\n'), lambda x: trim(x)), lambda x: x <> '')) AS n FROM documents)
+SELECT source, CAST(1 AS BIGINT) AS listed, CAST(sum(n) AS BIGINT) AS n_lines FROM d GROUP BY source HAVING sum(n) > 0""")
+def sc4_folder_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SC4 to SC6, SC14: documents written as text files of their sources, the first file of each in a manifest, read as a folder and parsed."""
+    root = scratch(spark, "folder")
+    table(spark, sf_dir, "documents").select("source", "text").write.partitionBy("source").option("maxRecordsPerFile", 1000).text(root)
+    first: dict[str, str] = {}
+    for path in folder.paths(root):  # names of files, not their texts
+        first.setdefault(path.partition("/")[0], path)
+    put(spark, f"{root}/_sources.yaml", json.dumps({"sources": {p: {"source_id": s, "status": "verified"} for s, p in first.items()}}).encode())
+    found = folder.read_folder(spark, root)
+    lines = corpus.parse_files(found.select(F.struct("rel_path", "status").alias("source_id"), "suffix", "text"))
+    own = lines.select(F.nullif(F.regexp_extract("source_id.rel_path", "^source=([^/]*)/", 1), F.lit("__HIVE_DEFAULT_PARTITION__")).alias("source"), (F.col("source_id.status") == "verified").alias("v"), F.size("blocks").alias("n"))
+    return own.groupBy("source").agg(F.count_if("v").alias("listed"), F.sum("n").alias("n_lines"))
