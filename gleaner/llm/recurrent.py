@@ -80,7 +80,7 @@ class Weights:
         near the range of 32 bits.
         """
         p, cuts = self.p, self.cuts
-        cls = np.searchsorted(cuts, targets, "right") - 1
+        cls = np.repeat(np.arange(len(cuts) - 1, dtype=np.uint8), np.diff(cuts))[targets]  # small numbers are sorted by counting
         a = hs @ p["class_w"] + p["class_b"]
         out = a[np.arange(len(hs)), cls]
         e = np.exp(a, out=a)
@@ -93,7 +93,7 @@ class Weights:
             later += [("class_w", slice(None), hs.T @ e), ("class_b", slice(None), e.sum(0))]
             back = e @ p["class_w"].T
         order = np.argsort(cls, kind="stable")
-        bounds = np.searchsorted(cls[order], np.arange(len(cuts)))
+        bounds = np.concatenate(([0], np.cumsum(np.bincount(cls, minlength=len(cuts) - 1))))
         for c in np.flatnonzero(np.diff(bounds)).tolist():
             at, own = order[bounds[c] : bounds[c + 1]], slice(cuts[c], cuts[c + 1])
             if own.stop - own.start == 1:
@@ -206,19 +206,24 @@ def train(w: Weights, tokens: np.ndarray, lengths: np.ndarray, rate: float = RAT
         _, back[active] = w.log_probs(hs[active], x[active], learn)
         dx, dg = np.empty((steps, k, 3 * k1), np.float32), np.empty((steps, k, 3 * k1), np.float32)
         dh, u = np.zeros((k, k1), np.float32), np.ascontiguousarray(w.p["u"].T)
+        r, z, c, hu = (np.stack(g) for g in zip(*gates, strict=True))
+        keep = 1 - z
+        to_c, to_z, to_r = z * (1 - c * c), (c - prev) * z * keep, hu * r * (1 - r)
         for t in range(steps - 1, -1, -1):
-            r, z, c, hu = gates[t]
-            dh = dh + back[t]
-            dc, dz = dh * z * (1 - c * c), dh * (c - prev[t]) * z * (1 - z)
-            dx[t, :, :k1], dx[t, :, k1 : 2 * k1], dx[t, :, 2 * k1 :] = dc * hu * r * (1 - r), dz, dc
-            dg[t] = dx[t]
-            dg[t, :, 2 * k1 :] *= r
-            dh = dh * (1 - z) + dg[t] @ u
+            dh += back[t]
+            own = dx[t]
+            dc = np.multiply(dh, to_c[t], out=own[:, 2 * k1 :])
+            np.multiply(dh, to_z[t], out=own[:, k1 : 2 * k1])
+            np.multiply(dc, to_r[t], out=own[:, :k1])
+            dg[t, :, : 2 * k1] = own[:, : 2 * k1]
+            np.multiply(dc, r[t], out=dg[t, :, 2 * k1 :])
+            dh *= keep[t]
+            dh += dg[t] @ u
             if new[t]:
-                dh = np.where(first[t][:, None], np.float32(0), dh)
+                dh[first[t]] = 0
         learn("u", slice(None), prev.reshape(-1, k1).T @ dg.reshape(-1, 3 * k1))
         flat = inputs.ravel()
-        order = np.argsort(flat, kind="stable")
+        order = np.argsort(flat.astype(np.uint16) if w.size < 1 << 16 else flat, kind="stable")  # of 16 bits, sorted by counting
         at = np.flatnonzero(np.concatenate(([True], flat[order][1:] != flat[order][:-1])))
         learn("embed", flat[order][at], np.add.reduceat(dx.reshape(-1, 3 * k1)[order], at, axis=0))
     return w
