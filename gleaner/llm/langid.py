@@ -257,21 +257,21 @@ def predict(docs: DataFrame, model: Model | None, text_col: str = "text") -> Dat
     if model is None:
         return docs.withColumns({"lang_pred": F.lit(UNDETERMINED), "score": F.lit(0.0)})
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 2**BITS values a language
-    kept = docs.drop("lang_pred", "score")
-    kind = T.StructType([*kept.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    names = [*kept.columns, "lang_pred", "score"]
-    at = names.index(text_col)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # rows go through as they are, a few at a time, so neither side holds a batch of texts more than once
+    @F.arrow_udf(T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        # texts come alone, and only what is made of them goes back: the rows stay in Spark
         for batch in batches:
-            for own in by_bytes(batch.column(at)):
-                some = batch[own]
-                p = shared.value.predict(some.column(at).to_pylist())
-                made = [pa.array(p["lang_pred"].tolist(), pa.string()), pa.array(p["score"].to_numpy(np.float64))]
-                yield pa.RecordBatch.from_arrays([*some.columns, *made], names)
+            lang, score = [], []
+            for some in by_bytes(batch):
+                p = shared.value.predict(batch[some].to_pylist())
+                lang += p["lang_pred"].tolist()
+                score.append(p["score"].to_numpy(np.float64))
+            yield pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(np.concatenate(score) if score else [], pa.float64())], ["lang_pred", "score"])
 
-    return kept.mapInArrow(run, kind)
+    kept = docs.drop("lang_pred", "score")
+    made = kept.select("*", run.asNondeterministic()(F.col(text_col)).alias("lang_pred"))  # once a row, whatever is asked of it
+    return made.select(*kept.columns, F.col("lang_pred.lang_pred"), F.col("lang_pred.score"))
 
 
 def fold(id_col: str, of: int) -> Column:

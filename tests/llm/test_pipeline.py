@@ -103,3 +103,18 @@ def test_near_dedup_brute_force(spark):
         best[g] = min(i, best.get(g, i))
     got = corpus_pipeline.near_dedup(spark, table(spark, DATA, "documents"), DATA)
     assert sorted(r["doc_id"] for r in got.collect()) == sorted(best.values())
+
+
+def test_texts_are_reduced_once(spark, tmp_path, monkeypatch, capsys):
+    """A filter on the shortened text is not evaluated by shortening it a second time, nor one on the language by a second prediction."""
+    from gleaner.llm import langid, lines
+
+    docs = spark.createDataFrame([(i, f"eine Zeile {i}\nund noch eine", "de", "x", 20) for i in range(8)], "doc_id long, text string, lang string, source string, n_chars long")
+    shortened = lines.deduplicate_lines(docs).where("text LIKE '%eine%'")
+    shortened.explain()
+    assert capsys.readouterr().out.count("_reduced(") == 1
+    assert shortened.count() == 8
+    known = langid.identify(docs).where("lang_pred = 'de'")
+    known.explain()
+    assert capsys.readouterr().out.count("ArrowEvalPython [") <= 1
+    assert known.count() == 8
