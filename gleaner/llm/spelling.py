@@ -106,7 +106,8 @@ def near_pairs(vocabulary: DataFrame, frequent: int = FREQUENT) -> DataFrame:
 
     Each pair once; a is the shorter, or the first of two as long. Two such words are left alike by the edit that parts
     them: a word meets those as long, and as one with a letter more those longer by one. The lists are joined, AQE
-    splits long ones, and a pair is formed only after the comparison.
+    splits long ones, and a pair is formed only after the comparison. Spark takes a word's lists for one row when it
+    sizes them, so without the hint it would send millions of them to the driver for a broadcast.
     """
     longer = frequent_grams(vocabulary, frequent)
     shared = vocabulary.sparkSession.sparkContext.broadcast(longer)  # fewer than FREQUENT grams of each length
@@ -121,7 +122,7 @@ def near_pairs(vocabulary: DataFrame, frequent: int = FREQUENT) -> DataFrame:
     one = listed.select("list", F.col("word").alias("a"), F.col("n").alias("m"), "more")
     other = listed.where("more = 0").select("list", F.col("word").alias("b"), "n")
     near = ((F.col("more") == 1) | (F.col("a") < F.col("b"))) & (F.levenshtein("a", "b", 1) == 1)
-    return one.join(other, "list").where(near).select("a", "m", "b", "n").distinct()
+    return one.join(other.hint("merge"), "list").where(near).select("a", "m", "b", "n").distinct()
 
 
 def variants(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", one_in: int = 31, times: int = 10, frequent: int = FREQUENT) -> DataFrame:
@@ -141,7 +142,7 @@ def variants(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", on
         pairs.select(F.col("b").alias("word"), F.struct((-F.col("m")).alias("k"), F.col("a").alias("w")).alias("best")))
     near = both.groupBy("word").agg(F.count(F.lit(1)).alias("n_near"), F.min("best").alias("best"))
     form = -F.col("best.k") >= times * F.col("n")
-    out = known.join(near, "word", "left").select(
+    out = known.join(near.hint("merge"), "word", "left").select(
         "word", F.when(form, F.col("best.w")).alias("form"), "n", F.coalesce("n_near", F.lit(0)).alias("n_near"), F.when(form, -F.col("best.k")).alias("form_n"))
     out = materialize(out, "forms", made)
     steps = out.where("form IS NOT NULL").select("word", F.col("form").alias("root"))
@@ -150,9 +151,9 @@ def variants(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", on
         depth += 1
     for _ in range((depth - 1).bit_length()):  # each round doubles the way
         onward = steps.select(F.col("word").alias("root"), F.col("root").alias("next"))
-        steps = materialize(steps.join(onward, "root", "left").select("word", F.coalesce("next", "root").alias("root")), "roots", made)
+        steps = materialize(steps.join(onward.hint("merge"), "root", "left").select("word", F.coalesce("next", "root").alias("root")), "roots", made)
     steps = steps.withColumnRenamed("word", "w")
-    found = out.join(steps, F.col("word") == F.col("w"), "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
+    found = out.join(steps.hint("merge"), F.col("word") == F.col("w"), "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
     found = materialize(found, "variants")
     discard(*made)
     return found

@@ -152,6 +152,21 @@ def test_spelling_edges(spark):
     assert sorted((len(r["word"]), r["n"], r["n_near"]) for r in found) == [(4000, 2, 1), (4001, 2, 1)]
 
 
+def test_spelling_broadcasts_nothing(spark, monkeypatch):
+    """A word has up to 32 lists, but Spark sizes them as one row: a table below its limit may hold more than the driver's memory."""
+    plans, write = [], spelling.materialize
+
+    def planned(df, *a, **b):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df, *a, **b)
+
+    monkeypatch.setattr(spelling, "materialize", planned)
+    text = "reservation reservation reservations reservations clôturer clôturer cloturer cloturer"
+    found = spelling.variants(spark.createDataFrame([(i, text) for i in range(9)], "doc_id long, text string"), one_in=0)
+    assert {(r["word"], r["n"], r["n_near"]) for r in found.collect()} == {("reservation", 18, 1), ("reservations", 18, 1), ("clôturer", 18, 1), ("cloturer", 18, 1)}
+    assert sum(p.count("SortMergeJoin") for p in plans) >= 3 and not any("Broadcast" in p for p in plans)
+
+
 def test_spared():
     """Words one edit apart meet in a list, whatever the dictionary."""
     for _ in range(3000):
